@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolk.llm import chat_trees, quality_hosts, warc
+from kinfolk.llm import chat_trees, mix_pareto, quality_hosts, simhash_covering, substring_doubling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_covering.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash_covering.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_pareto.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_doubling.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_hosts.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,6 +50,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_covering": op3_simhash_covering,
+    "op4_mix_pareto": op4_mix_pareto,
+    "op7_substring_doubling": op7_substring_doubling,
     "op8_quality_hosts": op8_quality_hosts,
     "op9_chat_trees": op9_chat_trees,
     "op10_warc": op10_warc,
