@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolk.llm import chat_trees, mix_pareto, quality_hosts, simhash_covering, substring_doubling, warc
+from kinfolk.llm import chat_trees, hash_prefix_forest, html_suffix_array, language_viterbi, mix_pareto, quality_hosts, simhash_covering, substring_doubling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix_array.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_covering.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_covering.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -23,6 +27,15 @@ def op4_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_pareto.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return hash_prefix_forest.nearest(rows, rows.filter("id % 100 = 0"))
+
+
+def op6_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_viterbi.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_doubling.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -50,8 +63,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_suffix_array": op1_html_suffix_array,
     "op3_simhash_covering": op3_simhash_covering,
     "op4_mix_pareto": op4_mix_pareto,
+    "op5_ann_hash_prefix_forest": op5_ann_hash_prefix_forest,
+    "op6_language_viterbi": op6_language_viterbi,
     "op7_substring_doubling": op7_substring_doubling,
     "op8_quality_hosts": op8_quality_hosts,
     "op9_chat_trees": op9_chat_trees,
