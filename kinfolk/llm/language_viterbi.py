@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kinfolk.llm.words import pieces
 
@@ -199,38 +200,60 @@ def best_labels(scores: np.ndarray, first: np.ndarray, counts: np.ndarray, switc
     return labels
 
 
-def _label(model: dict, switch: float):
+def label(texts: list[str | None], model: dict, switch: float = SWITCH) -> tuple[list[str], np.ndarray, tuple[np.ndarray, ...]]:
+    """Languages and scores of some texts, and their spans as arrays: text, start word, words, number of the language."""
     langs = model["langs"]
-    names = pa.array(langs, pa.string())
-    span = pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])
+    texts = [t or "" for t in texts]
+    n = len(texts)
+    lettered = np.array([_LETTER.search(t) is not None for t in texts], bool)
+    if not langs:
+        return ["und"] * n, np.zeros(n), tuple(np.empty(0, np.int64) for _ in range(4))
+    points, bounds = _points(texts)
+    starts, scores, letters = word_scores(points, model)
+    first = np.searchsorted(starts, bounds)
+    counts = np.diff(first)
+    labels = best_labels(scores, first[:-1], counts, switch, model["prior"])
+    row = np.repeat(np.arange(n), counts)
+    by = np.bincount(row * len(langs) + labels, weights=letters, minlength=n * len(langs)).reshape(n, -1)
+    total = by.sum(1)
+    known = lettered & (total > 0)
+    score = np.where(known, by.max(1) / np.maximum(total, 1), 0.0)
+    named = ["und" if not k else langs[p] for k, p in zip(known, by.argmax(1), strict=True)]
+    change = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    length = np.diff(change, append=len(labels))
+    shown = known[row[change]]
+    change, length = change[shown], length[shown]
+    return named, score, (row[change], change - first[row[change]], length, labels[change])
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])
+
 
-    def run(batches, model=model):
+def _label(model: dict, switch: float):
+    names = pa.array(model["langs"], pa.string())
+
+    def run(batches):
         for b in pieces(batches, limit=PIECE):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            n = len(texts)
-            lettered = np.array([_LETTER.search(t) is not None for t in texts])
-            points, bounds = _points(texts)
-            starts, scores, letters = word_scores(points, model)
-            first = np.searchsorted(starts, bounds)
-            counts = np.diff(first)
-            labels = best_labels(scores, first[:-1], counts, switch, model["prior"])
-            row = np.repeat(np.arange(n), counts)
-            by = np.zeros((n, max(len(langs), 1)), np.int64)
-            np.add.at(by, (row, labels), letters)
-            pred, known = by.argmax(1), lettered & (by.sum(1) > 0) & bool(langs)
-            score = np.where(known, by.max(1) / np.maximum(by.sum(1), 1), 0.0)
-            lang = ["und" if not k else langs[p] for k, p in zip(known, pred, strict=True)]
-            change = np.flatnonzero(np.concatenate(([True], (np.diff(labels) != 0) | (np.diff(row) != 0)))) if len(labels) else np.empty(0, np.int64)
-            change = change[known[row[change]]] if len(change) else change
-            length = np.diff(np.concatenate((change, [len(labels)])))
-            length = np.minimum(length, first[row[change] + 1] - change) if len(change) else length[:0]
-            values = pa.StructArray.from_arrays([pa.array((change - first[row[change]]).astype(np.int32)), pa.array(length.astype(np.int32)), names.take(pa.array(labels[change])) if langs else pa.array([], pa.string())], fields=list(span))
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[change], np.arange(n + 1)).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score), spans], ["doc_id", "held_out", "lang_pred", "score", "spans"])
+            named, score, (row, start, length, lang) = label(b.column("text").to_pylist(), model, switch)
+            values = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(length, pa.int32()), names.take(pa.array(lang, pa.int64()))], fields=list(_SPAN))
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(named) + 1)), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(named, pa.string()), pa.array(score), spans], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     return run
 
 
+def annotate(docs: DataFrame, model: dict, lang_as: str, score_as: str, switch: float = SWITCH) -> DataFrame:
+    """docs with two more columns: the language of its column text, and the score."""
+
+    def run(batches):
+        for b in pieces(batches, limit=PIECE):
+            named, score, _ = label(b.column("text").to_pylist(), model, switch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(named, pa.string()), pa.array(score)], [*b.schema.names, lang_as, score_as])
+
+    schema = StructType([*docs.schema.fields, StructField(lang_as, StringType()), StructField(score_as, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the letters in words of that language), spans (start word, n_words, lang)."""
     ddl = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start:int,n_words:int,lang:string>>"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolk.llm import chat_trees, hash_prefix_forest, html_suffix_array, language_viterbi, mix_pareto, quality_hosts, simhash_covering, substring_doubling, warc
+from kinfolk.llm import chat_trees, hash_prefix_forest, html_suffix_array, language_viterbi, mix_pareto, quality_hosts, sentencepiece_nbest, simhash_covering, substring_doubling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_suffix_array.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_covering.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_covering.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -64,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_suffix_array": op1_html_suffix_array,
+    "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
     "op3_simhash_covering": op3_simhash_covering,
     "op4_mix_pareto": op4_mix_pareto,
     "op5_ann_hash_prefix_forest": op5_ann_hash_prefix_forest,
