@@ -11,6 +11,8 @@ conversation and are left out; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,18 +54,20 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     up = base.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), "score").join(ids, ["tree", "parent"], "left")
     hop = stored(up.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("to"), "score", F.lit(1).cast("long").alias("depth")), "hop")
     hops = []
+    # a node's 2^k-th ancestor, with score and count of the nodes before it; only nodes deeper than that join again
+    done = [hop.filter(F.col("to").isNull())]
+    open_ = hop.filter(F.col("to").isNotNull())
     for _ in range(MAX_DOUBLINGS):
-        # hop: a node's 2^k-th ancestor, with score and count of the nodes before it
-        open_ = hop.filter(F.col("to").isNotNull())
         if open_.isEmpty():
             break
         hops.append(open_.select("tree", "node", "to"))
-        far = hop.select("tree", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        hop = stored(
-            hop.join(far, ["tree", "to"], "left").select("tree", "node", F.col("to2").alias("to"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")),
-            "hop",
-        )
-    rooted = hop.filter(F.col("to").isNull())
+        known = reduce(DataFrame.unionByName, [*done, open_])
+        far = known.select("tree", F.col("node").alias("to"), F.col("to").alias("to2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        moved = open_.join(far, ["tree", "to"]).select("tree", "node", F.col("to2").alias("to"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        moved = stored(moved, "hop")
+        done.append(moved.filter(F.col("to").isNull()))
+        open_ = moved.filter(F.col("to").isNotNull())
+    rooted = reduce(DataFrame.unionByName, done)
     leaves = rooted
     if hops:
         leaves = rooted.join(hops[0].select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
