@@ -108,19 +108,18 @@ def taken(rank: Column, doc: Column) -> Column:
 
 
 def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source and any others) with source_size, target and n_copies of each document."""
+    """docs (doc_id, source and any others) with a struct _mix: source_size, target and n_copies of each document."""
     plan = stored(plan.select("key", "source_size", "target", "copies", "p", "wanted", "cut_rank", "cut_id", "extra_id"), "plan")
-    names = [c for c in plan.columns if c != "key"]
-    renamed = plan.select(F.col("key").alias("_key"), F.struct(*names).alias("_plan"))
+    renamed = plan.select(F.col("key").alias("_key"), F.struct(*(c for c in plan.columns if c != "key")).alias("_plan"))
     rows = sized_join(docs.withColumn("_key", source_key(F.col("source"))), renamed, "_key", "left")
-    rank = ranking(uniform(F.col("doc_id"), F.col("source"), seed), F.col("_plan.p"))
-    doc = F.col("doc_id")
-    more = (rank < F.col("_plan.cut_rank")) | ((rank == F.col("_plan.cut_rank")) & (doc <= F.col("_plan.cut_id")))
-    one = F.coalesce(more, F.lit(False)) | F.coalesce(doc == F.col("_plan.extra_id"), F.lit(False))
-    # a source whose wanted words equal all its words has no cut: every document is taken once more
-    whole = F.col("_plan.cut_rank").isNull() & (F.col("_plan.wanted") > 0)
-    n = F.col("_plan.copies") + F.when(whole | one, 1).otherwise(0)
-    return rows.select(*docs.columns, F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), n.cast("int").alias("n_copies"))
+    p, doc = F.col("_plan"), F.col("doc_id")
+    rank = ranking(uniform(doc, F.col("source"), seed), p["p"])
+    before = (rank < p["cut_rank"]) | ((rank == p["cut_rank"]) & (doc <= p["cut_id"]))
+    one = F.coalesce(before, F.lit(False)) | F.coalesce(doc == p["extra_id"], F.lit(False))
+    # a source that has no cut and still wants words wants all of them: every document is taken once more
+    whole = p["cut_rank"].isNull() & (p["wanted"] > 0)
+    n = F.coalesce(p["copies"] + F.when(whole | one, 1).otherwise(0), F.lit(0)).cast("int")
+    return rows.select(*docs.columns, F.struct(p["source_size"].alias("source_size"), p["target"].alias("target"), n.alias("n_copies")).alias("_mix"))
 
 
 def sized(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -132,4 +131,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """doc_id, size, source_size, target, taken (words, repeats counted) of every document."""
     rows = sized(docs)
     out = apply_plan(rows, plan_mix(rows, weights, share, most, seed), seed)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "_mix.source_size", "_mix.target", (F.col("_mix.n_copies") * F.col("size")).cast("long").alias("taken"))
