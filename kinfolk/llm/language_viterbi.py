@@ -31,7 +31,7 @@ SWITCH = 12.0
 #: A language uses a script if at least this share of its letters are in it.
 SCRIPT_SHARE = 0.005
 OUT = -1e4
-PIECE = 2 << 20
+PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: First and last code point of the main ranges of scripts.
 SCRIPTS = {

@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from kinfolk.llm.words import pieces as batch_pieces
 
 N_BEST = 4
-#: Units that a task remembers at most before it starts over; bounds memory only.
-REMEMBER = 600_000
-PIECE = 2 << 20
+#: Units, and units with their edges, that a task remembers at most before it starts over; these bound memory only.
+REMEMBER = 300_000
+REMEMBER_EDGES = 4_000
+PIECE = 1 << 20
 MARK = "▁"
 #: Stands for a U+2581 of the text itself; it is in no valid text.
 OWN_MARK = "\ud800"
@@ -226,7 +227,7 @@ class Lattice:
         flats, filled, at = [self.flat], len(self.flat), 0
         while at < len(order):
             m = len(new[order[at]])
-            to, most = at, max(1, (1 << 21) // (m * 16))
+            to, most = at, max(1, (1 << 20) // (m * 16))
             while to < len(order) and len(new[order[to]]) == m and to - at < most:
                 to += 1
             group = order[at:to]
@@ -256,6 +257,8 @@ class Lattice:
     def forward(self, unit: str) -> tuple[list, list[int]]:
         """Edges and forward Viterbi scores of a unit."""
         if unit not in self.edges_of:
+            if len(self.edges_of) >= REMEMBER_EDGES:
+                self.edges_of.clear()
             edges = self.unit_edges(unit)
             f = [0]
             for into in edges[1:]:
@@ -368,6 +371,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, score
             ids = _column(len(rows), offsets, pa.array(np.concatenate([r[0] for r in rows]).astype(np.int32)))
             others = [[{"score": s, "changes": [{"at": a, "n": k, "ids": list(x)} for a, k, x in c]} for s, c in zip(r[1][1:], r[2], strict=True)] for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array([r[1][0] for r in rows], pa.int64()), pa.array(others, _CHANGES)], ["doc_id", "ids", "score", "others"])
+        lattice.forget()  # the worker lives on for other stages
 
     ddl = "doc_id long, ids array<int>, score long, others array<struct<score:long,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
@@ -406,6 +410,7 @@ def digests(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, scor
                     c.append(v)
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_pieces", "scores", "ids_sha256", "n_changed", "decoded_sha256", "round_trip"])
+        lattice.forget()  # the worker lives on for other stages
 
     ddl = "doc_id long, n_pieces long, scores array<long>, ids_sha256 string, n_changed long, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)

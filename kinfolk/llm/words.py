@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that a task works on at once (one longer text is a piece of its own).
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
