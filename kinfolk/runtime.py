@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,22 @@ BROADCAST_ROWS = 100_000
 _FALLBACK: dict[str, str] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the tasks of a session whose workers would not find it: neither their PYTHONPATH nor the
+    working folder has it. Once per application."""
+    root = str(Path(__file__).resolve().parent.parent)
+    app = spark.sparkContext.applicationId
+    paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    if app in _SHIPPED or root in paths:
+        return
+    _SHIPPED.add(app)
+    target = Path(tempfile.mkdtemp(prefix="spark-kinfolk-"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target / "kinfolk"), "zip", root, "kinfolk"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
