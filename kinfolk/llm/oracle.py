@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+OP7 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+pos as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as win from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w where len(words) >= 50)),
+owners as (select win, min(doc_id) as owner from pos group by win),
+hits as (select doc_id, i from pos join owners using (win) where doc_id > owner),
+gone as (select distinct doc_id, i + k as j from hits, range(50) r(k)),
+each_word as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as j from w),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.j) as t, count(*) as n from each_word e left join gone g on g.doc_id = e.doc_id and g.j = e.j where g.j is null group by 1)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
 OP8 = r"""
 with w as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
 pos as (select doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') as win from (select doc_id, words, unnest(range(1, len(words) - 6)) as i from w where len(words) >= 8)),
@@ -41,4 +52,4 @@ g as (select *, case when payload_bytes >= 1000 then max(page_id) over (partitio
 select page_id, payload_bytes, payload_digest, case when page_id < top then 'revisit' else 'response' end as record_type, case when page_id < top then top end as refers_to from g
 """
 
-ORACLE: dict[str, str] = {"op8_quality_hosts": OP8, "op9_chat_trees": OP9, "op10_warc": OP10}
+ORACLE: dict[str, str] = {"op7_substring_doubling": OP7, "op8_quality_hosts": OP8, "op9_chat_trees": OP9, "op10_warc": OP10}
