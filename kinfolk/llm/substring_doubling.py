@@ -176,7 +176,7 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
 
 def _repeated(candidates: DataFrame, key: str) -> DataFrame:
     """The candidates whose key occurs twice or more."""
-    often = candidates.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    often = stored(candidates.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), "often")
     return candidates.join(often, key, "left_semi")
 
 
@@ -202,8 +202,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 13, keep_text
     tried = stored(keys.join(source, ["doc_id", "tkey"]).dropDuplicates(["rid"]).select("rid", "doc_id", "pos", "text").mapInArrow(extend, extended), "windows")
 
     windows = tried.select("rid", "doc_id", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("rid", "doc_id", "x.pos", "x.h")
-    owners = windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-    going = windows.join(owners, "h").filter("doc_id > owner").groupBy("rid").agg(F.collect_list("pos").alias("starts"))
+    owners = stored(windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners")
+    # written first, so that a hot window's rows stand alone in their exchange and can be split
+    hits = stored(windows.join(owners, "h").filter("doc_id > owner").select("rid", "pos"), "hits")
+    going = hits.groupBy("rid").agg(F.collect_list("pos").alias("starts"))
     cut, cut_ddl = _cut(window, keep_text)
     cuts = stored(tried.select("rid", "text").join(going, "rid").mapInArrow(cut, cut_ddl).withColumnRenamed("rid", "first_rid"), "cuts")
 
