@@ -35,7 +35,7 @@ MIN_RUN = 4
 #: Share of an open block's words inside repeated runs from which on it is boilerplate.
 COVERED = 0.9
 #: Pages of a shard, about.
-SHARD_PAGES = 2048
+SHARD_PAGES = 256
 PIECE = 4 << 20
 
 #: Element and attribute names that tell what a part of a page is.
