@@ -11,7 +11,9 @@ from kinfolk.functions.text import MIN_LITERAL, line_array
 def line_table(docs: DataFrame, *keep: str) -> DataFrame:
     """id, the kept columns, and a row per distinct folded line of at least MIN_LITERAL characters."""
     lines = F.array_distinct(F.filter(line_array(F.col("text")), lambda x: F.length(x) >= MIN_LITERAL))
-    return docs.select("doc_id", *keep, F.size(lines).alias("n_lines"), F.explode(lines).alias("line"))
+    # the array is a column of its own: next to explode() an expression would be worked out again for every line
+    found = docs.select("doc_id", *keep, lines.alias("_lines"))
+    return found.select("doc_id", *keep, F.size("_lines").alias("n_lines"), F.explode("_lines").alias("line"))
 
 
 def line_links(docs: DataFrame) -> DataFrame:
