@@ -39,7 +39,11 @@ SHARD_PAGES = 256
 PIECE = 4 << 20
 
 #: Element and attribute names that tell what a part of a page is.
-RAW = "script|style|noscript|template|svg|iframe|object|select|textarea|canvas|math|title|button"
+RAW = "script|style|noscript|iframe|textarea|title"
+#: Elements whose content is not text of the page; unlike RAW they nest and end with their parent.
+DROPPED = frozenset("template svg object select canvas button".split())
+#: Elements that may be taken out of an article for their class or id.
+CONTAINERS = frozenset("div section aside ul ol dl table details header footer".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -53,7 +57,7 @@ BOILER_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>"""
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.S | re.I,
@@ -73,48 +77,83 @@ def _words_of_names(a: dict[str, str]) -> set[str]:
     return {w.lower() for k in ("class", "id") for w in _PART.findall(a.get(k, ""))}
 
 
+def _whole_names(a: dict[str, str]) -> list[list[str]]:
+    """The words of each token of class and id."""
+    return [[w.lower() for w in _PART.findall(t)] for k in ("class", "id") for t in a.get(k, "").split()]
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """The blocks of a page in order: kind (ARTICLE, OPEN or BOILER) and text, white space already single."""
     tokens = []
     open_at: dict[str, list[int]] = {}
     close_of: dict[int, int] = {}
+    nest: list[tuple[str, int]] = []
+    dropped: dict[int, int | None] = {}
+    before: list[int] = []  # characters of text before each token
+    at = so_far = 0
     for m in _TOKEN.finditer(html):
         name = (m["name"] or m["name2"] or "").lower()
         end = bool(m["end"] or m["end2"])
         k = len(tokens)
         tokens.append((m.start(), m.end(), name, end, m["attrs"] or m["attrs2"] or ""))
+        so_far += m.start() - at
+        before.append(so_far)
+        at = m.end()
         if not name or name in VOID:
             continue
         if end:
+            inner = next((j for j in range(len(nest) - 1, -1, -1) if nest[j][0] == name), None)
+            if inner is not None and (name in BLOCKS or name in DROPPED or not any(x in BLOCKS for x, _ in nest[inner:])):
+                if name in DROPPED:
+                    dropped[nest[inner][1]] = k
+                del nest[inner:]
             if open_at.get(name):
                 close_of[open_at[name].pop()] = k
+        elif name in DROPPED:
+            if not tokens[k][4].rstrip().endswith("/"):
+                dropped[k] = None
+                nest.append((name, k))
         else:
+            nest.append((name, k))
             if name in IMPLIED_END and open_at.get(name):
                 close_of[open_at[name].pop()] = k
             open_at.setdefault(name, []).append(k)
 
+    before.append(so_far + len(html) - at)
     last = len(tokens)
+    drop = np.zeros(last + 1, bool)
+    for k, to in dropped.items():
+        # never closed inside its parent: no further than the next block
+        drop[k : next((j for j in range(k + 1, last) if tokens[j][2] in BLOCKS), last) if to is None else to] = True
     articles, mains, boilers = [], [], []
     for k, (_, _, name, end, attrs) in enumerate(tokens):
-        if not name or end or name in VOID:
+        if not name or end or name in VOID or name in DROPPED or drop[k]:
             continue
         a = _attributes(attrs) if attrs.strip() else {}
         role = a.get("role", "").lower()
         words = _words_of_names(a) if a else set()
         to = close_of.get(k)
-        if name == "article" and not words & COMMENT_WORDS:
+        if name == "article" and not (words & COMMENT_WORDS and any(t and t[0] in COMMENT_WORDS for t in _whole_names(a))):
             articles.append((k, last if to is None else to))
         elif name == "main" or role == "main" or a.get("itemprop") == "articleBody":
             mains.append((k, last if to is None else to))
         elif name in BOILER_ELEMENTS or role in BOILER_ROLES or name == "header" or (words & BOILER_WORDS and name not in ("body", "html")) or (attrs and _HIDDEN.search(attrs)):
-            boilers.append((k, to, name, bool(words & BOILER_WORDS) or name != "header"))
+            named = bool(words & BOILER_WORDS)
+            # by its class or id alone: whether an article may lose it
+            only = named and name not in BOILER_ELEMENTS and name != "header" and role not in BOILER_ROLES and name != "article" and not _HIDDEN.search(attrs)
+            whole = name in CONTAINERS and any(t and BOILER_WORDS.issuperset(t) for t in _whole_names(a)) if only else True
+            boilers.append((k, to, name, named or name != "header", only, whole))
     marks = articles + mains
     cuts = []
-    for k, to, name, certain in boilers:
+    for k, to, name, certain, only, whole in boilers:
         if to is None:  # never closed: no further than the next block
             to = next((j for j in range(k + 1, last) if tokens[j][2] in BLOCKS), last)
         if any(k < a < to for a, _ in marks) or (not certain and any(a < k < b for a, b in articles)):
             continue  # it holds the article, or is the article's own header
+        if only:
+            around = [(a, b) for a, b in articles or mains if a < k < b]
+            if around and (not whole or any(2 * (before[to] - before[k]) > before[b] - before[a] for a, b in around)):
+                continue  # part of the article's text
         cuts.append((k, to))
     articles = [(a, b) for a, b in articles if not any(c < a < d for c, d in cuts)] or None
     if articles is None and mains:
@@ -140,16 +179,18 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
 
     at = 0
     for k, (start, stop, name, _, _) in enumerate(tokens):
-        if start > at:
+        if start > at and not (k and drop[k - 1]):
             text = html[at:start]
             parts.append(unescape(text) if "&" in text else text)
         at = stop
+        if drop[k]:
+            continue
         if name in BLOCKS or kind_at[k] != kind:
             flush()
             kind = int(kind_at[k])
         elif name in ("br", "td", "th"):
             parts.append(" ")
-    if at < len(html):
+    if at < len(html) and not (last and drop[last - 1]):
         parts.append(unescape(html[at:]))
     flush()
     return out
