@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 def large_changes(commits: DataFrame, group: str, factor: float = 5, floor: float = 1000, least: int = 8) -> DataFrame:
     """Per group: commits, those of unknown size, the threshold greatest(floor, ceil(factor x median)) and the large ones.
 
-    Unknown sizes (null) count but do not enter the median; a group of fewer than least known sizes has the floor alone.
+    Unknown sizes (null) count, but only sizes above 0 enter the median; a group of fewer than least such sizes has the
+    floor alone.
     """
-    known = commits.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("size").isNull()).alias("n_unknown"), F.median("size").alias("median"), F.count("size").alias("k"))
+    changed = F.when(F.col("size") > 0, F.col("size"))
+    known = commits.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("size").isNull()).alias("n_unknown"), F.median(changed).alias("median"), F.count(changed).alias("k"))
     bound = F.when(F.col("k") >= least, F.greatest(F.lit(float(floor)), F.ceil(F.col("median") * factor).cast("double"))).otherwise(F.lit(float(floor)))
     known = known.withColumn("threshold", bound)
     large = commits.join(known, group).filter(F.col("size") >= F.col("threshold")).groupBy(group).agg(F.count("*").alias("n_large"))
@@ -20,11 +22,14 @@ def large_changes(commits: DataFrame, group: str, factor: float = 5, floor: floa
 
 
 def close_pairs(commits: DataFrame, group: str, hours: float = 24, least: float = 0) -> DataFrame:
-    """Adjacent commits of a group, both of at least the size, at most hours apart and not back in time."""
+    """Commits of at least the size next to each other among those of their group, at most hours apart and not back in time.
+
+    Smaller commits between two do not part them.
+    """
     order = W.partitionBy(group).orderBy("ts", "id")
-    rows = commits.withColumn("next_id", F.lead("id").over(order)).withColumn("next_ts", F.lead("ts").over(order)).withColumn("next_size", F.lead("size").over(order))
+    rows = commits.filter(F.col("size") >= least).withColumn("next_id", F.lead("id").over(order)).withColumn("next_ts", F.lead("ts").over(order))
     gap = (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
-    return rows.withColumn("gap_hours", gap).filter((F.col("gap_hours") >= 0) & (F.col("gap_hours") <= hours) & (F.col("size") >= least) & (F.col("next_size") >= least)).select(group, "id", "next_id", F.round("gap_hours", 1).alias("gap_hours"))
+    return rows.withColumn("gap_hours", gap).filter((F.col("gap_hours") >= 0) & (F.col("gap_hours") <= hours)).select(group, "id", "next_id", F.round("gap_hours", 1).alias("gap_hours"))
 
 
 def stage_ranges(stages: DataFrame, group: str, last: DataFrame) -> DataFrame:

@@ -1,31 +1,92 @@
-"""Line-level evidence: the line table, links through shared lines, coverage, rare literals."""
+"""Line-level evidence: the line table, links by shared lines, coverage, rare literals."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.text import MIN_LITERAL, line_array
+from kinfolk.runtime import sized_join, stored
+
+#: Share of the larger side's lines from which on two documents are linked: the lowest tier.
+LEAST = 0.5
+
+
+def distinct_lines(text: Column) -> Column:
+    """The distinct folded lines of at least MIN_LITERAL characters."""
+    return F.array_distinct(F.filter(line_array(text), lambda x: F.length(x) >= MIN_LITERAL))
 
 
 def line_table(docs: DataFrame, *keep: str) -> DataFrame:
     """id, the kept columns, and a row per distinct folded line of at least MIN_LITERAL characters."""
-    lines = F.array_distinct(F.filter(line_array(F.col("text")), lambda x: F.length(x) >= MIN_LITERAL))
     # the array is a column of its own: next to explode() an expression would be worked out again for every line
-    found = docs.select("doc_id", *keep, lines.alias("_lines"))
+    found = docs.select("doc_id", *keep, distinct_lines(F.col("text")).alias("_lines"))
     return found.select("doc_id", *keep, F.size("_lines").alias("n_lines"), F.explode("_lines").alias("line"))
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """Each document with the first documents that hold its lines: q_id, c_id, hits, q_lines, c_lines, line_sim.
+def hashed_sets(docs: DataFrame, sets: Column, *keep: str) -> DataFrame:
+    """doc_id, the kept columns, set_id and hs (hashes of the distinct elements); documents without elements stay out.
+
+    Documents with equal sets share set_id, a 128-bit hash of the sorted elements.
+    """
+    found = docs.select("doc_id", *keep, F.sort_array(F.array_distinct(sets)).alias("_e")).filter(F.size("_e") > 0)
+    return found.select("doc_id", *keep, F.md5(F.array_join("_e", "\n").cast("binary")).alias("set_id"), F.transform("_e", lambda x: F.xxhash64(x)).alias("hs"))
+
+
+def similar_sets(sets: DataFrame, asked: DataFrame, least: float = LEAST) -> DataFrame:
+    """q_set, c_set, hits, q_n, c_n: all pairs of an asked set and any set (itself included) that share at least the share
+    least of the larger one's elements.
 
-    A line links to its smallest document only, so links grow with the lines, not with the square of a line's documents.
+    sets: set_id, hs, once each; asked: set_id. Exact, by prefixes: with the elements of a set ordered from rare to
+    frequent, two sets of that overlap share one of their first n - ceil(least * n) + 1, so frequent elements are joined on
+    only for sets that have little else. Both sides of the join are stored, so AQE can split a hot element.
     """
-    lines = line_table(docs)
-    owner = lines.groupBy("line").agg(F.min(F.struct("doc_id", "n_lines")).alias("o"))
-    met = lines.join(owner, "line").filter(F.col("doc_id") > F.col("o.doc_id"))
-    hits = met.groupBy(F.col("doc_id").alias("q_id"), F.col("o.doc_id").alias("c_id")).agg(F.count("*").alias("hits"), F.first("n_lines").alias("q_lines"), F.first("o.n_lines").alias("c_lines"))
-    return hits.withColumn("line_sim", F.col("hits") / F.greatest("q_lines", "c_lines"))
+    sets = stored(sets.select("set_id", "hs", F.size("hs").alias("n")), "sets")
+    elements = sets.select("set_id", "n", F.explode("hs").alias("h"))
+    often = stored(elements.groupBy("h").agg(F.count("*").alias("df")), "frequency")
+    ordered = sized_join(elements, often, "h", "inner").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("e"))
+    first = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    prefixes = stored(ordered.select("set_id", "n", F.explode(F.slice("e", 1, first)).alias("x")).select("set_id", "n", "x.h"), "prefixes")
+    q = sized_join(prefixes, stored(asked.select("set_id").distinct(), "asked"), "set_id", "left_semi").select(F.col("set_id").alias("q_set"), F.col("n").alias("q_n"), "h")
+    c = prefixes.select(F.col("set_id").alias("c_set"), F.col("n").alias("c_n"), "h")
+    sizes = F.least("q_n", "c_n") >= F.lit(least) * F.greatest("q_n", "c_n")
+    pairs = stored(q.join(c, "h").filter(sizes).select("q_set", "c_set").distinct(), "pairs")
+    side = lambda p: sets.select(F.col("set_id").alias(f"{p}_set"), F.col("hs").alias(f"{p}_hs"), F.col("n").alias(f"{p}_n"))
+    met = pairs.join(side("q"), "q_set").join(side("c"), "c_set")
+    met = met.select("q_set", "c_set", F.size(F.array_intersect("q_hs", "c_hs")).cast("long").alias("hits"), "q_n", "c_n")
+    return met.filter(F.col("hits") >= F.lit(least) * F.greatest("q_n", "c_n"))
+
+
+def folds(rows: DataFrame) -> DataFrame:
+    """Rows of one set, source and language as one: set_id, source, lang, first and last doc_id, n."""
+    return rows.groupBy("set_id", "source", "lang").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+
+
+def link_documents(links: DataFrame, asked: DataFrame, folded: DataFrame, key: str = "set_id") -> DataFrame:
+    """Links of sets as links of documents to folds: see line_links. asked: doc_id, source, lang, set_id and key."""
+    q = asked.select(F.col(key).alias("q_set"), F.col("set_id").alias("q_own"), F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), F.col("lang").alias("q_lang"))
+    c = folded.select(F.col(key).alias("c_set"), F.col("set_id").alias("c_own"), "first", "last", F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), "n")
+    met = sized_join(stored(links.join(c, "c_set"), "links"), q, "q_set", "inner")
+    own = (F.col("q_own") == F.col("c_own")) & F.col("q_source").eqNullSafe(F.col("c_source")) & F.col("q_lang").eqNullSafe(F.col("c_lang"))
+    out = met.withColumn("c_id", F.when(F.col("first") == F.col("q_id"), F.col("last")).otherwise(F.col("first"))).withColumn("c_copies", F.col("n") - own.cast("int"))
+    return out.filter("c_copies > 0 and q_id <> c_id").drop("q_own", "c_own", "first", "last", "n")
+
+
+def line_links(docs: DataFrame, is_query: Column, least: float = LEAST) -> DataFrame:
+    """All links of the asked documents: q_id, q_source, q_lang, c_id, c_source, c_lang, c_copies, hits, q_lines, c_lines,
+    line_sim = hits / the larger number of lines, at least least.
+
+    Candidates of one source and language with the same lines are one row: c_id is the smallest of these c_copies documents
+    (the largest if the smallest is q_id itself). No link is lost, and no group of copies becomes pairs of its members.
+    """
+    rows = stored(hashed_sets(docs, distinct_lines(F.col("text")), "source", "lang"), "line_sets")
+    folded = stored(folds(rows), "folds")
+    asked = stored(rows.filter(is_query).select("doc_id", "source", "lang", "set_id"), "asked")
+    links = similar_sets(rows.dropDuplicates(["set_id"]), asked, least)
+    out = link_documents(links, asked, folded)
+    return out.select("q_id", "q_source", "q_lang", "c_id", "c_source", "c_lang", "c_copies", "hits", F.col("q_n").alias("q_lines"), F.col("c_n").alias("c_lines"), (F.col("hits") / F.greatest("q_n", "c_n")).alias("line_sim"))
 
 
 def rare_lines(lines: DataFrame, group: str = "source", most: int = 5) -> DataFrame:
@@ -34,12 +95,19 @@ def rare_lines(lines: DataFrame, group: str = "source", most: int = 5) -> DataFr
 
 
 def rare_line_hits(docs: DataFrame, is_query: Column, most: int = 5) -> DataFrame:
-    """q_id, c_id, hits: documents of other sources that share rare lines with a query document."""
-    lines = line_table(docs, "source")
-    rare = rare_lines(lines, most=most).select("line")
-    asked = lines.filter(is_query).select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), "line").join(rare, "line")
-    met = asked.join(lines.select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), "line"), "line")
-    return met.filter(F.col("q_source") != F.col("c_source")).groupBy("q_id", "c_id").agg(F.count("*").alias("hits"))
+    """q_id, c_id, c_copies, hits: documents of other sources that share rare lines with an asked one, folded as in
+    line_links: a rare line stands in few sources but may stand in any number of copies there."""
+    rows = stored(hashed_sets(docs, distinct_lines(F.col("text")), "source", "lang"), "line_sets")
+    folded = stored(folds(rows), "folds")
+    asked = stored(rows.filter(is_query).select("doc_id", "source", "lang", "set_id"), "asked")
+    sets = rows.dropDuplicates(["set_id"]).select("set_id", F.explode("hs").alias("h"))
+    sources = folded.select("set_id", "source").distinct()
+    rare = sets.join(sources, "set_id").groupBy("h").agg(F.count_distinct("source").alias("breadth"))
+    rare = stored(rare.filter((F.col("breadth") >= 2) & (F.col("breadth") <= most)).select("h"), "rare")
+    held = stored(sized_join(sets, rare, "h", "left_semi"), "held")
+    q = sized_join(held, stored(asked.select("set_id").distinct(), "asked_sets"), "set_id", "left_semi")
+    links = q.select(F.col("set_id").alias("q_set"), "h").join(held.select(F.col("set_id").alias("c_set"), "h"), "h").groupBy("q_set", "c_set").agg(F.count("*").alias("hits"))
+    return link_documents(links, asked, folded).filter(F.col("q_source") != F.col("c_source")).select("q_id", "c_id", "c_copies", "hits")
 
 
 def pair_upsert(pairs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -51,8 +119,8 @@ def pair_upsert(pairs: DataFrame, hits: DataFrame) -> DataFrame:
 def line_coverage(docs: DataFrame) -> DataFrame:
     """Share of each document's lines that an earlier document holds: doc_id, n_lines, covered, coverage, top_source."""
     lines = line_table(docs, "source")
-    owner = lines.groupBy("line").agg(F.min(F.struct("doc_id", "source")).alias("o"))
-    met = lines.join(owner, "line").withColumn("covered", F.col("doc_id") > F.col("o.doc_id"))
+    owner = stored(lines.groupBy("line").agg(F.min(F.struct("doc_id", "source")).alias("o")), "owners")
+    met = sized_join(lines, owner, "line", "inner").withColumn("covered", F.col("doc_id") > F.col("o.doc_id"))
     by = met.groupBy("doc_id", "n_lines", F.when(F.col("covered"), F.col("o.source")).alias("s")).agg(F.count("*").alias("n"))
     best = F.max_by("s", F.when(F.col("s").isNotNull(), F.struct("n", "s")))
     covered = F.sum(F.when(F.col("s").isNotNull(), F.col("n")).otherwise(0))

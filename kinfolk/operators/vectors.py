@@ -1,7 +1,8 @@
 """Exact vector search in blocks: top k by cosine, within pools, with filters, and arg-max against a subset.
 
-Rows and queries are packed in blocks of bounded size; every query block meets the row blocks of its pool through an
-equi-join on block numbers, one matrix product each, and only each query's best k of a block leave it.
+Rows and queries are packed in blocks of bounded size. Every query block meets the row blocks of its pool, one matrix
+product each, and only each query's best k of a block leave it: query blocks are copied once per row block of their pool
+and joined on pool and block number, so the blocks of one pool are spread over the tasks.
 """
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolk.runtime import stored
+from kinfolk.runtime import sized_join, stored
 
 ROWS = 4096
 QUERIES = 512
@@ -32,13 +33,13 @@ def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_PACKED)
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about size rows of each pool; a large pool has as many blocks as it needs."""
-    rows = stored(rows.filter("id is not null and v is not null"), "vectors")
-    blocks = rows.groupBy("pool").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = rows.join(blocks, "pool").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
+def _packed(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of about size rows of each pool, and the number of blocks of each pool."""
+    rows = stored(rows.filter("id is not null and v is not null").select("pool", "id", "grp", "v"), "vectors")
+    blocks = stored(rows.groupBy("pool").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks")), "blocks")
+    dealt = sized_join(rows, blocks, "pool", "inner").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
     packed = dealt.select("pool", "part", "id", "grp", "v").groupBy("pool", "part").applyInArrow(_pack, "pool string, part long, ids binary, groups array<string>, unit binary")
-    return packed.join(blocks, "pool")
+    return packed, blocks
 
 
 def _product(k: int, other_group: bool):
@@ -72,9 +73,12 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, pool: Column | None = None
     other_group: only rows of another group count. The filter comes before the ranking, so k rows survive if there are k.
     """
     pool = F.coalesce(pool.cast("string"), F.lit("")) if pool is not None else F.lit("")
-    r = _packed(rows.withColumn("pool", pool), ROWS)
-    q = _packed(queries.withColumn("pool", pool), QUERIES).select("pool", F.col("ids").alias("q_ids"), F.col("groups").alias("q_groups"), F.col("unit").alias("q_unit"))
-    met = r.drop("blocks", "part").join(q, "pool").mapInArrow(_product(k, other_group), "q_id long, id long, score double")
+    r, blocks = _packed(rows.withColumn("pool", pool), ROWS)
+    q, _ = _packed(queries.withColumn("pool", pool), QUERIES)
+    q = q.select("pool", F.col("ids").alias("q_ids"), F.col("groups").alias("q_groups"), F.col("unit").alias("q_unit"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")
+    dealt = q.join(blocks, "pool").select("pool", every, "q_ids", "q_groups", "q_unit")
+    met = r.join(dealt, ["pool", "part"]).mapInArrow(_product(k, other_group), "q_id long, id long, score double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 

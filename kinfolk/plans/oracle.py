@@ -6,21 +6,23 @@ from __future__ import annotations
 _W = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 WORDS, LOWER_WORDS = _W.format("text"), _W.format("lower(text)")
 LINE_ARRAY = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), lambda x: x <> '')"
-LINES = f"lines as (select doc_id, source, len(ls) as n_lines, unnest(ls) as line from (select doc_id, source, list_distinct(list_filter({LINE_ARRAY}, lambda x: length(x) >= 8)) as ls from documents))"
-LINKS = f"""{LINES},
-owners as (select line, min(doc_id) as c_id from lines group by line),
-links as (select l.doc_id as q_id, o.c_id, count(*) as hits, any_value(l.n_lines) as q_lines, any_value(c.n_lines) as c_lines,
-  count(*) / greatest(any_value(l.n_lines), any_value(c.n_lines))::double as line_sim
-  from lines l join owners o using (line) join (select doc_id, any_value(n_lines) as n_lines from lines group by 1) c on c.doc_id = o.c_id where l.doc_id > o.c_id group by 1, 2),
-pairs as (select k.*, q.source as q_source, q.lang as module, c.source as c_source, c.lang as c_lang,
-  case when line_sim > 0.95 then 'confirmed' when line_sim >= 0.7 then 'review' when line_sim >= 0.5 then 'weak' end as tier
-  from links k join documents q on q.doc_id = q_id join documents c on c.doc_id = k.c_id)"""
+LINES = f"lines as (select doc_id, source, lang, len(ls) as n_lines, md5(array_to_string(list_sort(ls), chr(10))) as set_id, unnest(ls) as line from (select doc_id, source, lang, list_distinct(list_filter({LINE_ARRAY}, lambda x: length(x) >= 8)) as ls from documents))"
+#: The plain self-join of documents by their lines, then the candidates' copies counted together.
+FOLDED = """joined as (select q.doc_id as q_id, c.doc_id as c, any_value(q.source) as q_source, any_value(q.lang) as module, any_value(c.source) as c_source, any_value(c.lang) as c_lang, any_value(c.set_id) as c_set,
+  count(*) as hits, any_value(q.n_lines) as q_lines, any_value(c.n_lines) as c_lines from lines q join {c} where {asked} group by 1, 2),
+folded as (select q_id, case when min(c) = q_id then max(c) else min(c) end as c_id, count(*) - count(*) filter (c = q_id) as c_copies, any_value(q_source) as q_source, any_value(module) as module, c_source, c_lang,
+  any_value(hits) as hits, any_value(q_lines) as q_lines, any_value(c_lines) as c_lines, any_value(hits) / greatest(any_value(q_lines), any_value(c_lines))::double as line_sim
+  from joined group by q_id, c_set, c_source, c_lang having count(*) > count(*) filter (c = q_id))"""
+LINKS = f"""{LINES}, {FOLDED.format(c='lines c using (line)', asked='true')},
+pairs as (select *, case when line_sim > 0.95 then 'confirmed' when line_sim >= 0.7 then 'review' when line_sim >= 0.5 then 'weak' end as tier from folded where line_sim >= 0.5),
+rows_ as (select doc_id as q_id, lang as module, text from documents)"""
 EXACT = """exact as (select q.doc_id as q_id, c.source, min(c.doc_id) as c_id from documents q join documents c on q.text = c.text and q.lang = c.lang and q.source <> c.source where q.doc_id % 50 = 0 group by 1, 2)"""
 NAMES = rf"""named as (select doc_id, source, lang, coalesce(({LINE_ARRAY})[1], '') as name from documents),
 names as (select q.doc_id as q_id, c.doc_id as c_id from named q join named c on q.name = c.name and q.lang = c.lang and q.source <> c.source where q.doc_id % 50 = 0 and length(q.name) >= 5)"""
 RARE = f"""{LINES},
 rare as (select line from lines group by line having count(distinct source) between 2 and 5),
-hits as (select q.doc_id as q_id, c.doc_id as c_id, count(*) as hits from lines q join rare using (line) join lines c using (line) where q.doc_id % 50 = 0 and q.source <> c.source group by 1, 2)"""
+{FOLDED.format(c='rare using (line) join lines c using (line)', asked='q.doc_id % 50 = 0')},
+hits as (select q_id, c_id, c_copies, hits from folded where q_source <> c_source)"""
 NORM = rf"list_filter(list_transform({LINE_ARRAY}, lambda x: trim(regexp_replace(x, '(//|#).*$', ''), ' ')), lambda x: x <> '')"
 HASHED = rf"""hashed as (select doc_id, source, sha1(array_to_string({NORM}, chr(10))) as norm, sha1(coalesce(text, '')) as raw,
   case when len({WORDS}) >= 12 then sha1(array_to_string({WORDS}, ' ')) end as src from documents)"""
@@ -70,19 +72,19 @@ select doc_id, len(s)::int as n_shingles, len(list_distinct(s))::int as n_distin
   length(name) - length(replace(name, ',', '')) as params, list_distinct(list_filter(w, lambda x: length(x) >= 8)) as behavior, list_intersect(w, ['and','or','of','in','to','que','und','et','de']) as control
   from (select doc_id, coalesce(({LINE_ARRAY})[1], '') as name, {LOWER_WORDS} as w from documents))
 select q_id, c_id, round(0.45 * case when list_sort(q.name) = list_sort(c.name) and array_to_string(q.name, ' ') = array_to_string(c.name, ' ') then 1.0 else {_jaccard('q.name', 'c.name')} end + 0.20 * (1.0 / (1.0 + abs(q.params - c.params))) + 0.25 * {_jaccard('q.behavior', 'c.behavior')} + 0.10 * {_jaccard('q.control', 'c.control')}, 4) as identity
-from links join side q on q.doc_id = q_id join side c on c.doc_id = c_id""",
-    "tier_counts": f"with {LINKS} select coalesce(tier, 'none') as tier, count(*) as n from pairs group by 1",
+from pairs join side q on q.doc_id = q_id join side c on c.doc_id = c_id""",
+    "tier_counts": f"with {LINKS} select tier, count(*) as n, sum(c_copies)::bigint as n_documents from pairs group by 1",
     "segment_selection": f"""with {LINKS}, best as (select q_id, c_source, max((line_sim, hits)) as b, min(c_id) as f from pairs group by 1, 2),
 ranked as (select q_id, c_source, row_number() over (partition by q_id order by b desc, f) as content_rank from best)
 select q_id, c_id, content_rank::int as content_rank, case when content_rank <= 2 then 'selected' else 'deferred_secondary' end as state from pairs join ranked using (q_id, c_source)""",
     "dominated_suppression": f"with {LINKS} select q_id, c_id, (max(line_sim) over (partition by q_id) >= 0.5 and max(line_sim) over (partition by q_id) - line_sim >= 0.18 and line_sim < 0.7 and coalesce(tier, '') <> 'confirmed') as dominated from pairs",
-    "widespread_annotation": f"with {LINKS} select c_id as q_id, count(distinct case when tier = 'confirmed' or line_sim >= 0.9 then q_source end) as n_sources, count(distinct case when tier = 'confirmed' or line_sim >= 0.9 then q_source end) >= 2 as widespread from pairs group by 1",
+    "widespread_annotation": f"with {LINKS} select q_id, count(distinct case when tier = 'confirmed' or line_sim >= 0.9 then c_source end) as n_sources, count(distinct case when tier = 'confirmed' or line_sim >= 0.9 then c_source end) >= 5 as widespread from pairs group by 1",
     "baseline_propagation": f"""with {LINKS}, bench as (select distinct unnest({LINE_ARRAY}) as line from benchmark), known as (select distinct doc_id from lines join bench using (line))
 select q_id, c_id, bool_or(k.doc_id is not null) over (partition by q_id) as baseline from pairs left join known k on k.doc_id = c_id""",
-    "submodule_rollup": f"""with {LINKS}, cat as (select d.doc_id as q_id, d.lang as module, min(case p.tier when 'confirmed' then 0 when 'review' then 1 when 'weak' then 2 else 3 end) as k from documents d left join pairs p on p.q_id = d.doc_id group by 1, 2)
+    "submodule_rollup": f"""with {LINKS}, cat as (select q_id, d.module, min(case p.tier when 'confirmed' then 0 when 'review' then 1 when 'weak' then 2 else 3 end) as k from rows_ d left join pairs p using (q_id) group by 1, 2)
 select module, count(*) as total, count(*) filter (k = 0) as n_confirmed, count(*) filter (k = 1) as n_review, count(*) filter (k = 2) as n_weak, count(*) filter (k = 3) as n_none,
   round(100.0::double * count(*) filter (k = 0) / count(*), 3) as share_confirmed, round(100.0::double * count(*) filter (k = 1) / count(*), 3) as share_review, round(100.0::double * count(*) filter (k = 2) / count(*), 3) as share_weak, round(100.0::double * count(*) filter (k = 3) / count(*), 3) as share_none from cat group by 1""",
-    "undetected": f"with {LINKS}, b as (select q_id, max(hits) as m, bool_or(tier is not null) as f from pairs group by 1) select doc_id as q_id, length(text)::bigint as size, coalesce(m, 0) as most_hits from documents left join b on q_id = doc_id where not coalesce(f, false)",
+    "undetected": f"with {LINKS} select q_id, length(text)::bigint as size from rows_ where q_id not in (select q_id from pairs)",
     "source_metrics_rank": f"""with {LINKS}, best as (select q_id, c_source, max((line_sim, hits, module)) as b from pairs where q_source <> c_source group by 1, 2), sh as (select q_id, count(*) > 1 as shared from best group by 1),
 m as (select c_source, count(*) as functions, sum(b[2])::bigint as lines, count(distinct b[3]) as modules, count(*) filter (shared) as shared_functions from best join sh using (q_id) group by 1)
 select *, row_number() over (order by functions desc, lines desc, modules desc, shared_functions, c_source)::int as rank from m""",
@@ -90,7 +92,7 @@ select *, row_number() over (order by functions desc, lines desc, modules desc,
 f as (select q_id, least(min(a), min(b), min(c)) as k from r where q_id not in (select q_id from inc) group by 1)
 select ['internal', 'cross_language', 'thin'][k + 1] as reason, count(*) as functions from f where k is not null group by 1""",
     "overview_reconcile": f"""with {LINKS}, b as (select q_id, bool_or(q_source <> c_source and module = c_lang and hits >= 2) as s from pairs group by 1)
-select count(*) filter (s) as similar, count(*) filter (not s) as excluded, count(*) filter (s is null) as none, count(*) as total, true as reconciled from documents left join b on q_id = doc_id""",
+select count(*) filter (s) as similar, count(*) filter (not s) as excluded, count(*) filter (s is null) as none, count(*) as total, true as reconciled from rows_ left join b using (q_id)""",
     "file_line_coverage": f"""with {LINES}, o as (select line, min(doc_id) as c_id from lines group by 1), m as (select l.doc_id, l.n_lines, case when l.doc_id > c_id then d.source end as s from lines l join o using (line) join documents d on d.doc_id = c_id),
 n as (select doc_id, any_value(n_lines) as n_lines, s, count(*) as n from m group by doc_id, s)
 select doc_id, any_value(n_lines)::int as n_lines, coalesce(sum(n) filter (s is not null), 0)::bigint as covered, arg_max(s, (n, s)) filter (s is not null) as top_source, round(coalesce(sum(n) filter (s is not null), 0) / any_value(n_lines)::double, 6) as coverage from n group by 1""",
@@ -117,10 +119,10 @@ r(root, node, depth) as (select distinct caller, caller, 0 from e where caller l
 select root, node, min(depth)::int as depth from r group by 1, 2""",
     "reference_full_outer": f"""with n as (select doc_id, source, coalesce(({LINE_ARRAY})[1], '') as name from documents), q as (select name, min(doc_id) as q_id from n where source = 'src0' and length(name) >= 5 group by 1), r as (select name, min(doc_id) as r_id from n where source = 'src1' and length(name) >= 5 group by 1)
 select coalesce(q.name, r.name) as name, q_id, r_id, case when q_id is null then 'reference_only' when r_id is null then 'current_only' else 'both' end as state from q full join r on q.name = r.name""",
-    "large_commit_threshold": f"""with {COMMITS}, k as (select grp, count(*) as n, count(*) filter (size is null) as n_unknown, case when count(size) >= 8 then greatest(100.0, ceil(median(size) * 2)) else 100.0 end::double as threshold from commits group by 1)
+    "large_commit_threshold": f"""with {COMMITS}, k as (select grp, count(*) as n, count(*) filter (size is null) as n_unknown, case when count(*) filter (size > 0) >= 8 then greatest(100.0, ceil(median(size) filter (size > 0) * 2)) else 100.0 end::double as threshold from commits group by 1)
 select grp, any_value(n) as n, any_value(n_unknown) as n_unknown, round(any_value(threshold), 4) as threshold, count(*) filter (size >= threshold) as n_large from commits join k using (grp) group by 1""",
-    "close_large_pairs": f"""with {COMMITS}, l as (select grp, id, ts, coalesce(size, 0) as size, lead(id) over w as next_id, lead(ts) over w as next_ts, lead(coalesce(size, 0)) over w as next_size from commits window w as (partition by grp order by ts, id))
-select grp, id, next_id from l where next_id is not null and epoch_us(next_ts) - epoch_us(ts) between 0 and 24 * 3600000000 and size >= 50 and next_size >= 50""",
+    "close_large_pairs": f"""with {COMMITS}, l as (select grp, id, ts, lead(id) over w as next_id, lead(ts) over w as next_ts from commits where size >= 50 window w as (partition by grp order by ts, id))
+select grp, id, next_id from l where next_id is not null and epoch_us(next_ts) - epoch_us(ts) between 0 and 24 * 3600000000""",
     "stage_ranges": f"""with {COMMITS}, s as (select *, row_number() over (partition by grp order by ts, id) - 1 as seq, count(*) over (partition by grp) as n from commits)
 select grp, (seq // 10)::int as stage, (min(seq) // 10 * 10)::int as start, least(min(seq) // 10 * 10 + 9, any_value(n) - 1)::int as stop, count(*) as n, round(sum(size), 2) as size, strftime(min(ts), '%Y-%m-%d') as first_day, strftime(max(ts), '%Y-%m-%d') as last_day from s group by 1, 2""",
     "coverage_audit": "select 'src' || r.i as source, count(doc_id) as n, count(doc_id) > 0 as covered from range(25) r(i) left join documents on source = 'src' || r.i group by 1",

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfolk.functions import scores as S
 from kinfolk.functions import text as X
 from kinfolk.operators import align, contracts, fingerprints, history, lines, recall, rollup, search, selection, vectors
-from kinfolk.runtime import stored
+from kinfolk.runtime import sized_join, stored
 
 #: Fixed dimension of the classifier: module, keywords.
 RULES = {"core": ("the", "der", "les", "los"), "link": ("and", "und", "et", "y"), "place": ("in", "on", "en", "dans")}
@@ -144,7 +144,7 @@ def identity_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     w = X.words(F.lower("text"))
     sides = docs.select("doc_id", X.name_tokens(first_line()).alias("name"), F.regexp_count(first_line(), F.lit(",")).alias("params"), F.array_distinct(F.filter(w, lambda x: F.length(x) >= 8)).alias("behavior"), F.array_intersect(w, F.array(*map(F.lit, CONTROL))).alias("control"))
-    pairs = lines.line_links(docs).select("q_id", "c_id")
+    pairs = lines.line_links(docs, F.lit(True)).select("q_id", "c_id")
     side = lambda p: sides.select(*(F.col(c).alias(f"{p}_{'id' if c == 'doc_id' else c}") for c in sides.columns))
     met = pairs.join(side("q"), "q_id").join(side("c"), "c_id")
     score = S.identity_score(F.col("q_name") == F.col("c_name"), X.jaccard(F.col("q_name"), F.col("c_name")), F.col("q_params") - F.col("c_params"), X.jaccard(F.col("q_behavior"), F.col("c_behavior")), X.jaccard(F.col("q_control"), F.col("c_control")))
@@ -152,26 +152,22 @@ def identity_score(spark, sf_dir):
 
 
 def pairs_of(spark, sf_dir) -> DataFrame:
-    """Document pairs through shared lines with sources, modules and tiers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    p = lines.line_links(table(spark, sf_dir, "documents"))
-    q = docs.select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), F.col("lang").alias("module"))
-    c = docs.select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("lang").alias("c_lang"))
-    return p.join(q, "q_id").join(c, "c_id").withColumn("tier", S.tier(F.col("line_sim")))
+    """Links of all documents with tiers; the q side's language is its module."""
+    p = lines.line_links(table(spark, sf_dir, "documents"), F.lit(True))
+    return p.withColumnRenamed("q_lang", "module").withColumn("tier", S.tier(F.col("line_sim")))
+
+
+def module_rows(spark, sf_dir, *more: Column) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), F.col("lang").alias("module"), *more)
 
 
 def tier_counts(spark, sf_dir):
-    return pairs_of(spark, sf_dir).groupBy(F.coalesce("tier", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"))
+    return pairs_of(spark, sf_dir).groupBy("tier").agg(F.count("*").alias("n"), F.sum("c_copies").alias("n_documents"))
 
 
 def line_alignment_tiers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    near = lines.line_links(docs).filter("line_sim >= 0.5").select("q_id", "c_id")
-    sides = docs.select("doc_id", X.line_array(F.col("text")).alias("lines"))
-    masked = align.mask_array(F.col("lines"), CONTROL)
-    side = lambda p: sides.select(F.col("doc_id").alias(f"{p}_id"), F.col("lines").alias(f"{p}_lines"), masked.alias(f"{p}_masked"))
-    out = align.align_lines(near.join(side("q"), "q_id").join(side("c"), "c_id"))
-    return out.withColumn("tier", S.tier(F.col("line_sim"))).withColumn("kind", S.clone_kind(F.col("exact_lines"), F.col("renamed_lines")))
+    out = align.verified_pairs(table(spark, sf_dir, "documents"), F.lit(True), CONTROL)
+    return out.withColumn("line_sim", F.round("line_sim", 6))
 
 
 def segment_assignment(spark, sf_dir):
@@ -194,21 +190,19 @@ def dominated_suppression(spark, sf_dir):
 
 def widespread_annotation(spark, sf_dir):
     p = pairs_of(spark, sf_dir).withColumn("score", F.col("line_sim"))
-    swapped = p.select(F.col("c_id").alias("q_id"), F.col("q_source").alias("c_source"), "tier", "score")
-    return selection.widespread(swapped, least=2)
+    return selection.widespread(p, least=5)
 
 
 def baseline_propagation(spark, sf_dir):
-    bench = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(X.line_array(F.col("text")))).alias("line")).distinct()
-    known = lines.line_table(table(spark, sf_dir, "documents")).join(bench, "line", "left_semi").select(F.col("doc_id").alias("c_id")).distinct().withColumn("b", F.lit(True))
+    bench = stored(table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(X.line_array(F.col("text")))).alias("line")).distinct(), "bench")
+    known = sized_join(lines.line_table(table(spark, sf_dir, "documents")), bench, "line", "left_semi").select(F.col("doc_id").alias("c_id")).distinct().withColumn("b", F.lit(True))
     p = pairs_of(spark, sf_dir).select("q_id", "c_id").join(known, "c_id", "left").withColumn("baseline", F.coalesce("b", F.lit(False)))
     return selection.propagate(p.drop("b"), "baseline").select("q_id", "c_id", "baseline")
 
 
 def categories_of(spark, sf_dir) -> DataFrame:
     p = pairs_of(spark, sf_dir).select("q_id", F.col("tier").alias("category"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), F.col("lang").alias("module"))
-    return docs.join(p, "q_id", "left").select("q_id", "module", F.coalesce("category", F.lit("none")).alias("category"))
+    return module_rows(spark, sf_dir).join(p, "q_id", "left").select("q_id", "module", F.coalesce("category", F.lit("none")).alias("category"))
 
 
 def submodule_rollup(spark, sf_dir):
@@ -217,10 +211,9 @@ def submodule_rollup(spark, sf_dir):
 
 
 def undetected(spark, sf_dir):
-    p = pairs_of(spark, sf_dir)
-    best = p.groupBy("q_id").agg(F.max("hits").alias("most_hits"), F.bool_or(F.col("tier").isNotNull()).alias("found"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), F.length("text").cast("long").alias("size"))
-    return docs.join(best, "q_id", "left").filter(~F.coalesce("found", F.lit(False))).select("q_id", "size", F.coalesce("most_hits", F.lit(0)).alias("most_hits"))
+    """Documents without a link."""
+    found = pairs_of(spark, sf_dir).select("q_id")
+    return module_rows(spark, sf_dir, F.length("text").cast("long").alias("size")).join(found, "q_id", "left_anti").select("q_id", "size")
 
 
 def source_metrics_rank(spark, sf_dir):
@@ -249,8 +242,7 @@ def overview_reconcile(spark, sf_dir):
     p = pairs_of(spark, sf_dir)
     ok = (F.col("q_source") != F.col("c_source")) & (F.col("module") == F.col("c_lang")) & (F.col("hits") >= 2)
     by = p.groupBy("q_id").agg(F.when(F.bool_or(ok), "similar").otherwise("excluded").alias("cls"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"))
-    return rollup.overview(docs.join(by, "q_id", "left").select("q_id", F.coalesce("cls", F.lit("none")).alias("cls")))
+    return rollup.overview(module_rows(spark, sf_dir).join(by, "q_id", "left").select("q_id", F.coalesce("cls", F.lit("none")).alias("cls")))
 
 
 def file_line_coverage(spark, sf_dir):

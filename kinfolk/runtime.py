@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when a count of its written rows is at most this; every such side has narrow rows.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only when a count of its written rows and the bytes of its files are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 _FALLBACK: dict[str, str] = {}
 
@@ -36,11 +37,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session leaves it unset (single-machine tests) a temporary folder is made.
+    Only where the session leaves it unset and everything runs in one process (tests, benches) a temporary folder is made;
+    on a cluster it would be another folder on every machine, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="spark-kinfolk-")
@@ -64,9 +69,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored table is small enough to broadcast; counts only up to the limit."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table is small enough to broadcast: by the optimizer's bytes of its files, then by its rows, which
+    are counted only up to the limit."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= most_bytes and df.limit(limit + 1).count() <= limit
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str) -> DataFrame:

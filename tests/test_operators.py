@@ -51,8 +51,8 @@ def test_assignment_is_optimal(n, m, seed):
 
 
 def test_alignment_counts_query_lines():
-    assert align.aligned(["a", "b", "c"], ["a", "c"], ["a", "b", "c"], ["a", "c"]) == (2, 0, 2 / 3)
-    assert align.aligned(["x"], ["y"], ["ID"], ["ID"]) == (0, 1, 1.0) and align.aligned([], [], [], []) == (0, 0, 0.0)
+    assert align.aligned(["a", "b", "c"], ["a", "c"], ["a", "b", "c"], ["a", "c"])[:3] == (2, 0, 2 / 3)
+    assert align.aligned(["x"], ["y"], ["ID"], ["ID"])[:3] == (0, 1, 1.0) and align.aligned([], [], [], []) == (0, 0, 0.0, [])
 
 
 def test_segments(spark):
