@@ -35,10 +35,14 @@ def strip_line_comment(line: Column) -> Column:
     return F.btrim(F.regexp_replace(line, r"(//|#).*$", ""), F.lit(SPACE))
 
 
+def norm_lines(text: Column) -> Column:
+    """Folded, comment-free, non-blank lines."""
+    return F.filter(F.transform(line_array(text), strip_line_comment), lambda x: x != "")
+
+
 def norm_hash(text: Column) -> Column:
-    """sha1 over folded, comment-free, non-blank lines."""
-    lines = F.filter(F.transform(line_array(text), strip_line_comment), lambda x: x != "")
-    return F.sha1(F.array_join(lines, "\n").cast("binary"))
+    """sha1 over the normal lines."""
+    return F.sha1(F.array_join(norm_lines(text), "\n").cast("binary"))
 
 
 def raw_hash(text: Column) -> Column:

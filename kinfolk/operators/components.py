@@ -46,4 +46,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before, mark = mark, _mark(now)
         if mark == before:
             break
+    else:
+        raise RuntimeError(f"the components did not settle in {MAX_ROUNDS} rounds")
     return now.toDF("node", "component")

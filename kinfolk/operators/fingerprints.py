@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.scores import hamming, length_ratio_ok
 from kinfolk.functions.text import words
+from kinfolk.runtime import sized_join, stored
 
 BITS = 60
 BANDS = 4
@@ -31,18 +35,43 @@ def token_idf(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df")).withColumn("weight", F.log(F.lit(float(n)) / F.col("df")))
 
 
+def weighted_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, token, h, weight: each document's distinct words with their portable hashes and weights in thousandths.
+
+    A frequent word is a hot key of this join, so both sides are stored first: a small vocabulary is broadcast, and where it
+    is too large for that AQE can split the word.
+    """
+    tokens = stored(document_tokens(docs), "tokens")
+    weight = F.round(F.col("weight") * 1000).cast("long").alias("weight")
+    known = token_idf(tokens, docs.count()).select("token", weight, portable_hash(F.col("token")).alias("h"))
+    return sized_join(tokens, stored(known, "idf"), "token", "inner").select("doc_id", "token", "h", "weight")
+
+
 def weighted_fingerprints(weighted: DataFrame) -> DataFrame:
-    """doc_id, fp, n_tokens and weak_bits (the least confident bit of each band) from doc_id, token, weight (whole numbers).
+    """doc_id, fp, n_tokens and weak_bits (the least confident bit of each band) from doc_id, h, weight (whole numbers).
 
     A bit is set if the weights of the tokens that have it outweigh the others; weights of 0 or less are skipped.
     """
-    h = portable_hash(F.col("token"))
-    votes = weighted.filter("weight > 0").select("doc_id", "weight", h.alias("h"))
-    sums = votes.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), *(F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{b}") for b in range(BITS)))
-    fp = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(1, BITS)), F.when(F.col("b0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     width = BITS // BANDS
-    weak = [F.array_min(F.array(*(F.struct(F.abs(F.col(f"b{b}")).alias("votes"), F.lit(b).alias("bit")) for b in range(k * width, (k + 1) * width))))["bit"] for k in range(BANDS)]
-    return sums.select("doc_id", fp.alias("fp"), "n_tokens", F.array(*weak).alias("weak_bits"))
+
+    def run(batches):
+        shift = np.arange(BITS, dtype=np.int64)
+        for b in batches:
+            n = pc.list_value_length(b.column("e")).to_numpy()
+            e = b.column("e").flatten()
+            h, w = (e.field(k).to_numpy(zero_copy_only=False) for k in ("h", "weight"))
+            sums = np.zeros((len(n), BITS), np.int64)
+            ends = np.cumsum(n)
+            for at in range(0, len(n), 64):  # so many documents at once
+                lo, hi = ends[at] - n[at], ends[min(at + 64, len(n)) - 1]
+                votes = np.where((h[lo:hi, None] >> shift) & 1, w[lo:hi, None], -w[lo:hi, None])
+                sums[at : at + 64] = np.add.reduceat(votes, ends[at : at + 64] - n[at : at + 64] - lo, axis=0)
+            fp = ((sums > 0).astype(np.int64) << shift).sum(1)
+            weak = np.abs(sums).reshape(len(n), BANDS, width).argmin(2) + np.arange(BANDS) * width
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), pa.array(n.astype(np.int64)), pa.array(list(weak.astype(np.int32)), pa.list_(pa.int32()))], ["doc_id", "fp", "n_tokens", "weak_bits"])
+
+    votes = weighted.filter("weight > 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "weight")).alias("e"))  # a document's words
+    return votes.mapInArrow(run, "doc_id long, fp long, n_tokens long, weak_bits array<int>")
 
 
 def band(fp: Column, k: int, width: int = BITS // BANDS) -> Column:

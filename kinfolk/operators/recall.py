@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfolk.functions import text as X
+from kinfolk.runtime import stored
 
 
 def _sides(docs: DataFrame, is_query: Column, *names: str) -> tuple[DataFrame, DataFrame]:
@@ -29,26 +30,40 @@ def exact_fingerprint(docs: DataFrame, is_query: Column) -> DataFrame:
     return met.groupBy(F.col("q_doc_id").alias("q_id"), F.col("c_source").alias("source")).agg(F.min("c_doc_id").alias("c_id"))
 
 
-def name_matches(docs: DataFrame, is_query: Column, name: Column, shortest: int = 5, most: int = 10_000) -> DataFrame:
-    """All documents of other sources in the language with the query's name; more than most for one query is an error."""
-    named = docs.withColumn("name", name)
-    q, c = _sides(named, is_query, "name")
-    met = q.filter(F.length("q_name") >= shortest).join(c, (F.col("q_name") == F.col("c_name")) & (F.col("q_lang") == F.col("c_lang")) & (F.col("q_source") != F.col("c_source")))
-    n = F.count("*").over(W.partitionBy("q_doc_id"))
-    guarded = F.when(n > most, F.raise_error(F.lit("too many documents share a name"))).otherwise(F.col("c_doc_id"))
-    return met.select(F.col("q_doc_id").alias("q_id"), guarded.cast("long").alias("c_id"))
+def name_matches(docs: DataFrame, is_query: Column, name: Column, shortest: int = 5, most: int | None = None) -> DataFrame:
+    """Documents of other sources in the language with the query's name: q_id, c_id, c_copies.
+
+    A row per source: c_id is the smallest of its c_copies documents with the name, so a frequent name has as many rows as
+    sources and needs no cap. Where most is given, more documents than that for one query are an error, not a shorter list.
+    """
+    named = docs.select("doc_id", "source", "lang", name.alias("name"))
+    same = stored(named.filter(F.length("name") >= shortest).groupBy("name", "lang", "source").agg(F.min("doc_id").alias("c_id"), F.count("*").alias("c_copies")), "names")
+    q = stored(named.filter(is_query), "asked").select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), "lang", "name")
+    met = q.join(same, ["name", "lang"]).filter(F.col("q_source") != F.col("source"))
+    if most is not None:
+        n = F.sum("c_copies").over(W.partitionBy("q_id"))
+        met = met.withColumn("c_id", F.when(n > most, F.raise_error(F.lit("too many documents share a name"))).otherwise(F.col("c_id")).cast("long"))
+    return met.select("q_id", "c_id", "c_copies")
 
 
-def file_identity(docs: DataFrame, is_query: Column) -> DataFrame:
+def file_identity(docs: DataFrame, is_query: Column, least_lines: int = 5) -> DataFrame:
     """Per query: candidates with an equal normal, raw or source hash in other sources, and how many of them are verified.
 
     The disjunction is three equi-joins in union, not a nested loop. Only equal raw or source hashes verify a candidate.
+    Files of fewer than least_lines normal lines take no part. Equal files of a source are counted, not paired.
     """
-    hashed = docs.select("doc_id", "source", "lang", X.norm_hash(F.col("text")).alias("norm"), X.raw_hash(F.col("text")).alias("raw"), X.source_hash(F.col("text")).alias("src"))
-    q, c = _sides(hashed, is_query, "norm", "raw", "src")
-    met = [q.join(c, F.col(f"q_{k}") == F.col(f"c_{k}")).filter(F.col("q_source") != F.col("c_source")).select("q_doc_id", "c_doc_id", ((F.col("q_raw") == F.col("c_raw")) | F.coalesce(F.col("q_src") == F.col("c_src"), F.lit(False))).alias("verified")) for k in ("norm", "raw", "src")]
-    pairs = reduce(DataFrame.union, met).distinct()
-    return pairs.groupBy(F.col("q_doc_id").alias("q_id")).agg(F.count("*").alias("n_candidates"), F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_rejected"))
+    hashed = docs.filter(F.size(X.norm_lines(F.col("text"))) >= least_lines)
+    hashed = hashed.select("doc_id", "source", X.norm_hash(F.col("text")).alias("norm"), X.raw_hash(F.col("text")).alias("raw"), X.source_hash(F.col("text")).alias("src"))
+    hashed = stored(hashed.filter("source is not null"), "hashed")
+    equal = stored(hashed.groupBy("norm", "raw", "src", "source").agg(F.count("*").alias("n")), "equal")
+    c = equal.select(*(F.col(k).alias(f"c_{k}") for k in equal.columns))
+    asked = stored(hashed.filter(is_query).select("doc_id", *equal.columns[:4]), "asked")
+    kinds = asked.select(*equal.columns[:4]).distinct()
+    verified = (F.col("raw") == F.col("c_raw")) | F.coalesce(F.col("src") == F.col("c_src"), F.lit(False))
+    met = [kinds.join(c, F.col(k) == F.col(f"c_{k}")).filter(F.col("source") != F.col("c_source")) for k in ("norm", "raw", "src")]
+    pairs = reduce(DataFrame.union, met).distinct().groupBy(*equal.columns[:4]).agg(F.sum("c_n").alias("n_candidates"), F.sum(F.when(verified, F.col("c_n")).otherwise(0)).alias("n_verified"))
+    keys = [asked[k].eqNullSafe(pairs[k]) for k in equal.columns[:4]]
+    return asked.join(pairs, reduce(lambda x, y: x & y, keys)).select(asked["doc_id"].alias("q_id"), "n_candidates", "n_verified", (F.col("n_candidates") - F.col("n_verified")).alias("n_rejected"))
 
 
 def breadth(docs: DataFrame, least: int = 3) -> DataFrame:

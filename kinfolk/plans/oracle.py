@@ -18,14 +18,14 @@ pairs as (select *, case when line_sim > 0.95 then 'confirmed' when line_sim >=
 rows_ as (select doc_id as q_id, lang as module, text from documents)"""
 EXACT = """exact as (select q.doc_id as q_id, c.source, min(c.doc_id) as c_id from documents q join documents c on q.text = c.text and q.lang = c.lang and q.source <> c.source where q.doc_id % 50 = 0 group by 1, 2)"""
 NAMES = rf"""named as (select doc_id, source, lang, coalesce(({LINE_ARRAY})[1], '') as name from documents),
-names as (select q.doc_id as q_id, c.doc_id as c_id from named q join named c on q.name = c.name and q.lang = c.lang and q.source <> c.source where q.doc_id % 50 = 0 and length(q.name) >= 5)"""
+names as (select q.doc_id as q_id, min(c.doc_id) as c_id, count(*) as c_copies from named q join named c on q.name = c.name and q.lang = c.lang and q.source <> c.source where q.doc_id % 50 = 0 and length(q.name) >= 5 group by q.doc_id, c.source)"""
 RARE = f"""{LINES},
 rare as (select line from lines group by line having count(distinct source) between 2 and 5),
 {FOLDED.format(c='rare using (line) join lines c using (line)', asked='q.doc_id % 50 = 0')},
 hits as (select q_id, c_id, c_copies, hits from folded where q_source <> c_source)"""
 NORM = rf"list_filter(list_transform({LINE_ARRAY}, lambda x: trim(regexp_replace(x, '(//|#).*$', ''), ' ')), lambda x: x <> '')"
 HASHED = rf"""hashed as (select doc_id, source, sha1(array_to_string({NORM}, chr(10))) as norm, sha1(coalesce(text, '')) as raw,
-  case when len({WORDS}) >= 12 then sha1(array_to_string({WORDS}, ' ')) end as src from documents)"""
+  case when len({WORDS}) >= 12 then sha1(array_to_string({WORDS}, ' ')) end as src, len({NORM}) as n_norm from documents)"""
 COS = "list_cosine_similarity(q.embedding::double[], c.embedding::double[])"
 TOPK = "select q_id, id, round(score, 5) as score, rank from (select q.vec_id as q_id, c.vec_id as id, {cos} as score, row_number() over (partition by q.vec_id order by {cos} desc, c.vec_id) as rank from embeddings q join embeddings c on q.vec_id <> c.vec_id and {on} where q.vec_id % 50 = 0) where rank <= {k}"
 TOKENS = f"tokens as (select distinct doc_id, unnest({LOWER_WORDS}) as token from documents)"
@@ -50,7 +50,7 @@ def _jaccard(a: str, b: str) -> str:
 ORACLE: dict[str, str] = {
     "exact_fingerprint": f"with {EXACT} select * from exact",
     "file_identity_or": f"""with {HASHED},
-met as (select q.doc_id as q_id, c.doc_id as c_id, (q.raw = c.raw or coalesce(q.src = c.src, false)) as verified from hashed q join hashed c on q.source <> c.source and (q.norm = c.norm or q.raw = c.raw or q.src = c.src) where q.doc_id % 50 = 0)
+met as (select q.doc_id as q_id, c.doc_id as c_id, (q.raw = c.raw or coalesce(q.src = c.src, false)) as verified from hashed q join hashed c on q.source <> c.source and (q.norm = c.norm or q.raw = c.raw or q.src = c.src) where q.doc_id % 50 = 0 and q.n_norm >= 5 and c.n_norm >= 5)
 select q_id, count(*) as n_candidates, count(*) filter (verified) as n_verified, count(*) filter (not verified) as n_rejected from met group by 1""",
     "common_file_breadth": f"with {HASHED}, wide as (select norm, count(distinct source) as breadth from hashed group by 1) select doc_id, breadth, breadth >= 3 as is_common from hashed join wide using (norm)",
     "name_recall": f"with {NAMES} select * from names",
@@ -100,7 +100,7 @@ select doc_id, any_value(n_lines)::int as n_lines, coalesce(sum(n) filter (s is
 p as (select *, 100 * (0.5::double * mean_sim + 0.15::double + 0.2::double * least(1.0, lines / 300.0::double)) - least(18, greatest(0, sources - 2) * 2) as x from g)
 select c_source, module, functions, lines, round(mean_sim, 6) as mean_sim, sources, round(x, 4) as priority, case when x >= 78 then 'high' when x >= 62 then 'medium' else 'low' end as level from p""",
     "module_classifier": f"""with rules as (select * from (values ('core', 0, ['the', 'der', 'les', 'los']), ('link', 1, ['and', 'und', 'et', 'y']), ('place', 2, ['in', 'on', 'en', 'dans'])) v(module, ordinal, ks)),
-w as (select doc_id, lower(source) as p, {LOWER_WORDS} as w from documents), n as (select doc_id, module, ordinal, len(list_intersect(ks, regexp_split_to_array(p, '[^a-z0-9]+'))) as a, len(list_intersect(ks, w[1:20])) as b, len(list_intersect(ks, w)) as c from w, rules),
+w as (select doc_id, lower(source) as p, {LOWER_WORDS} as w, list_transform({LINE_ARRAY}, lambda x: split_part(lower(x), ' ', 1)) as heads from documents), n as (select doc_id, module, ordinal, len(list_intersect(ks, regexp_split_to_array(p, '[^a-z0-9]+'))) as a, len(list_intersect(ks, heads)) as b, len(list_intersect(ks, w)) as c from w, rules),
 s as (select doc_id, module, ordinal, least(11, 7 * a) + least(13, 10 * b) + least(8, 2 * c) as pts from n where a + b + c > 0), best as (select doc_id, arg_max(module, (pts, -ordinal)) as module, max(pts) as pts from s group by 1)
 select doc_id, coalesce(module, 'other') as module, coalesce(pts, 0)::bigint as points from documents left join best using (doc_id)""",
     "regex_evidence_scan": r"""with p as (select * from (values ('amount', '[0-9]{3}'), ('email', '[a-z0-9.]+@[a-z0-9.]+'), ('symbol', '[#$%&]{3}')) v(category, pattern)),
@@ -114,11 +114,12 @@ select page_id, md5(t) as text_md5, length(t)::int as n_chars from c""",
 select page_id, identity, substr(trim(regexp_replace(identity, '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) || '-' || substr(sha256(identity), 1, 24) as storage_key from i""",
     "full_text_search": r"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as t, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as line from documents)
 select doc_id, line::int as line from l where list_has_all(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+'), ['the', 'and', 'of'])""",
-    "call_chain": """with recursive n as (select user_id, ts, event_id, event_type || ':' || (user_id % 20) as caller from events), e0 as (select caller, lead(caller) over (partition by user_id order by ts, event_id) as callee from n), e as (select distinct caller, callee from e0 where callee is not null),
-r(root, node, depth) as (select distinct caller, caller, 0 from e where caller like '%:0' union select root, callee, depth + 1 from r join e on node = caller where depth < 3)
+    "call_chain": """with recursive n as (select user_id, ts, event_id, event_type || ':' || user_id as caller from events), e0 as (select caller, lead(caller) over w as callee, row_number() over w as k from n window w as (partition by user_id order by ts, event_id)),
+e as (select distinct caller, callee from e0 where callee is not null),
+r(root, node, depth) as (select caller, caller, 0 from e0 where k = 1 union select root, callee, depth + 1 from r join e on node = caller where depth < 5)
 select root, node, min(depth)::int as depth from r group by 1, 2""",
-    "reference_full_outer": f"""with n as (select doc_id, source, coalesce(({LINE_ARRAY})[1], '') as name from documents), q as (select name, min(doc_id) as q_id from n where source = 'src0' and length(name) >= 5 group by 1), r as (select name, min(doc_id) as r_id from n where source = 'src1' and length(name) >= 5 group by 1)
-select coalesce(q.name, r.name) as name, q_id, r_id, case when q_id is null then 'reference_only' when r_id is null then 'current_only' else 'both' end as state from q full join r on q.name = r.name""",
+    "reference_full_outer": f"""with n as (select doc_id, source, coalesce(({LINE_ARRAY})[1], '') as name from documents), q as (select source, name, min(doc_id) as q_id from n where source <> 'src0' and length(name) >= 5 group by 1, 2), r as (select name, min(doc_id) as r_id from n where source = 'src0' and length(name) >= 5 group by 1)
+select q.source, coalesce(q.name, r.name) as name, q_id, r_id, case when q_id is null then 'reference_only' when r_id is null then 'current_only' else 'both' end as state from q full join r on q.name = r.name""",
     "large_commit_threshold": f"""with {COMMITS}, k as (select grp, count(*) as n, count(*) filter (size is null) as n_unknown, case when count(*) filter (size > 0) >= 8 then greatest(100.0, ceil(median(size) filter (size > 0) * 2)) else 100.0 end::double as threshold from commits group by 1)
 select grp, any_value(n) as n, any_value(n_unknown) as n_unknown, round(any_value(threshold), 4) as threshold, count(*) filter (size >= threshold) as n_large from commits join k using (grp) group by 1""",
     "close_large_pairs": f"""with {COMMITS}, l as (select grp, id, ts, lead(id) over w as next_id, lead(ts) over w as next_ts from commits where size >= 50 window w as (partition by grp order by ts, id))

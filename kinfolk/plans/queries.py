@@ -49,7 +49,7 @@ def first_line():
 
 
 def name_recall(spark, sf_dir):
-    return recall.name_matches(table(spark, sf_dir, "documents"), asked(), first_line(), most=1_000_000)
+    return recall.name_matches(table(spark, sf_dir, "documents"), asked(), first_line())
 
 
 def rare_string_hits(spark, sf_dir):
@@ -73,15 +73,8 @@ def shingles_4(spark, sf_dir):
     return found.select("doc_id", F.size("s").alias("n_shingles"), F.size(F.array_distinct("s")).alias("n_distinct"))
 
 
-def weighted_tokens(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    tokens = stored(fingerprints.document_tokens(docs), "tokens")
-    idf = fingerprints.token_idf(tokens, docs.count()).select("token", F.round(F.col("weight") * 1000).cast("long").alias("weight"))
-    return tokens.join(idf, "token").select("doc_id", "token", "weight")
-
-
 def fingerprinted(spark, sf_dir) -> DataFrame:
-    return stored(fingerprints.weighted_fingerprints(weighted_tokens(spark, sf_dir)), "fps")
+    return stored(fingerprints.weighted_fingerprints(fingerprints.weighted_tokens(table(spark, sf_dir, "documents"))), "fps")
 
 
 def simhash_fingerprint(spark, sf_dir):
@@ -128,7 +121,7 @@ def channels(spark, sf_dir) -> DataFrame:
     rows = vector_rows(spark, sf_dir)
     near = vectors.topk(rows.filter(asked("id")), rows, 5).select("q_id", F.col("id").alias("c_id"), F.round("score", 5).alias("score"))
     exact = recall.exact_fingerprint(docs, asked()).select("q_id", "c_id", F.lit(1.0).alias("score"))
-    named = recall.name_matches(docs, asked(), first_line(), most=1_000_000).select("q_id", "c_id", F.lit(0.0).alias("score"))
+    named = recall.name_matches(docs, asked(), first_line()).select("q_id", "c_id", F.lit(0.0).alias("score"))
     return recall.recall_union([("vector", near), ("fingerprint", exact), ("name", named)])
 
 
@@ -258,7 +251,8 @@ def module_classifier(spark, sf_dir):
     rules = spark.createDataFrame([(m, k, w) for k, (m, ws) in enumerate(RULES.items()) for w in ws], "module string, ordinal int, keyword string")
     docs = table(spark, sf_dir, "documents")
     w = X.words(F.lower("text"))
-    return rollup.classify(docs, rules, F.col("source"), F.slice(w, 1, 20), w)
+    heads = F.transform(X.line_array(F.lower("text")), lambda x: F.split(x, " ")[0])
+    return rollup.classify(docs, rules, F.col("source"), heads, w)
 
 
 def regex_evidence_scan(spark, sf_dir):
@@ -279,18 +273,22 @@ def full_text_search(spark, sf_dir):
 
 
 def call_chain(spark, sf_dir):
+    """Which kinds of event each user reaches, in how few steps, from the first one."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    node = F.concat(F.col("event_type"), F.lit(":"), (F.col("user_id") % 20).cast("string"))
-    edges = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", node.alias("caller")).withColumn("callee", F.lead("caller").over(order)).filter("callee is not null").select("caller", "callee").distinct()
-    return search.reachable(stored(edges, "edges"), edges.select(F.col("caller").alias("node")).filter(F.col("node").endswith(":0")), 3)
+    node = F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))
+    steps = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", node.alias("caller"))
+    steps = stored(steps.withColumn("callee", F.lead("caller").over(order)).withColumn("k", F.row_number().over(order)), "steps")
+    edges = stored(steps.filter("callee is not null").select("caller", "callee").distinct(), "edges")
+    return search.reachable(edges, steps.filter("k = 1").select(F.col("caller").alias("node")))
 
 
 def reference_full_outer(spark, sf_dir):
+    """Names of every source against those of src0; reference_only names are in no other source."""
     docs = table(spark, sf_dir, "documents").select("source", first_line().alias("name"), "doc_id").filter(F.length("name") >= 5)
-    side = lambda s, p: docs.filter(F.col("source") == s).groupBy("name").agg(F.min("doc_id").alias(f"{p}_id"))
-    both = side("src0", "q").join(side("src1", "r"), "name", "full_outer")
+    q = docs.filter("source <> 'src0'").groupBy("source", "name").agg(F.min("doc_id").alias("q_id"))
+    both = q.join(docs.filter("source = 'src0'").groupBy("name").agg(F.min("doc_id").alias("r_id")), "name", "full_outer")
     state = F.when(F.col("q_id").isNull(), "reference_only").when(F.col("r_id").isNull(), "current_only").otherwise("both")
-    return both.select("name", "q_id", "r_id", state.alias("state"))
+    return both.select("source", "name", "q_id", "r_id", state.alias("state"))
 
 
 def commits_of(spark, sf_dir) -> DataFrame:
