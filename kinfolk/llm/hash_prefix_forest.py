@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 A tree is a sorted array of long hash strings (signs of random projections). A query goes down every tree to its longest
-prefix matches, then up through all trees at the same time, one bit a step, until they hold enough candidates together;
-all of these are scored exactly.
+prefix matches, then up through all trees at the same time, one bit a step, until the ranges it has opened hold ENTRIES
+times the rows together. A row gets a vote for every range that holds it, which is the length of its common prefix with the
+query added up over the trees. The rows with the most votes, a share of all with everything that ties with the last of
+them, are the candidates; they are scored exactly.
 
 The forest is cut into shards of bounded size by a hash of the id, each with its own trees, so a shard's index is one row
 of bounded size. Queries are packed in blocks of bounded size as well; every block meets every shard through an equi-join
 on the shard's number, and only the best k of a block's queries leave a shard. The candidates wanted are a share of the
-shard, as recall at a fixed number would fall as shards fill; nothing caps how many an equal prefix brings.
+shard at every size, as recall at a fixed number would fall as shards fill.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id; only vectors of one length are compared; rows with the query's id are not its candidates; of repeated query rows one
@@ -27,9 +29,10 @@ TREES = 64
 BITS = 32
 SHARD = 8192
 BLOCK = 512
-#: Candidates wanted, as a share of a shard's rows; shards of up to SMALL rows are candidates as a whole.
-SHARE = 0.55
-SMALL = 1000
+#: Entries of the opened ranges, times the shard's rows, at which the ascent ends.
+ENTRIES = 6
+#: Candidates, as a share of a shard's rows.
+SHARE = 0.35
 SEED = 7
 
 
@@ -79,24 +82,39 @@ def packed(rows: DataFrame, with_trees: bool) -> DataFrame:
     return rows.groupBy("dim", "part").applyInArrow(run, ddl)
 
 
-def ascend(strings: np.ndarray, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query and tree, the range of sorted entries under the deepest common level that holds enough."""
-    n, trees = queries.shape
-    low, high = np.zeros((n, trees), np.int64), np.full((n, trees), strings.shape[1], np.int64)
-    open_ = np.arange(n)
+def votes(strings: np.ndarray, entries: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """queries x rows: how many ranges a query opened hold the row. strings, entries: trees x rows, sorted by tree."""
+    (trees, rows), n = strings.shape, len(queries)
+    a, b = (np.zeros((BITS + 1, trees, n), np.int32) for _ in range(2))
+    end = np.zeros(n, np.int64)  # the level where a query's ascent ends
     for bits in range(BITS, 0, -1):
         mask = np.uint32(((1 << bits) - 1) << (BITS - bits))
-        a, b = np.empty((len(open_), trees), np.int64), np.empty((len(open_), trees), np.int64)
         for t in range(trees):
-            least = queries[open_, t] & mask
-            a[:, t] = np.searchsorted(strings[t], least, side="left")
-            b[:, t] = np.searchsorted(strings[t], least | ~mask, side="right")
-        enough = (b - a).sum(1) >= wanted
-        low[open_[enough]], high[open_[enough]] = a[enough], b[enough]
-        open_ = open_[~enough]
-        if not len(open_):
+            least = queries[:, t] & mask
+            a[bits, t] = np.searchsorted(strings[t], least, side="left")
+            b[bits, t] = np.searchsorted(strings[t], least | ~mask, side="right")
+        enough = (b[bits] - a[bits]).sum(0, dtype=np.int64) >= ENTRIES * rows
+        end[enough & (end == 0)] = bits
+        if (end > 0).all():
             break
-    return low, high
+    end = np.maximum(end, 1)
+    out = np.zeros((n, rows), np.int16)
+    change = np.zeros((n, rows + 1), np.int16)
+    for t in range(trees):
+        change[:] = 0
+        for bits in range(BITS, int(end.min()) - 1, -1):
+            at = np.flatnonzero(end <= bits)
+            change[at, a[bits, t, at]] += 1
+            change[at, b[bits, t, at]] -= 1
+        out[:, entries[t]] += np.cumsum(change[:, :-1], axis=1, dtype=np.int16)
+    return out
+
+
+def candidates(strings: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: int, share: float) -> np.ndarray:
+    """queries x rows: whether a row is scored. At least `least` rows are, if there are as many."""
+    v = votes(strings, entries, queries)
+    wanted = min(v.shape[1], max(least, int(np.ceil(share * v.shape[1]))))
+    return v >= np.partition(v, -wanted, axis=1)[:, -wanted][:, None]
 
 
 def _search(k: int, share: float):
@@ -107,15 +125,10 @@ def _search(k: int, share: float):
                 ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
                 entries, strings = np.frombuffer(r["entries"], "<i4").reshape(TREES, -1), np.frombuffer(r["strings"], "<u4").reshape(TREES, -1)
                 asked, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dim)
-                # entries repeat over trees: the share is wanted of distinct rows, about 1 - exp(-total / rows) of them
-                wanted = int(np.ceil(max(k + 1, -np.log1p(-share) * len(ids)))) if len(ids) > SMALL else TREES * len(ids)
-                low, high = ascend(strings, hash_strings(q.astype(np.float32), projections(dim)), wanted)
+                hit = candidates(strings, entries, hash_strings(q.astype(np.float32), projections(dim)), k + 1, share)
                 out: list[tuple] = []
                 for i in range(len(asked)):
-                    hit = np.zeros(len(ids), bool)
-                    for t in range(TREES):
-                        hit[entries[t, low[i, t] : high[i, t]]] = True
-                    at = np.flatnonzero(hit & (ids != asked[i]))
+                    at = np.flatnonzero(hit[i] & (ids != asked[i]))
                     d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
                     if len(at) > k:
                         near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])

@@ -1,17 +1,24 @@
-"""Mixing sources to target weights by Pareto order sampling.
+"""Mixing sources to target weights by Pareto order sampling with unequal inclusion odds.
 
-A source's target over its size is the number of times its documents should be taken. Whole copies are certain; for the
-fraction p left, every document gets the ranking value (u / (1 - u)) / (p / (1 - p)) with its own random u, and documents
-are taken in that order until the words wanted are reached. A closing document, the best fit among those left, makes up
-the difference.
+Every document of a source is due a number of copies in proportion to size to the power POWER, at most MOST_COPIES, such
+that the words due add up to the source's target. The whole part of that number is certain. The fraction left is the
+document's inclusion probability p: longer documents are likelier, and the longest, which would make a total uncertain,
+are certain. Each document gets the ranking value (u / (1 - u)) / (p / (1 - p)) with its own random u, and the documents
+of a source are taken in that order up to a fixed size.
 
-No source is sorted: ranking values fall into a fixed number of cells, sums by cell give the cell where the order is cut,
-and only that cell's documents are ordered. The outcome is a table with one row per source (copies, the cut, the closing
-document), so applying it to texts is one join with that table and needs no second look at other documents.
+The sample's size is fixed in words: the order is cut where the words of the fractions due are reached. What a long
+document at the cut leaves open is filled in the same order by documents that fit, twice, and then by a closing document:
+of those left the one that fits best, if any brings the total nearer.
+
+No source is sorted: ranking values fall into a fixed number of cells, sums by cell give the cell where an order is cut,
+and only that cell's documents are ordered. What a source is due follows from counts by source and size (as many rows as
+there are distinct sizes). The outcome is a table with one row per source (the scale of the copies due, the cuts, the
+closing document), so applying it to texts is one join with that table and needs no second look at other documents.
 
 Defined results: a null text has size 0 and a null source is a source of its own, last in order; documents of size 0 take
-nothing; u depends on the seed, doc_id and source alone, so reruns agree; rows with one doc_id in one source are taken or
-left together; an empty table gives an empty result; extra columns are kept by apply_plan and ignored by plan_mix.
+nothing; u depends on the seed, doc_id (null or not), source and text, so reruns agree and rows that agree in all three
+are taken or left together; an empty table gives an empty result; extra columns are kept by apply_plan and ignored by
+plan_mix.
 """
 
 from __future__ import annotations
@@ -27,7 +34,11 @@ from kinfolk.runtime import sized_join, stored
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
+#: Copies due grow with size to this power.
+POWER = 0.5
 CELLS = 4096
+#: Cuts of the order: the sample's own, then those of documents that fit in what is left.
+CUTS = 3
 SEED = 20
 
 
@@ -35,10 +46,14 @@ def size_of(text: Column) -> Column:
     return F.size(words_of(F.coalesce(text, F.lit("")))).cast("long")
 
 
-def uniform(doc: Column, source: Column, seed: int) -> Column:
-    """A number in (0, 1) of its own for each document."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc, F.coalesce(source, F.lit("")), source.isNull()), 12)
-    return (bits.cast("double") + 0.5) / float(1 << 52)
+def row_key(doc: Column, source: Column, text: Column) -> Column:
+    """What tells rows apart: equal rows share it."""
+    return F.xxhash64(doc, doc.isNull(), F.coalesce(source, F.lit("")), source.isNull(), text)
+
+
+def uniform(rk: Column, seed: int) -> Column:
+    """A number in (0, 1) of its own for each row key."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), rk), 12).cast("double") + 0.5) / float(1 << 52)
 
 
 def ranking(u: Column, p: Column) -> Column:
@@ -61,39 +76,87 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     before = W.orderBy("fills", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
     rows = rows.withColumn("level", (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    held = F.when(F.col("fills") >= F.col("level"), F.struct("fills", "level"))
-    rows = rows.withColumn("water", F.min(held).over(whole)["level"])
+    place = F.row_number().over(W.orderBy("fills", F.col("source").asc_nulls_last()))
+    held = F.when(F.col("fills") >= F.col("level"), F.struct(place.alias("place"), "level"))
+    rows = rows.withColumn("held", held).withColumn("water", F.min("held").over(whole)["level"])
     target = F.least(F.col("ceiling"), F.coalesce(F.col("weight") * F.col("water"), F.col("ceiling")))
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """One row per source: source, source_size, target, copies, p, cut_rank and cut_id (the last document taken), extra_id.
+def due(size: Column, scale: Column, power: float, most: int) -> Column:
+    """Copies due to a document of a size; a hair below a whole number counts as that number."""
+    n = F.least(F.lit(float(most)), scale * F.pow(size.cast("double"), F.lit(power)))
+    return F.when(size <= 0, 0.0).when(F.ceil(n) - n < 1e-9, F.ceil(n).cast("double")).otherwise(n)
+
+
+def scales(counts: DataFrame, goal: DataFrame, power: float, most: int) -> DataFrame:
+    """key and scale of the copies due, such that the words due are the target: sizes whose copies reach most are set to it,
+    the others share the rest. counts: key, size, n (rows of the size); goal: key, target."""
+    a = F.pow(F.col("size").cast("double"), F.lit(power))
+    rows = sized_join(counts.filter("size > 0"), goal.select("key", "target"), "key", "inner")
+    rows = rows.withColumn("a", a).withColumn("words", F.col("n") * F.col("size")).withColumn("load", F.col("n") * F.col("size") * a)
+    by = W.partitionBy("key").orderBy("size")  # one row per distinct size
+    larger = W.partitionBy("key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("load", F.sum("load").over(by)).withColumn("full", F.coalesce(F.sum("words").over(larger), F.lit(0)))
+    # if this size is the largest one that is not at the ceiling
+    rows = rows.withColumn("scale", F.greatest(F.lit(0.0), F.col("target") - float(most) * F.col("full")) / F.col("load"))
+    held = F.max(F.when(F.col("scale") * F.col("a") <= most, F.struct("size", "scale")))
+    # no such size: all are at the ceiling
+    return rows.groupBy("key").agg(F.coalesce(held["scale"], F.lit(float(most))).alias("scale"))
 
-    docs: doc_id, source, size (narrow, stored).
+
+def cut(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """key, cut_rank, reached: where each source's order passes its gap. rows: key, size, rank, cell, gap, low; gaps: key.
+
+    Documents larger than the gap or ranked at or before low are not in the order.
     """
-    goal = targets(docs.select("source", "size"), weights, share, most)
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.withColumn("copies", F.floor(times + 1e-12)).withColumn("p", times - F.col("copies"))
-    goal = goal.withColumn("wanted", F.when(F.col("p") > 1e-12, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(F.lit(0.0)))
-    goal = stored(goal.withColumn("key", source_key(F.col("source"))), "goal")
-    rows = sized_join(docs.filter("size > 0").withColumn("key", source_key(F.col("source"))), goal.filter("wanted > 0").select("key", "p", "wanted"), "key", "inner")
-    rows = rows.withColumn("rank", ranking(uniform(F.col("doc_id"), F.col("source"), seed), F.col("p")))
-    rows = stored(rows.select("key", "doc_id", "size", "rank", "wanted", F.floor(F.col("rank") * CELLS).cast("int").alias("cell")), "ranked")
-    cells = rows.groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
+    open_ = rows.filter((F.col("rank") > F.col("low")) & (F.col("size") <= F.col("gap")))  # those that fit
+    cells = open_.groupBy("key", "cell").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     upto = F.sum("words").over(W.partitionBy("key").orderBy("cell"))  # at most CELLS rows a source
-    cells = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
-    edge = stored(cells.filter("before <= wanted and upto > wanted").select("key", "cell", "before"), "edge")
-    inside = rows.join(F.broadcast(edge) if edge.limit(10_001).count() <= 10_000 else edge, ["key", "cell"])
-    reached = F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("rank", "doc_id"))
-    inside = inside.withColumn("reached", reached).filter("reached <= wanted")
-    last = inside.groupBy("key").agg(F.max(F.struct("rank", "doc_id", "reached")).alias("cut"))
-    cuts = edge.join(last, "key", "left").select("key", F.coalesce("cut.rank", F.col("cell") / CELLS).alias("cut_rank"), F.col("cut.doc_id").alias("cut_id"), F.coalesce("cut.reached", "before").alias("reached"))
-    cuts = stored(cuts, "cuts")
-    gap = F.col("wanted") - F.col("reached")
-    over = sized_join(rows, cuts, "key", "inner").filter(~taken(F.col("rank"), F.col("doc_id"))).withColumn("off", F.abs(F.col("size") - gap)).filter(F.col("off") < gap)
-    extra = over.groupBy("key").agg(F.min(F.struct("off", "rank", "doc_id")).alias("e")).select("key", F.col("e.doc_id").alias("extra_id"))
-    return goal.join(cuts, "key", "left").join(extra, "key", "left").select("source", "key", "source_size", "target", "copies", "p", F.col("wanted"), "cut_rank", "cut_id", "extra_id")
+    cells = stored(cells.withColumn("upto", upto), "cells")
+    edge = stored(cells.filter("upto - words <= gap and upto > gap").select("key", "cell", (F.col("upto") - F.col("words")).alias("before")), "edge")
+    inside = sized_join(open_.drop("before"), edge, ["key", "cell"], "inner")
+    # equal rows have one value and are summed together
+    reached = F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("rank"))
+    last = inside.withColumn("reached", reached).filter("reached <= gap").groupBy("key").agg(F.max(F.struct("rank", "reached")).alias("last"))
+    whole = cells.groupBy("key").agg(F.max("upto").alias("all"))
+    found = gaps.select("key").join(whole, "key", "left").join(edge, "key", "left").join(last, "key", "left")
+    # without an edge every document of the order is taken
+    at = F.when(F.col("cell").isNull(), 2.0).otherwise(F.coalesce("last.rank", F.col("cell") / float(CELLS) * (1 - 2.0**-52)))
+    return found.select("key", at.alias("cut_rank"), F.coalesce("last.reached", "before", "all", F.lit(0)).alias("reached"))
+
+
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED, power: float = POWER) -> DataFrame:
+    """One row per source: source, key, source_size, target, scale, cuts (cap and rank: documents of at most cap words up to
+    that value are taken), extra (row key of the closing document).
+
+    docs: rk, source, size (narrow, stored).
+    """
+    goal = stored(targets(docs.select("source", "size"), weights, share, most).withColumn("key", source_key(F.col("source"))), "goal")
+    keyed = docs.withColumn("key", source_key(F.col("source")))
+    counts = stored(keyed.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
+    goal = stored(goal.join(scales(counts, goal, power, most), "key", "left").withColumn("scale", F.coalesce("scale", F.lit(0.0))), "goal")
+    n = due(F.col("size"), F.col("scale"), power, most)
+    sure = sized_join(counts, goal, "key", "inner").groupBy("key").agg(F.sum(F.floor(n) * F.col("size") * F.col("n")).alias("sure"))
+    p = n - F.floor(n)
+    rows = sized_join(keyed.filter("size > 0").select("key", "rk", "size"), goal.select("key", "scale"), "key", "inner").withColumn("p", p).filter("p > 0")
+    rank = ranking(uniform(F.col("rk"), seed), F.col("p"))
+    rows = stored(rows.select("key", "rk", "size", rank.alias("rank"), F.floor(rank * CELLS).cast("int").alias("cell")), "ranked")
+    gaps = stored(goal.join(sure, "key").select("key", (F.col("target") - F.col("sure")).alias("gap"), F.lit(-1.0).alias("low"), F.array().cast("array<struct<cap:double,rank:double>>").alias("cuts")), "gaps")
+    for k in range(CUTS):
+        found = cut(sized_join(rows, gaps.drop("cuts"), "key", "inner"), gaps)
+        cap = F.col("gap").cast("double")
+        more = F.concat("cuts", F.array(F.struct(cap.alias("cap"), F.col("cut_rank").alias("rank"))))
+        gaps = stored(gaps.join(found, "key").select("key", (F.col("gap") - F.col("reached")).alias("gap"), F.col("cut_rank").alias("low"), more.alias("cuts")), "gaps")
+    behind = sized_join(rows, gaps, "key", "inner").filter(~within(F.col("size"), F.col("rank"), F.col("cuts"))).groupBy("key", "rk", "rank", "gap").agg(F.sum("size").alias("size"))
+    behind = behind.withColumn("off", F.abs(F.col("size") - F.col("gap"))).filter(F.col("off") < F.col("gap"))
+    extra = behind.groupBy("key").agg(F.min(F.struct("off", "rank", "rk")).alias("e")).select("key", F.col("e.rk").alias("extra"))
+    return goal.join(gaps.select("key", "cuts"), "key", "left").join(extra, "key", "left").select("source", "key", "source_size", "target", "scale", "cuts", "extra")
+
+
+def within(size: Column, rank: Column, cuts: Column) -> Column:
+    """Whether one of the cuts takes a document."""
+    return F.coalesce(F.exists(cuts, lambda c: (size <= c["cap"]) & (rank <= c["rank"])), F.lit(False))
 
 
 def source_key(source: Column) -> Column:
@@ -101,34 +164,30 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
-def taken(rank: Column, doc: Column) -> Column:
-    """Whether a document comes at or before the cut."""
-    at = (rank == F.col("cut_rank")) & (doc <= F.col("cut_id"))
-    return F.coalesce((rank < F.col("cut_rank")) | at, F.lit(False))
-
-
-def apply_plan(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, source and any others) with a struct _mix: source_size, target and n_copies of each document."""
-    plan = stored(plan.select("key", "source_size", "target", "copies", "p", "wanted", "cut_rank", "cut_id", "extra_id"), "plan")
+def apply_plan(docs: DataFrame, plan: DataFrame, rk: Column, size: Column, seed: int = SEED, power: float = POWER, most: int = MOST_COPIES) -> DataFrame:
+    """docs (source and any others) with a struct _mix: source_size, target and n_copies of each document. rk and size: the
+    row key and the size, as in plan_mix, over the columns of docs."""
+    plan = stored(plan.select("key", "source_size", "target", "scale", "cuts", "extra"), "plan")
     renamed = plan.select(F.col("key").alias("_key"), F.struct(*(c for c in plan.columns if c != "key")).alias("_plan"))
-    rows = sized_join(docs.withColumn("_key", source_key(F.col("source"))), renamed, "_key", "left")
-    p, doc = F.col("_plan"), F.col("doc_id")
-    rank = ranking(uniform(doc, F.col("source"), seed), p["p"])
-    before = (rank < p["cut_rank"]) | ((rank == p["cut_rank"]) & (doc <= p["cut_id"]))
-    one = F.coalesce(before, F.lit(False)) | F.coalesce(doc == p["extra_id"], F.lit(False))
-    # a source that has no cut and still wants words wants all of them: every document is taken once more
-    whole = p["cut_rank"].isNull() & (p["wanted"] > 0)
-    n = F.coalesce(p["copies"] + F.when(whole | one, 1).otherwise(0), F.lit(0)).cast("int")
-    return rows.select(*docs.columns, F.struct(p["source_size"].alias("source_size"), p["target"].alias("target"), n.alias("n_copies")).alias("_mix"))
+    rows = docs.withColumn("_key", source_key(F.col("source"))).withColumn("_rk", rk).withColumn("_size", size)
+    rows = sized_join(rows, renamed, "_key", "left")
+    plan_of = F.col("_plan")
+    n = due(F.col("_size"), plan_of["scale"], power, most)
+    p = n - F.floor(n)
+    rank = ranking(uniform(F.col("_rk"), seed), p)
+    chosen = (p > 0) & (within(F.col("_size"), rank, plan_of["cuts"]) | F.coalesce(F.col("_rk") == plan_of["extra"], F.lit(False)))
+    copies = F.coalesce(F.floor(n) + F.when(chosen, 1).otherwise(0), F.lit(0)).cast("int")
+    return rows.select(*docs.columns, F.struct(plan_of["source_size"].alias("source_size"), plan_of["target"].alias("target"), copies.alias("n_copies")).alias("_mix"))
 
 
 def sized(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size of every document, stored."""
-    return stored(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "sizes")
+    """doc_id, source, size, rk of every document, stored."""
+    i, s = F.col(doc).cast("long"), F.col(source).cast("string")
+    return stored(docs.select(i.alias("doc_id"), s.alias("source"), size_of(F.col(text)).alias("size"), row_key(i, s, F.col(text)).alias("rk")), "sizes")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED, power: float = POWER) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) of every document."""
     rows = sized(docs)
-    out = apply_plan(rows, plan_mix(rows, weights, share, most, seed), seed)
+    out = apply_plan(rows, plan_mix(rows, weights, share, most, seed, power), F.col("rk"), F.col("size"), seed, power, most)
     return out.select("doc_id", "source", "size", "_mix.source_size", "_mix.target", (F.col("_mix.n_copies") * F.col("size")).cast("long").alias("taken"))

@@ -141,14 +141,34 @@ def test_nearest_neighbours(spark):
     assert hash_prefix_forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_small_tables_are_exact(spark):
-    rng = np.random.default_rng(2)
-    rows = [(k, rng.standard_normal(8).tolist()) for k in range(300)]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {}
-    for r in hash_prefix_forest.nearest(df, df.filter("id % 100 = 0")).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
-    assert {q: [v[k] for k in sorted(v)] for q, v in got.items()} == {q: [i for _, i in d] for q, d in brute(rows, 10).items()}
+@pytest.mark.parametrize("rows", [500, 2000, 8192])
+def test_recall_of_the_forest_on_unclustered_vectors(rows):
+    """The hardest case: directions without any structure, one path at every size."""
+    rng = np.random.default_rng(rows)
+    x = rng.standard_normal((rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:: rows // 50]
+    planes = hash_prefix_forest.projections(64)
+    strings = hash_prefix_forest.hash_strings(x.astype(np.float32), planes).T
+    by = np.argsort(strings, axis=1, kind="stable")
+    hit = hash_prefix_forest.candidates(np.take_along_axis(strings, by, axis=1), by, hash_prefix_forest.hash_strings(q.astype(np.float32), planes), 11, hash_prefix_forest.SHARE)
+    near = np.argsort(-(q @ x.T), axis=1)[:, 1:11]
+    assert np.take_along_axis(hit, near, axis=1).mean() >= 0.9 and hit.mean() < 0.4
+
+
+def test_votes_are_common_prefix_lengths():
+    rng = np.random.default_rng(5)
+    strings = rng.integers(0, 1 << 32, (hash_prefix_forest.TREES, 300), np.uint64).astype(np.uint32)
+    queries = strings[:, :4].T.copy()
+    by = np.argsort(strings, axis=1, kind="stable")
+    got = hash_prefix_forest.votes(np.take_along_axis(strings, by, axis=1), by, queries)
+    common = np.zeros((4, 64, 300), int)
+    for i in range(4):
+        for t in range(64):
+            common[i, t] = [32 - int(a ^ queries[i, t]).bit_length() for a in strings[t].tolist()]
+    for i in range(4):
+        level = next(b for b in range(32, 0, -1) if (common[i] >= b).sum() >= hash_prefix_forest.ENTRIES * 300)
+        assert got[i].tolist() == np.maximum(common[i] - level + 1, 0).sum(0).tolist()
 
 
 def test_host_of(spark):

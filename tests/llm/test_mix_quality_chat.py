@@ -41,10 +41,83 @@ def test_mix(spark):
     assert mix_pareto.mix(docs.limit(0)).count() == 0
 
 
+def brute_due(sizes, target, most=2, power=0.5):
+    """Copies due by bisection on the scale."""
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        at = (low + high) / 2
+        low, high = (at, high) if sum(min(most, at * s**power) * s for s in sizes if s) < target else (low, at)
+    return [min(most, high * s**power) if s else 0.0 for s in sizes]
+
+
+def mixed_sizes(n=400):
+    return [(k * k) % 97 + 1 if k % 50 else 4000 for k in range(n)]
+
+
+def test_copies_due_and_the_order_are_those_of_brute_force(spark):
+    sizes = mixed_sizes()
+    docs = spark.createDataFrame([(k, "w " * s, "ab"[k % 2]) for k, s in enumerate(sizes)], "doc_id long, text string, source string")
+    rows = mix_pareto.sized(docs)
+    plan = {r.source: r for r in mix_pareto.plan_mix(rows, share=0.7).collect()}
+    u = {r.doc_id: r.u for r in rows.select("doc_id", mix_pareto.uniform(F.col("rk"), mix_pareto.SEED).alias("u")).collect()}
+    taken = {r.doc_id: r.taken for r in mix_pareto.mix(docs, share=0.7).collect()}
+    key = {r.doc_id: r.rk for r in rows.collect()}
+    for source in "ab":
+        ids = [k for k in range(len(sizes)) if "ab"[k % 2] == source]
+        n = dict(zip(ids, brute_due([sizes[k] for k in ids], plan[source].target), strict=True))
+        assert sum(n[k] * sizes[k] for k in ids) == pytest.approx(plan[source].target, rel=1e-6)
+        frac = {k: n[k] - int(n[k] + 1e-7) for k in ids}
+        open_ = [k for k in ids if frac[k] > 1e-6]
+        assert len({round(frac[k], 6) for k in open_}) > 20  # the odds differ
+        order = sorted(open_, key=lambda k: u[k] / (1 - u[k]) * (1 - frac[k]) / frac[k])
+        left = plan[source].target - sum(int(n[k] + 1e-7) * sizes[k] for k in ids)
+        want = {k: int(n[k] + 1e-7) for k in ids}
+        for _ in range(mix_pareto.CUTS):
+            cap, rest = left, []
+            going = True
+            for k in order:
+                going = going and not (sizes[k] <= cap and sizes[k] > left)
+                if going and sizes[k] <= cap:
+                    want[k] += 1
+                    left -= sizes[k]
+                else:
+                    rest.append(k)
+            order = rest
+        close = [(abs(sizes[k] - left), j, k) for j, k in enumerate(order) if abs(sizes[k] - left) < left]
+        if close:
+            want[min(close)[2]] += 1
+            assert key[min(close)[2]] == plan[source].extra
+        assert {k: taken[k] // sizes[k] for k in ids} == want
+
+
 def test_inclusion_follows_the_odds(spark):
-    docs = spark.createDataFrame([(k, "w w w", "a" if k % 4 else "b") for k in range(4000)], "doc_id long, text string, source string")
-    out = mix_pareto.mix(docs, share=0.5).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
-    assert all(abs(r.t - r.g) <= 3 for r in out)
+    """Sixty sources with the same documents are sixty draws: each has random numbers of its own."""
+    sizes, draws = [(k * k) % 97 + 1 if k % 50 else 300 for k in range(300)], 60
+    docs = spark.createDataFrame([(k, "w " * s, f"s{d:02}") for d in range(draws) for k, s in enumerate(sizes)], "doc_id long, text string, source string")
+    out = mix_pareto.mix(docs, weights=(1,), share=0.6).collect()
+    hits, total = [0] * len(sizes), {}
+    for r in out:
+        hits[r.doc_id] += r.taken // r.size
+        total[r.source] = total.get(r.source, 0) + r.taken
+        assert abs(r.target - 0.6 * sum(sizes)) < 1e-6
+    assert all(abs(x - 0.6 * sum(sizes)) <= 3 for x in total.values())
+    groups = {}
+    for s, h, n in zip(sizes, hits, brute_due(sizes, 0.6 * sum(sizes)), strict=True):
+        groups.setdefault(s // 20, []).append((h / draws, n))
+    rates = {g: (sum(x for x, _ in v) / len(v), sum(n for _, n in v) / len(v)) for g, v in groups.items()}
+    assert all(abs(x - n) < 0.05 for x, n in rates.values())
+    assert rates[0][0] + 0.15 < rates[2][0] < rates[4][0] - 0.05
+
+
+def test_null_ids_and_repeated_rows(spark):
+    data = [(None, f"{'w ' * (k % 9 + 1)}{k}", "a") for k in range(300)] + [(7, "x " * 5, "a")] * 6 + [(8, "x", "b"), (9, "y", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mix_pareto.mix(docs, share=0.5).collect()
+    some = [r for r in out if r.doc_id is None]
+    assert 0 < sum(r.taken > 0 for r in some) < len(some)
+    assert len({r.taken for r in out if r.doc_id == 7}) == 1
+    total = sum(r.taken for r in out if r.source == "a")
+    assert abs(total - next(r.target for r in out if r.source == "a")) <= 30
 
 
 def brute_quality(text):
