@@ -1,21 +1,24 @@
-"""HTML extraction: page structure first, then a suffix array over each host for what structure leaves open.
-
-Every page is cut into blocks. Blocks inside <article> (else <main>) are the text; blocks in menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments (by element, role, class or id) are not; other blocks are open
-where the page does not mark its article. The words of all blocks outside the article form the page's token stream.
-
-The streams of a host are concatenated and their suffixes sorted; neighbours that share their first MIN_RUN words and
-come from distinct pages are a repeated run. An open block covered by repeated runs is boilerplate and goes; open blocks
-with runs of their own stay. The text inside an article is not in the streams: the extraction keeps it whole even where
-pages copy each other, so its repeats could not change a decision.
-
-A host may hold a third of all pages, so its pages are dealt to shards of bounded size by their stream. Each shard has its
-suffix array and reduces its runs to one row per distinct MIN_RUN words; those rows meet by host and run, which tells the
-runs that repeat across shards, and go back to the shards that have them.
-
-Defined results: null html is an empty text; pages whose streams are equal count as one page, so a mirrored page does not
-erase its own text; a page without a host is judged by structure alone; repeated rows are kept; an empty table gives an
-empty result; extra columns are ignored.
+"""HTML extraction: a suffix array over each host's pages finds what repeats, page structure judges what does not.
+
+Every page is cut into blocks. A block is inside <article> (else <main>), or in a menu, header, footer, sidebar, notice,
+advert, form or reader comment (by element, role, class or id), or open, where the page does not mark its article. A
+page's token stream has a token for the start of each block with its kind, then the block's words; of a block inside the
+article, one token for the whole text.
+
+The streams of a host are concatenated, their suffixes sorted to full depth, and the longest common prefixes of neighbours
+taken. Suffixes that share MIN_RUN tokens or more are a repeated run, which counts the distinct pages it stands on. Blocks
+outside the article that runs of enough pages cover are boilerplate, whatever they are called; the same way a block inside
+the article goes that stands on half of the host's pages while the rest of their articles differs (an advert or notice
+that no name tells). What no repeat covers is unique to its page: there the open blocks stay, and the blocks that
+structure names as no part of the article go.
+
+Pages whose whole text is equal are one page (a mirror does not erase its own text) and are dealt once. A host may hold a
+third of all pages, so its pages are dealt to shards of bounded size. Each shard has its suffix array and reduces its runs
+to one row per distinct start of MIN_RUN tokens; those rows meet by host and run, which adds up the pages over the shards,
+and what is repeated goes back to the shards that have it.
+
+Defined results: null html is an empty text; a page without a host is judged by structure alone; repeated rows are kept;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 import re
@@ -30,10 +33,14 @@ from pyspark.sql import functions as F
 from kinfolk.llm.words import pieces
 from kinfolk.runtime import sized_join, stored
 
-#: Words of the shortest repeated run that counts.
-MIN_RUN = 4
-#: Share of an open block's words inside repeated runs from which on it is boilerplate.
+#: Tokens of the shortest repeated run that counts, starts of blocks included.
+MIN_RUN = 8
+#: Share of a block's words inside repeated runs from which on it is boilerplate.
 COVERED = 0.9
+#: Pages that a run must stand on: at least so many, and that share of the host's distinct pages.
+LEAST_PAGES, PAGE_SHARE = 3, 0.02
+#: The same for a block inside the article, and the share of these pages whose articles must differ otherwise.
+ARTICLE_PAGES, ARTICLE_SHARE, OTHER_BODIES = 5, 0.5, 0.8
 #: Pages of a shard, about.
 SHARD_PAGES = 256
 PIECE = 4 << 20
@@ -200,33 +207,32 @@ def _token(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+def stream_of(blocks: list[tuple[int, str]]) -> list[int]:
+    """The tokens of a page: the kind of each block, then its words, or one token for the text of an ARTICLE block."""
+    out: list[int] = []
+    for kind, text in blocks:
+        out.append(kind)
+        out += [_token(text)] if kind == ARTICLE else [_token(w) for w in text.split(" ")]
+    return out
+
+
 def _parse(batches):
     for b in pieces(batches, "html", PIECE):
-        texts, opens, streams = [], [], []
+        kept, keys, streams = [], [], []
         for html in b.column("html").to_pylist():
             blocks = blocks_of(html or "")
-            stream: list[int] = []
-            tried = []
-            for kind, text in blocks:
-                if kind == ARTICLE:
-                    tried.append({"text": text, "at": -1, "n": 0})
-                else:
-                    words = [_token(w) for w in text.split(" ")]
-                    if kind == OPEN:
-                        tried.append({"text": text, "at": len(stream), "n": len(words)})
-                    stream += words
-            has_open = any(t["at"] >= 0 for t in tried)
-            texts.append(None if has_open else "\n".join(t["text"] for t in tried))
-            opens.append(tried if has_open else None)
-            streams.append(np.array(stream, np.uint64).view(np.int64))
-        block = pa.struct([("text", pa.string()), ("at", pa.int32()), ("n", pa.int32())])
+            stream = np.array(stream_of(blocks), np.uint64)
+            kept.append([{"at": k, "text": text} for k, (kind, text) in enumerate(blocks) if kind != BOILER])
+            keys.append(xxhash.xxh3_128_hexdigest(stream.tobytes()))
+            streams.append(stream.view(np.int64))
+        block = pa.struct([("at", pa.int32()), ("text", pa.string())])
         yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("page_id"), b.column("url"), b.column("host"), pa.array(texts, pa.string()), pa.array(opens, pa.list_(block)), pa.array(streams, pa.list_(pa.int64()))],
-            ["rid", "page_id", "url", "host", "text", "blocks", "stream"],
+            [b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys), pa.array(kept, pa.list_(block)), pa.array(streams, pa.list_(pa.int64()))],
+            ["page_id", "url", "host", "skey", "blocks", "stream"],
         )
 
 
-_PARSED = "rid long, page_id long, url string, host string, text string, blocks array<struct<text:string,at:int,n:int>>, stream array<long>"
+_PARSED = "page_id long, url string, host string, skey string, blocks array<struct<at:int,text:string>>, stream array<long>"
 
 
 def host_of(url: Column) -> Column:
@@ -235,106 +241,166 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first depth tokens, and the rank of each position by them; by prefix doubling.
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the longest common prefix of each with the one before it (0 for the first).
 
-    Positions whose first depth tokens agree share a rank.
+    By prefix doubling to full depth; the ranks of every depth give the common prefixes, from the longest depth down.
     """
+    n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def _joined(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Streams in one array with their page numbers, and which positions start a run of MIN_RUN words of one page."""
-    sizes = np.array([len(s) for s in streams], np.int64)
-    tokens = np.concatenate(streams) if len(streams) else np.empty(0, np.int64)
+    levels, have = [rank], 1
+    while n and rank.max() < n - 1:
+        ahead = np.full(n, -1, np.int64)
+        ahead[:-have] = rank[have:]
+        rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        levels.append(rank)
+        have *= 2
+    order = np.argsort(rank, kind="stable")
+    a, b, common = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + common, b + common
+        inside = np.maximum(x, y) + (1 << k) <= n
+        equal = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
+        common += equal * (1 << k)
+    return order, np.concatenate(([0] * bool(n), common)).astype(np.int64)
+
+
+def joined(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Streams in one array, a separator of its own after each, with their page numbers, and which positions start a run of
+    MIN_RUN tokens of one page."""
+    sizes = np.array([len(s) + 1 for s in streams], np.int64)
+    ends = np.cumsum(sizes)
+    tokens = np.concatenate([x for k, s in enumerate(streams) for x in (s, [-1 - k])]).astype(np.int64) if streams else np.empty(0, np.int64)
     page = np.repeat(np.arange(len(streams)), sizes)
-    return tokens, page, np.arange(len(tokens)) + MIN_RUN <= np.repeat(np.cumsum(sizes), sizes)
+    return tokens, page, np.arange(len(tokens)) + MIN_RUN < np.repeat(ends, sizes)
 
 
-def _runs(tokens: np.ndarray) -> np.ndarray:
+def runs_from(tokens: np.ndarray) -> np.ndarray:
     """A hash of the MIN_RUN tokens from each position on, the same in every shard."""
     h = np.zeros(len(tokens), np.uint64)
     t = tokens.view(np.uint64)
-    for k in range(MIN_RUN):
+    for k in range(min(MIN_RUN, len(t))):
         h[: len(t) - k if k else None] = (h[: len(t) - k if k else None] ^ t[k:]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
 def _streams(table: pa.Table) -> list[np.ndarray]:
-    return [np.asarray(s, np.int64) for s in table.column("stream").to_pylist()]
+    column = table.column("stream").combine_chunks()
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
-_RUNS = pa.schema([("host", pa.string()), ("shard", pa.int64()), ("run", pa.int64()), ("pages", pa.int64())])
+def article_blocks(stream: np.ndarray) -> np.ndarray:
+    """The distinct tokens of the blocks inside the article."""
+    return np.unique(stream[np.flatnonzero(stream[:-1] == ARTICLE) + 1]) if len(stream) else stream
 
 
-def _shard_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A shard's distinct runs with their numbers of distinct pages, from neighbours in its suffix array."""
-    distinct = list({s.tobytes(): s for s in _streams(table)}.values())
-    tokens, page, starts = _joined(distinct)
+_RUNS = pa.schema([("host", pa.string()), ("shard", pa.int64()), ("article", pa.bool_()), ("run", pa.int64()), ("pages", pa.int64()), ("bodies", pa.int64())])
+RUNS = "host string, shard long, article boolean, run long, pages long, bodies long"
+
+
+def shard_runs(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of some pages and the number of pages each stands on."""
+    tokens, page, starts = joined(streams)
     if not starts.any():
-        return _RUNS.empty_table()
-    order, rank = suffix_array(tokens, MIN_RUN)
-    order = order[starts[order]]
-    # suffixes with equal starts are neighbours; among them, count the changes of page
-    by = np.lexsort((page[order], rank[order]))
-    order = order[by]
-    new_run = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order, common = suffix_array(tokens)
+    group = np.cumsum(common < MIN_RUN)  # neighbours that share MIN_RUN tokens are in one group
+    inside = starts[order]
+    order, group = order[inside], group[inside]
+    by = np.lexsort((page[order], group))
+    order, group = order[by], group[by]
+    new_run = np.concatenate(([True], group[1:] != group[:-1]))
     new_page = new_run | np.concatenate(([True], page[order][1:] != page[order][:-1]))
     first = np.flatnonzero(new_run)
-    n = len(first)
-    host, shard = key[0].as_py(), key[1].as_py()
-    return pa.table([[host] * n, [shard] * n, _runs(tokens)[order[first]], np.add.reduceat(new_page.astype(np.int64), first)], schema=_RUNS)
-
-
-_DROPS = pa.schema([("rid", pa.int64()), ("drop", pa.list_(pa.int32()))])
-
-
-def _mark(pages: pa.Table, runs: pa.Table) -> pa.Table:
-    """The open blocks of a shard's pages that its repeated runs cover."""
-    repeated = np.unique(runs.column("run").to_numpy())
-    rids, drops = [], []
-    if len(repeated):
-        for rid, stream, blocks in zip(pages.column("rid").to_pylist(), _streams(pages), pages.column("blocks").to_pylist(), strict=True):
-            if not blocks:
-                continue
-            starts = np.zeros(len(stream) + 1, np.int64)
-            hit = np.flatnonzero(np.isin(_runs(stream)[: max(0, len(stream) - MIN_RUN + 1)], repeated))
-            np.add.at(starts, hit, 1)
-            np.add.at(starts, hit + MIN_RUN, -1)
-            covered = np.concatenate(([0], np.cumsum(np.cumsum(starts)[:-1] > 0)))
-            drop = [k for k, x in enumerate(blocks) if x["at"] >= 0 and covered[x["at"] + x["n"]] - covered[x["at"]] >= COVERED * x["n"]]
-            if drop:
-                rids.append(rid)
-                drops.append(drop)
-    return pa.table([pa.array(rids, pa.int64()), pa.array(drops, pa.list_(pa.int32()))], schema=_DROPS)
+    return runs_from(tokens)[order[first]], np.add.reduceat(new_page.astype(np.int64), first)
+
+
+def repeated_article_blocks(streams: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Blocks inside the articles of two pages or more: token, pages, and how many different articles these pages have
+    beside it, told by their smallest other block."""
+    held: dict[int, list[int]] = {}
+    for s in streams:
+        own = article_blocks(s)
+        for k, x in enumerate(own.tolist()):
+            held.setdefault(x, []).append(int(own[0] if k else own[1]) if len(own) > 1 else 0)
+    return [(x, len(v), len(set(v))) for x, v in held.items() if len(v) > 1]
+
+
+def _shard_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    streams = _streams(table)
+    run, pages = shard_runs(streams)
+    blocks = repeated_article_blocks(streams)
+    n, m = len(run), len(blocks)
+    token, many, bodies = (list(x) for x in zip(*blocks, strict=True)) if blocks else ([], [], [])
+    columns = [[key[0].as_py()] * (n + m), [key[1].as_py()] * (n + m), [False] * n + [True] * m, np.concatenate((run, np.array(token, np.int64))), np.concatenate((pages, np.array(many, np.int64))), [0] * n + bodies]
+    return pa.table(columns, schema=_RUNS)
+
+
+def judge(stream: np.ndarray, repeated: np.ndarray, notices: np.ndarray) -> tuple[list[int], int, int]:
+    """The blocks that go for their repeats, and how many blocks outside the article repeats and structure take."""
+    starts = np.flatnonzero((stream >= 0) & (stream <= BOILER))
+    change = np.zeros(len(stream) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(runs_from(stream)[: max(0, len(stream) - MIN_RUN + 1)], repeated))
+    np.add.at(change, hit, 1)
+    np.add.at(change, hit + MIN_RUN, -1)
+    covered = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
+    drop, by_repeats, by_structure = [], 0, 0
+    for k, (a, b) in enumerate(zip((starts + 1).tolist(), [*starts[1:].tolist(), len(stream)], strict=True)):
+        kind = int(stream[a - 1])
+        if kind == ARTICLE:
+            if stream[a] in notices:
+                drop.append(k)
+        elif covered[b] - covered[a] >= COVERED * (b - a):
+            by_repeats += 1
+            drop.append(k)
+        elif kind == BOILER:
+            by_structure += 1
+    return drop, by_repeats, by_structure
+
+
+_MARKS = pa.schema([("host", pa.string()), ("skey", pa.string()), ("drop", pa.list_(pa.int32())), ("by_repeats", pa.int32()), ("by_structure", pa.int32())])
 
 
 def _mark_group(key: tuple[pa.Scalar, ...], pages: pa.Table, runs: pa.Table) -> pa.Table:
-    return _mark(pages, runs)
+    run, article = runs.column("run").to_numpy(), runs.column("article").to_numpy(zero_copy_only=False).astype(bool)
+    repeated, notices = np.unique(run[~article]), np.unique(run[article])
+    drops, one, two = zip(*(judge(s, repeated, notices) for s in _streams(pages)), strict=True) if pages.num_rows else ((), (), ())
+    return pa.table([pages.column("host"), pages.column("skey"), pa.array(drops, pa.list_(pa.int32())), pa.array(one, pa.int32()), pa.array(two, pa.int32())], schema=_MARKS)
+
+
+def mark(parsed: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
+    """host, skey, drop (numbers of the blocks that go for their repeats), by_repeats, by_structure (blocks outside the
+    article that each took) of every distinct page with a host."""
+    distinct = parsed.filter(F.col("host").isNotNull() & (F.size("stream") > 0)).select("host", "skey", "stream")
+    distinct = stored(distinct.groupBy("host", "skey").agg(F.first("stream").alias("stream")), "distinct")
+    sizes = stored(distinct.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    shards = sizes.select("host", F.ceil(F.col("n") / shard_pages).alias("shards"))
+    dealt = sized_join(distinct, shards, "host", "inner").withColumn("shard", F.pmod(F.xxhash64("skey"), F.col("shards")).cast("long"))
+    runs = stored(dealt.select("host", "shard", "stream").groupBy("host", "shard").applyInArrow(_shard_runs, RUNS), "runs")
+    often = runs.groupBy("host", "article", "run").agg(F.sum("pages").alias("pages"), F.sum("bodies").alias("bodies")).filter(f"pages >= {LEAST_PAGES}")
+    share = lambda least, part: F.greatest(F.lit(float(least)), F.col("n") * F.lit(part))
+    frame = ~F.col("article") & (F.col("pages") >= share(LEAST_PAGES, PAGE_SHARE))
+    notice = F.col("article") & (F.col("pages") >= share(ARTICLE_PAGES, ARTICLE_SHARE)) & (F.col("bodies") >= F.col("pages") * F.lit(OTHER_BODIES))
+    often = stored(sized_join(often, sizes, "host", "inner").filter(frame | notice).select("host", "article", "run"), "often")
+    repeated = sized_join(runs, often, ["host", "article", "run"], "left_semi").select("host", "shard", "article", "run")
+    pages = dealt.select("host", "shard", "skey", "stream").groupBy("host", "shard")
+    ddl = "host string, skey string, drop array<int>, by_repeats int, by_structure int"
+    return pages.cogroup(repeated.groupBy("host", "shard")).applyInArrow(_mark_group, ddl)
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, skey (of the whole text), blocks (number and text of those that structure keeps), stream."""
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    return source.mapInArrow(_parse, _PARSED)
 
 
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """page_id, url, text (main text, blocks joined by newlines), n_chars of every page."""
-    source = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    parsed = stored(source.mapInArrow(_parse, _PARSED), "parsed")
-    streams = parsed.filter(F.col("host").isNotNull() & (F.size("stream") >= MIN_RUN)).select("rid", "host", "stream", F.transform("blocks", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"))).alias("blocks"))
-    sizes = stored(streams.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).alias("shards")), "hosts")
-    dealt = sized_join(streams, sizes, "host", "inner").withColumn("shard", F.pmod(F.xxhash64("stream"), F.col("shards")).cast("long"))
-    runs = stored(dealt.select("host", "shard", "stream").groupBy("host", "shard").applyInArrow(_shard_runs, "host string, shard long, run long, pages long"), "runs")
-    often = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).filter("pages > 1").select("host", "run")
-    repeated = runs.join(often, ["host", "run"]).select("host", "shard", "run")
-    asked = dealt.filter(F.col("blocks").isNotNull()).select("rid", "host", "shard", "stream", "blocks")
-    drops = stored(asked.groupBy("host", "shard").cogroup(repeated.groupBy("host", "shard")).applyInArrow(_mark_group, "rid long, drop array<int>"), "drops")
-    rows = sized_join(parsed.drop("stream", "host"), drops, "rid", "left")
-    kept = F.filter("blocks", lambda x, k: F.col("drop").isNull() | ~F.array_contains("drop", k))
-    text = F.coalesce("text", F.array_join(F.transform(kept, lambda x: x["text"]), "\n"))
+    parsed = stored(parse(pages), "parsed")
+    drops = stored(mark(parsed, shard_pages).filter(F.size("drop") > 0).select("host", "skey", "drop"), "drops")
+    rows = sized_join(parsed.drop("stream"), drops, ["host", "skey"], "left")
+    kept = F.filter("blocks", lambda x: F.col("drop").isNull() | ~F.array_contains("drop", x["at"]))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -34,12 +34,82 @@ def test_blocks():
 
 def test_suffix_array_matches_sorted_suffixes():
     rng = np.random.default_rng(5)
-    for n in (1, 2, 7, 200):
-        t = rng.integers(0, 3, n)
-        order, rank = suffix_array(t, 6)
-        keys = [tuple(t[i : i + 6]) for i in range(n)]
+    assert [len(x) for x in suffix_array(np.empty(0, np.int64))] == [0, 0]
+    for n, kinds in ((1, 3), (2, 3), (7, 3), (200, 3), (60, 1), (300, 40)):
+        t = np.concatenate((rng.integers(0, kinds, n), rng.integers(0, kinds, n // 2)))
+        order, common = suffix_array(t)
+        keys = [tuple(t[i:]) for i in range(len(t))]
         assert [keys[i] for i in order] == sorted(keys)
-        assert all((rank[i] == rank[j]) == (keys[i] == keys[j]) for i in range(n) for j in range(n))
+        want = [next((k for k, (x, y) in enumerate(zip(keys[i], keys[j])) if x != y), min(len(keys[i]), len(keys[j]))) for i, j in zip(order[:-1], order[1:])]
+        assert common.tolist() == [0, *want]
+
+
+def brute_extract(rows):
+    """The rules of the operator by counting every run of every page in dictionaries."""
+    hosts, out = {}, []
+    for i, url, html in rows:
+        hosts.setdefault(url.split("/")[2], {})[html] = html_suffix_array.stream_of(blocks_of(html))
+    for i, url, html in rows:
+        streams = {tuple(s) for s in hosts[url.split("/")[2]].values()}
+        n, run = len(streams), html_suffix_array.MIN_RUN
+        pages, holders = {}, {}
+        for s in streams:
+            for x in {s[k : k + run] for k in range(len(s) - run + 1)}:
+                pages[x] = pages.get(x, 0) + 1
+            own = {s[k + 1] for k in range(len(s) - 1) if s[k] == ARTICLE}
+            for x in own:
+                holders.setdefault(x, []).append(min(np.array(sorted(own - {x}), np.uint64).view(np.int64), default=0))
+        mine = tuple(html_suffix_array.stream_of(blocks_of(html)))
+        gone = set()
+        for k in range(len(mine) - run + 1):
+            if pages[mine[k : k + run]] >= max(3, 0.02 * n):
+                gone |= set(range(k, k + run))
+        at, text = 0, []
+        for kind, t in blocks_of(html):
+            if kind == ARTICLE:
+                who = holders[mine[at + 1]]
+                keep = not (len(who) >= max(5, 0.5 * n) and len(set(who)) >= 0.8 * len(who))
+                at += 2
+            else:
+                words = range(at + 1, at + 1 + len(t.split(" ")))
+                keep = kind == OPEN and sum(w in gone for w in words) < 0.9 * len(words)
+                at = words.stop
+            if keep:
+                text.append(t)
+        out.append((i, "\n".join(text)))
+    return out
+
+
+def test_extraction_matches_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [say(rng.randint(1, 14)) for _ in range(12)]
+    rows = []
+    for k in range(150):
+        part = lambda: rng.choice([f"<div>{rng.choice(shared)}</div>", f"<p>{say(rng.randint(1, 30))}</p>", f"<nav>{rng.choice(shared)}</nav>", f"<div class=ad>{say(5)}</div>"])
+        inner = "".join(part() for _ in range(rng.randint(0, 6)))
+        html = f"<body>{part()}<article><p>{say(20)}</p>{inner}</article>{part()}</body>" if k % 3 else f"<body>{inner}{part()}</body>"
+        rows.append((k, f"http://h{k % 2 if k < 140 else k}.example/{k}", html))
+    rows += [(200 + k, rows[k][1], rows[k][2]) for k in range(0, 150, 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (8, 1000):
+        assert sorted((r.page_id, r.text) for r in html_suffix_array.extract(df, shard_pages=shard).collect()) == sorted(brute_extract(rows))
+
+
+def test_repeats_decide_outside_the_article_and_names_inside_do_not(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    promo = "Get the big spring offer of our partners today and save"
+    body = [say(40) for _ in range(40)]
+    data = [(k, f"http://promo.example/{k}", f"<main><article><p>{body[k]}</p></article><div class=x>{promo}</div></main>") for k in range(20)]
+    data += [(100 + k, f"http://inside.example/{k}", f"<article><p>{body[20 + k]}</p><p>Area {k} is <math><mi>r</mi></math> here</p><div class=x>{promo}</div></article>") for k in range(12)]
+    near = [say(60) for _ in range(4)]
+    data += [(200 + k, f"http://copies.example/{k}", "<article>" + "".join(f"<p>{p}</p>" for p in near) + f"<p>{say(3)}</p></article>") for k in range(15)]
+    out = {r.page_id: r.text for r in html_suffix_array.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == body[k] for k in range(20))
+    assert all(out[100 + k].split("\n")[0] == body[20 + k] and out[100 + k].split("\n")[1:] == [f"Area {k} is r here"] for k in range(12))
+    assert all(out[200 + k].split("\n")[:4] == near for k in range(15))
 
 
 @pytest.mark.parametrize("shard", [1, 2048])
