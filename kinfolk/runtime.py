@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,13 +60,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinfolk/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what stored() wrote inside, but for the tables that outlive it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs only the tasks that read the files again.
+    This cuts the lineage: a lost executor costs only the tasks that read the files again. The table goes with the scratch()
+    around it; outlives: with the one around that, if any. Without one it stays until the folder is cleared.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    around = _SCOPES[:-1] if outlives else _SCOPES
+    if around:
+        around[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
