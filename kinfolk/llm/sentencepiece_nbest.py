@@ -341,15 +341,14 @@ class Lattice:
         return b"".join(map(self.vocab["bytes"].__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-_LATTICES: dict[int, Lattice] = {}
+_LATTICE: list = []
 
 
 def _lattice(shared) -> Lattice:
-    """The lattice of a broadcast vocabulary, one per worker."""
-    if id(shared) not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[id(shared)] = Lattice(shared.value)
-    return _LATTICES[id(shared)]
+    """The lattice of a broadcast vocabulary, one per worker, held together with the broadcast it belongs to."""
+    if not _LATTICE or _LATTICE[0] is not shared:
+        _LATTICE[:] = [shared, Lattice(shared.value)]
+    return _LATTICE[1]
 
 
 def _column(n: int, offsets: np.ndarray, values: pa.Array) -> pa.ListArray:

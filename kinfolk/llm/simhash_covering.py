@@ -115,8 +115,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2, doc: str = "do
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document."""
     rows = stored(fingerprints(docs, n, doc, text), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    joined = connected_components(links(nodes.filter("id is not null"), radius))
-    named = stored(nodes.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "components")
+    # fingerprints are the nodes, so that rows without a doc_id link others as well
+    joined = connected_components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
+    linked = nodes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    linked = stored(linked.select("fp", "id", F.coalesce("component", "fp").alias("component")), "linked")
+    least = stored(linked.groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    named = stored(sized_join(linked, least, "component", "inner").select("fp", "component_id"), "components")
     return sized_join(rows, named, "fp", "left").select("doc_id", "fp", "component_id")
 
 

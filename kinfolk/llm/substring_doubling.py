@@ -12,7 +12,8 @@ first. Texts are shuffled only to meet their surviving anchors, and once more wh
 
 Defined results: a null text has no words; a document of fewer words than a window keeps all; rows with a null doc_id
 keep their text and remove nothing; rows with one doc_id are one document as far as "smaller doc_id" goes, each judged on
-its own text; an empty table gives an empty result; extra columns are ignored. Windows are told apart by 64-bit hashes.
+its own text; an empty table gives an empty result; extra columns are ignored. Shorter windows are told apart by 64-bit hashes, which
+only choose candidates; windows of the last level, which decide, by 96 bits of two independent ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.llm.words import lists, pieces, utf8, word_hashes
-from kinfolk.runtime import stored
+from kinfolk.runtime import scratch, stored
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -129,6 +130,7 @@ def _extend(window: int, start: int):
             words = [t.split() for t in utf8(b.column("text"))]
             h, bounds = word_hashes(words)
             (full,) = window_hashes(h, [window])
+            (other,) = window_hashes(word_hashes(words, seed=1)[0], [window])
             fits = _fits(bounds, len(h), window)
             near = np.zeros(len(h), bool)
             marks = b.column("pos")
@@ -136,10 +138,10 @@ def _extend(window: int, start: int):
             near[bounds[rows] + marks.flatten().to_numpy()] = True
             at = np.flatnonzero(_slide(near, width, np.logical_or) & fits)
             row = np.searchsorted(bounds, at, side="right") - 1
-            columns = [b.column("rid"), b.column("doc_id"), lists((at - bounds[row]).astype(np.int32), row, len(words), pa.int32()), lists(full[at].view(np.int64), row, len(words), pa.int64()), b.column("text")]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "pos", "h", "text"])
+            columns = [b.column("rid"), b.column("doc_id"), lists((at - bounds[row]).astype(np.int32), row, len(words), pa.int32()), lists(full[at].view(np.int64), row, len(words), pa.int64()), lists((other[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), row, len(words), pa.int32()), b.column("text")]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "pos", "h", "g", "text"])
 
-    return run, "rid long, doc_id long, pos array<int>, h array<long>, text string"
+    return run, "rid long, doc_id long, pos array<int>, h array<long>, g array<int>, text string"
 
 
 def _cut(window: int, keep_text: bool):
@@ -191,23 +193,24 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 13, keep_text
     long_ones = survey.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = stored(long_ones.groupBy("sha").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("sha", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid")), "first")
 
-    hashes = [f"h{k}" for k in range(len(inner))]
-    sole = long_ones.select("rid", F.arrays_zip("pos", *hashes).alias("z")).join(first.select(F.col("first_rid").alias("rid")), "rid", "left_semi")
-    found = sole.select("rid", F.explode("z").alias("x")).select("rid", "x.*")
-    for key in hashes:
-        found = stored(_repeated(found, key).drop(key), "level")
-    marks = found.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-    keys = survey.select("rid", "doc_id", "tkey").join(marks, "rid")
-    extend, extended = _extend(window, start)
-    tried = stored(keys.join(source, ["doc_id", "tkey"]).dropDuplicates(["rid"]).select("rid", "doc_id", "pos", "text").mapInArrow(extend, extended), "windows")
-
-    windows = tried.select("rid", "doc_id", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("rid", "doc_id", "x.pos", "x.h")
-    owners = stored(windows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners")
-    # written first, so that a hot window's rows stand alone in their exchange and can be split
-    hits = stored(windows.join(owners, "h").filter("doc_id > owner").select("rid", "pos"), "hits")
-    going = hits.groupBy("rid").agg(F.collect_list("pos").alias("starts"))
-    cut, cut_ddl = _cut(window, keep_text)
-    cuts = stored(tried.select("rid", "text").join(going, "rid").mapInArrow(cut, cut_ddl).withColumnRenamed("rid", "first_rid"), "cuts")
+    with scratch(docs.sparkSession):
+        hashes = [f"h{k}" for k in range(len(inner))]
+        sole = long_ones.select("rid", F.arrays_zip("pos", *hashes).alias("z")).join(first.select(F.col("first_rid").alias("rid")), "rid", "left_semi")
+        found = sole.select("rid", F.explode("z").alias("x")).select("rid", "x.*")
+        for key in hashes:
+            found = stored(_repeated(found, key).drop(key), "level")
+        marks = found.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+        keys = survey.select("rid", "doc_id", "tkey").join(marks, "rid")
+        extend, extended = _extend(window, start)
+        tried = stored(keys.join(source, ["doc_id", "tkey"]).dropDuplicates(["rid"]).select("rid", "doc_id", "pos", "text").mapInArrow(extend, extended), "windows")
+
+        windows = tried.select("rid", "doc_id", F.explode(F.arrays_zip("pos", "h", "g")).alias("x")).select("rid", "doc_id", "x.pos", "x.h", "x.g")
+        owners = stored(windows.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last"), "owners")
+        # written first, so that a hot window's rows stand alone in their exchange and can be split
+        hits = stored(windows.join(owners, ["h", "g"]).filter("doc_id > owner").select("rid", "pos"), "hits")
+        going = hits.groupBy("rid").agg(F.collect_list("pos").alias("starts"))
+        cut, cut_ddl = _cut(window, keep_text)
+        cuts = stored(tried.select("rid", "text").join(going, "rid").mapInArrow(cut, cut_ddl).withColumnRenamed("rid", "first_rid"), "cuts", outlives=True)
 
     cut_of = first.join(cuts, "first_rid", "left").select("sha", "first_id", "n_removed", "kept_sha256", "left_text")
     rows = survey.select("doc_id", "tkey", "n_words", "sha").join(cut_of, "sha", "left")

@@ -6,7 +6,7 @@ A word is a run of characters other than the six ASCII white spaces, which is ho
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(words: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts in one array, and the texts' bounds in it (one more than texts)."""
     bounds = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum([len(w) for w in words], out=bounds[1:])
-    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(bounds[-1])), bounds
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(seed)), np.uint64, int(bounds[-1])), bounds
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
