@@ -125,14 +125,14 @@ def test_empty(spark):
 
 def test_rows_without_an_id_link_others(spark):
     fps = {0: 0b0, 3: 0b11, 15: 0b1111}
-    rows = spark.createDataFrame([(1, fps[0]), (None, fps[3]), (2, fps[15]), (None, 1 << 40)], "doc_id long, fp long")
+    rows = spark.createDataFrame([(1, fps[0]), (None, fps[3]), (2, fps[15]), (None, 15 << 40)], "doc_id long, fp long")
     original = simhash_covering.fingerprints
     try:
         simhash_covering.fingerprints = lambda docs, *a: docs
         out = {(r.doc_id, r.fp): r.component_id for r in simhash_covering.near_duplicates(rows).collect()}
     finally:
         simhash_covering.fingerprints = original
-    assert out == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 1 << 40): None}
+    assert out == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 15 << 40): None}
 
 
 def test_two_hashes_of_windows_are_independent():
