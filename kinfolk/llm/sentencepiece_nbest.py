@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfolk.llm.words import give_back
 from kinfolk.llm.words import pieces as batch_pieces
 
 N_BEST = 4
@@ -341,16 +342,6 @@ class Lattice:
         return b"".join(map(self.vocab["bytes"].__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-_LATTICE: list = []
-
-
-def _lattice(shared) -> Lattice:
-    """The lattice of a broadcast vocabulary, one per worker, held together with the broadcast it belongs to."""
-    if not _LATTICE or _LATTICE[0] is not shared:
-        _LATTICE[:] = [shared, Lattice(shared.value)]
-    return _LATTICE[1]
-
-
 def _column(n: int, offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
@@ -363,14 +354,15 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, score
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path or vocabulary_path(), scores))
 
     def run(batches):
-        lattice = _lattice(shared)
+        lattice = Lattice(shared.value)  # a tenth of a second; none is kept in the worker
         for b in batch_pieces(batches, limit=PIECE):
             rows = lattice.encode([t or "" for t in b.column("text").to_pylist()], n_best)
             offsets = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
             ids = _column(len(rows), offsets, pa.array(np.concatenate([r[0] for r in rows]).astype(np.int32)))
             others = [[{"score": s, "changes": [{"at": a, "n": k, "ids": list(x)} for a, k, x in c]} for s, c in zip(r[1][1:], r[2], strict=True)] for r in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array([r[1][0] for r in rows], pa.int64()), pa.array(others, _CHANGES)], ["doc_id", "ids", "score", "others"])
-        lattice.forget()  # the worker lives on for other stages
+        lattice.forget()
+        give_back()
 
     ddl = "doc_id long, ids array<int>, score long, others array<struct<score:long,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
@@ -381,7 +373,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(path or vocabulary_path()))
 
     def run(batches):
-        lattice = _lattice(shared)
+        lattice = Lattice(shared.value)  # a tenth of a second; none is kept in the worker
         for b in batches:
             texts = [lattice.decode(np.asarray(x if x is not None else [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -398,7 +390,7 @@ def digests(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, scor
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path or vocabulary_path(), scores))
 
     def run(batches):
-        lattice = _lattice(shared)
+        lattice = Lattice(shared.value)  # a tenth of a second; none is kept in the worker
         for b in batch_pieces(batches, limit=PIECE):
             texts = [t or "" for t in b.column("text").to_pylist()]
             columns: list[list] = [[], [], [], [], [], []]
@@ -409,7 +401,8 @@ def digests(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, scor
                     c.append(v)
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_pieces", "scores", "ids_sha256", "n_changed", "decoded_sha256", "round_trip"])
-        lattice.forget()  # the worker lives on for other stages
+        lattice.forget()
+        give_back()
 
     ddl = "doc_id long, n_pieces long, scores array<long>, ids_sha256 string, n_changed long, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)

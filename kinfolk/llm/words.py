@@ -5,6 +5,7 @@ A word is a run of characters other than the six ASCII white spaces, which is ho
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -17,6 +18,14 @@ import xxhash
 PIECE = 2 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other tasks and other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU only
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of text."""
     for batch in batches:
@@ -28,6 +37,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
