@@ -7,18 +7,42 @@ from pyspark.sql import functions as F
 
 from kinfolk.functions.text import let
 
-#: Words that tell an instruction set, by path and by instruction.
+#: Names of instruction sets on paths, and instructions that only one of them has, by their manuals.
 ISA_PATHS = {"riscv": ("riscv", "rv64"), "loongarch": ("loongarch", "la64"), "x86": ("x86_64", "x86", "i386"), "aarch64": ("aarch64", "arm64")}
-ISA_CODE = {"riscv": r"\b(csrr|csrw|sfence|sret|ecall|mret)\b", "loongarch": r"\b(csrrd|csrwr|ertn|ld\.d|st\.d)\b", "x86": r"\b(movq|pushq|popq|iretq|cr3)\b", "aarch64": r"\b(mrs|msr|eret|ldp|stp)\b"}
-MOVES = r"^(s[dwbh]|l[dwbh]|st\.[dwbh]|ld\.[dwbh]|mov[a-z.]*|str|ldr|stp|ldp|csr[rw]|push|pop)\b"
+ISA_ONLY = {
+    "riscv": ("csrr", "csrw", "csrrw", "sfence.vma", "mret", "sret", "auipc", "ecall"),
+    "loongarch": ("csrrd", "csrwr", "csrxchg", "ertn", "invtlb", "pcaddu12i", "tlbwr"),
+    "x86": ("iretq", "lgdt", "lidt", "cpuid", "wrmsr", "rdmsr", "invlpg", "swapgs"),
+    "aarch64": ("eret", "tlbi", "adrp", "dsb", "isb", "msr", "mrs"),
+}
+#: Mnemonics that only move data between registers, memory and control registers: whole words, and beginnings of families.
+MOVE_WORDS = ("li", "la", "mv", "str", "ldr", "stp", "ldp", "push", "pop", "pushq", "popq", "csrr", "csrw", "csrrd", "csrwr", "mrs", "msr", "move")
+MOVE_FAMILIES = ("mov", "ld.", "st.", "ldur", "stur")
+RISCV_WIDTHS = tuple(f"{op}{width}" for op in "ls" for width in "bhwd")
+
+
+def mnemonic(line: Column) -> Column:
+    return F.lower(F.regexp_extract(line, r"^([^ \t,]*)", 1))
+
+
+def is_move(line: Column) -> Column:
+    word = mnemonic(line)
+    family = F.lit(False)
+    for head in MOVE_FAMILIES:
+        family = family | word.startswith(head)
+    return word.isin(*MOVE_WORDS, *RISCV_WIDTHS) | family
 
 
 def is_stub(code: Column) -> Column:
-    """Whether a body is empty or only gives back a constant."""
+    """Whether a body is empty or only gives back a constant: what stands between the outer braces is at most one token
+    besides return, a sign and semicolons, and that is a number, a truth value, a null or a name in capitals."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(code, F.lit("")), r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
-    body = F.btrim(F.regexp_extract(bare, r"(?s)\{(.*)\}", 1), F.lit(" \t\r\n"))
-    constant = r"^(return\s+)?([+-]?[0-9]+[A-Za-z0-9_]*|[A-Z][A-Z0-9_]*|true|false|null|nullptr|None)\s*;?$"
-    return bare.rlike(r"(?s)\{.*\}") & ((body == "") | body.rlike(constant))
+    last = F.length(bare) - F.locate("}", F.reverse(bare)) + 1
+    body = F.substring(bare, F.locate("{", bare) + 1, F.greatest(last - F.locate("{", bare) - 1, F.lit(0)))
+    said = F.filter(F.regexp_extract_all(body, F.lit(r"([A-Za-z0-9_.]+|\S)"), 1), lambda x: ~x.isin("return", ";", "+", "-"))
+    one = F.coalesce(F.get(said, F.lit(0)), F.lit(""))
+    constant = one.rlike("^[0-9]") | (F.upper(one) == one) & one.rlike("^[A-Z]") | F.lower(one).isin("true", "false", "null", "nullptr", "none")
+    return (F.locate("{", bare) > 0) & (F.locate("}", bare) > 0) & ((F.size(said) == 0) | ((F.size(said) == 1) & constant))
 
 
 def isa(path: Column, code: Column) -> Column:
@@ -29,7 +53,7 @@ def isa(path: Column, code: Column) -> Column:
     p = F.lower(F.coalesce(path, F.lit("")))
     by_path = F.filter(F.array(*(F.when(p.rlike("|".join(w)), k) for k, w in ISA_PATHS.items())), lambda x: x.isNotNull())
     only = F.when(F.size(by_path) == 1, by_path[0])
-    counts = F.array(*(F.struct(F.regexp_count(F.lower(F.coalesce(code, F.lit(""))), F.lit(r)).alias("n"), F.lit(k).alias("isa")) for k, r in ISA_CODE.items()))
+    counts = F.array(*(F.struct(F.size(F.filter(F.split(F.lower(F.coalesce(code, F.lit(""))), r"[\s,;()]+"), lambda x: x.isin(*w))).alias("n"), F.lit(k).alias("isa")) for k, w in ISA_ONLY.items()))
     ranked = let(F.sort_array(counts, asc=False), lambda c: F.when((c[0]["n"] > 0) & (c[0]["n"] >= 2 * c[1]["n"]), c[0]["isa"]))
     return F.when(only.isNull(), ranked).when(ranked.isNull() | (only == ranked), only)
 
@@ -70,7 +94,7 @@ def boilerplate_assembly(text: Column, name: Column, most: float = 0.8, named: f
     """Whether moves make up most instructions, or half of those of a routine named for switching or traps."""
 
     def judge(lines: Column) -> Column:
-        share = F.size(F.filter(lines, lambda x: F.lower(x).rlike(MOVES))) / F.greatest(F.size(lines), F.lit(1))
+        share = F.size(F.filter(lines, is_move)) / F.greatest(F.size(lines), F.lit(1))
         bare = F.lower(F.replace(F.coalesce(name, F.lit("")), F.lit("_"), F.lit("")))
         hit = bare.rlike("^(switch|trap|swtch|save|restore|contextswitch|taskswitch|alltraps)")
         return (F.size(lines) >= least) & ((share >= most) | (hit & (share >= named)))
@@ -105,7 +129,7 @@ def merge_short(ranges: Column, least: int = 4) -> Column:
         return F.when((F.size(out) > 0) & short, joined).otherwise(F.concat(out, F.array(F.struct(r["start"].alias("start"), r["stop"].alias("stop")))))
 
     first = F.slice(F.array_sort(F.array_distinct(ranges)), 1, 1)
-    return F.when(F.size(ranges) == 0, empty).otherwise(F.aggregate(F.slice(F.array_sort(F.array_distinct(ranges)), 2, 1_000_000), first, add))
+    return F.when(F.size(ranges) == 0, empty).otherwise(F.aggregate(F.slice(F.array_sort(F.array_distinct(ranges)), 2, F.size(ranges)), first, add))
 
 
 def token_windows(tokens: Column, size: int = 512, stride: int = 384) -> Column:

@@ -72,9 +72,16 @@ def pairing_score(identity: Column, line: Column, exact_name: Column) -> Column:
     return 0.45 * identity + 0.35 * line + 0.20 * exact_name.cast("double")
 
 
-def clone_kind(exact_lines: Column, renamed_lines: Column) -> Column:
-    share = F.when(exact_lines + renamed_lines > 0, renamed_lines / (exact_lines + renamed_lines)).otherwise(0.0)
-    return F.when(share == 0, "exact").when(share <= 0.15, "near").otherwise("renamed")
+def clone_kind(exact_lines: Column, renamed_lines: Column, kinds: Column | None = None) -> Column:
+    """exact, near_dup (up to 0.15 of the matched lines differ in names) or similar. Without matched lines, by the kinds of
+    the matched spans if they are given."""
+    total = exact_lines + renamed_lines
+    by_lines = F.when(renamed_lines == 0, "exact").when(renamed_lines / total <= 0.15, "near_dup").otherwise("similar")
+    none = F.lit("similar")
+    if kinds is not None:
+        has = lambda k: F.coalesce(F.array_contains(kinds, k), F.lit(False))
+        none = F.when(has("renamed"), "near_dup").when(has("exact"), "exact").otherwise("similar")
+    return F.when(total > 0, by_lines).otherwise(none)
 
 
 def review_priority(sim: Column, module: Column, lines: Column, kind: Column) -> Column:

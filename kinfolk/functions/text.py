@@ -117,7 +117,8 @@ def visible_text(html: Column) -> Column:
 
 
 def naming_style(text: Column) -> Column:
-    """snake or camel if one occurs at least twice as often as the other, else mixed."""
-    snake = F.regexp_count(text, F.lit(r"\b[a-z]+_[a-z_]+\b"))
-    camel = F.regexp_count(text, F.lit(r"\b[a-z]+[A-Z][A-Za-z]*\b"))
-    return F.when((snake >= 2 * camel) & (snake > 0), "snake").when((camel >= 2 * snake) & (camel > 0), "camel").otherwise("mixed")
+    """CamelCase or snake_case if its names are more than twice as many as the other's, else mixed: definitions by fn, void
+    or int count for snake_case, capitalized words of four letters or more for CamelCase."""
+    snake = F.regexp_count(text, F.lit(r"\b(?:fn|void|int)\s+[a-z][a-z0-9_]+\s*\("))
+    camel = F.regexp_count(text, F.lit(r"\b[A-Z][A-Za-z0-9]{3,}\b"))
+    return F.when(camel > 2 * snake, "CamelCase").when(snake > 2 * camel, "snake_case").otherwise("mixed")

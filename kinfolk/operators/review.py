@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfolk.operators.verdicts import COUNTERPARTS, holds
+
 
 def identity_relation(exact_name: Column, identity: Column, line: Column, rescue: float = 0.62, compatible: float = 0.72, clone: float = 0.70) -> Column:
     """What a pair's names, identity and lines say together."""
@@ -18,27 +20,32 @@ def identity_relation(exact_name: Column, identity: Column, line: Column, rescue
 NOT_REVIEWED = ("family_neighbor", "same_name_only", "nonsemantic_stub")
 
 
-def admission(pairs: DataFrame, least_lines: int = 10, matched: int = 6, strong: float = 0.6, medium: float = 0.45, shorter: float = 0.5, segment: float = 0.5, identity: float = 0.7, literals: int = 2) -> DataFrame:
-    """pairs with basis and score of those that need a review; basis is null for the others.
+#: The names of the grounds on which a pair is reviewed, and the least evidence of each, by column.
+GROUNDS = [
+    ("normalized_fingerprint_with_code_support", [{"fingerprint": 1, "matched": 6, "line_sim": 0.35}, {"fingerprint": 1, "matched": 6, "segment_cover": 0.40}, {"fingerprint": 1, "matched": 6, "identity": 0.7}]),
+    ("strong_bilateral_line_similarity", [{"line_sim": 0.6, "matched": 6}]),
+    ("multi_signal_code_similarity", [{"line_sim": 0.45, "matched": 8, "cover": 0.5, **more} for more in ({"segment_cover": 0.5}, {"identity": 0.7}, {"literals": 2}, {"fingerprint": 1})]),
+    ("identity_supported_large_partial_match", [{"counterpart": 1, "line_sim": 0.35, "matched": 15, "cover": 0.40, "identity": 0.80}]),
+    ("supported_substantive_partial_match", [{"line_sim": 0.40, "matched": 12, "cover": 0.55, "segment_cover": 0.50, "identity": 0.75}]),
+]
+#: Weights of the review score; literals count up to 3 and matched lines up to 20.
+SCORE = {"line_sim": 0.50, "segment_cover": 0.18, "cover": 0.14, "identity": 0.10, "matched_part": 0.05, "literal_part": 0.03, "fingerprint": 0.05}
+
+
+def admission(pairs: DataFrame, least_lines: int = 10) -> DataFrame:
+    """pairs with basis, the first ground that holds, and review_score; both null for pairs that need no review.
 
     pairs: tier, relation, excluded, q_lines, c_lines, matched, line_sim, segment_cover, identity, literals, fingerprint.
-    Common code is needed first; coverage, identity, segments, a fingerprint or rare literals must then support it.
     """
     fewer = F.least("q_lines", "c_lines")
-    cover = F.least(F.lit(1.0), F.col("matched") / F.greatest(fewer, F.lit(1)))
-    line, seg, ident, n = F.col("line_sim"), F.col("segment_cover"), F.col("identity"), F.col("matched")
-    support = (seg >= segment) | (ident >= identity) | (F.col("literals") >= literals) | F.col("fingerprint")
-    ladder = (
-        F.when(F.col("fingerprint") & (n >= matched) & ((line >= 0.35) | (seg >= 0.40) | (ident >= identity)), "normalized_fingerprint_with_code_support")
-        .when((line >= strong) & (n >= matched), "strong_bilateral_line_similarity")
-        .when((line >= medium) & (n >= 8) & (cover >= shorter) & support, "multi_signal_code_similarity")
-        .when((line >= 0.35) & (n >= 15) & (cover >= 0.40) & (ident >= 0.80) & F.col("relation").isin("exact_counterpart", "same_name_code_clone"), "identity_supported_large_partial_match")
-        .when((line >= 0.40) & (n >= 12) & (cover >= 0.55) & (seg >= 0.50) & (ident >= 0.75), "supported_substantive_partial_match")
-    )
+    part = lambda c, most: F.least(F.lit(1.0), F.col(c) / most)
+    rows = pairs.withColumn("cover", F.least(F.lit(1.0), F.col("matched") / F.greatest(fewer, F.lit(1)))).withColumn("counterpart", F.col("relation").isin(*COUNTERPARTS))
+    rows = rows.withColumn("matched_part", part("matched", 20)).withColumn("literal_part", part("literals", 3))
     open_ = F.col("tier").isin("review", "weak") & ~F.col("excluded") & ~F.col("relation").isin(*NOT_REVIEWED) & (fewer >= least_lines)
-    basis = F.when(open_, ladder)
-    total = 0.50 * line + 0.18 * seg + 0.14 * cover + 0.10 * ident + 0.05 * F.least(F.lit(1.0), n / 20) + 0.03 * F.least(F.lit(1.0), F.col("literals") / 3) + F.when(F.col("fingerprint"), 0.05).otherwise(0.0)
-    return pairs.withColumn("basis", basis).withColumn("review_score", F.when(F.col("basis").isNotNull(), F.bround(F.least(F.lit(1.0), total), 4)))
+    basis = F.coalesce(*(F.when(open_ & holds(rules), name) for name, rules in GROUNDS))
+    total = sum((F.col(c).cast("double") * w for c, w in SCORE.items()), F.lit(0.0))
+    out = rows.withColumn("basis", basis).withColumn("review_score", F.when(F.col("basis").isNotNull(), F.bround(F.least(F.lit(1.0), total), 4)))
+    return out.drop("cover", "counterpart", "matched_part", "literal_part")
 
 
 def review_queue(pairs: DataFrame, margin: float = 0.03, keep: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ REPO = Path(__file__).resolve().parent.parent
 
 
 def test_oracles_are_registered():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 40
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 50
 
 
 def test_entry_runs(spark):

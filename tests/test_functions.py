@@ -50,7 +50,8 @@ def test_storage_key_and_html(value):
     key = value(X.storage_key(F.lit("host.org/a/b")))
     assert key.startswith("host-org-a-b-") and len(key) == len("host-org-a-b-") + 24
     assert value(X.visible_text(F.lit("<p>a &amp; b<script>x</script><!-- n --> <b>c</b>"))) == "a & b c"
-    assert value(X.naming_style(F.lit("a_b c_d eF"))) == "snake" and value(X.naming_style(F.lit("aB cD e_f"))) == "camel"
+    assert value(X.naming_style(F.lit("fn do_it() void run_x (int go("))) == "snake_case" and value(X.naming_style(F.lit("TaskList PageTable Map"))) == "CamelCase"
+    assert value(X.naming_style(F.lit("fn a_b( Task"))) == "mixed" and value(X.naming_style(F.lit(""))) == "mixed"
 
 
 def test_paths(value):
@@ -77,7 +78,9 @@ def test_scores(value):
     assert value(scores.hamming(F.lit(0x123456789ABCDEF0), F.lit(0x123456789ABCDEF0 ^ 0x7FFF))) == 15
     assert value(scores.segment_rescore(F.lit(0.5), F.lit(0.9), F.lit(0.5), F.lit(1.0))) == pytest.approx(0.65)
     assert [value(scores.retier(F.lit(a), F.lit(b), F.lit(c), F.lit(d))) for a, b, c, d in (("weak", 0.76, 0.0, 0.0), ("review", 0.1, 0.2, 0.1), ("review", 0.1, 0.3, 0.1))] == ["review", "dismissed", "review"]
-    assert value(scores.clone_kind(F.lit(100), F.lit(15))) == "near" and value(scores.clone_kind(F.lit(1), F.lit(0))) == "exact" and value(scores.clone_kind(F.lit(1), F.lit(1))) == "renamed"
+    kind = lambda e, r, *k: value(scores.clone_kind(F.lit(e), F.lit(r), *k))
+    assert [kind(100, 15), kind(1, 0), kind(1, 1), kind(0, 0)] == ["near_dup", "exact", "similar", "similar"]
+    assert kind(0, 0, F.array(F.lit("exact"))) == "exact" and kind(0, 0, F.array(F.lit("exact"), F.lit("renamed"))) == "near_dup"
     assert value(scores.incremental(F.lit(0.7), F.lit(9), F.lit(0.6), F.lit(6))) and not value(scores.incremental(F.lit(0.69), F.lit(9), F.lit(0.6), F.lit(6)))
     assert value(scores.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx(0.6)
     assert value(scores.cosine(F.array(F.lit(0.0)), F.array(F.lit(3.0)))) == 0
