@@ -48,11 +48,14 @@ def weighted_tokens(docs: DataFrame) -> DataFrame:
 
 
 def weighted_fingerprints(weighted: DataFrame) -> DataFrame:
-    """doc_id, fp, n_tokens and weak_bits (the least confident bit of each band) from doc_id, h, weight (whole numbers).
+    """doc_id, fp, n_tokens and weak_bits (the least confident bit of each band) from doc_id, token or its portable hash h, and
+    weight (whole numbers).
 
     A bit is set if the weights of the tokens that have it outweigh the others; weights of 0 or less are skipped.
     """
     width = BITS // BANDS
+    if "h" not in weighted.columns:
+        weighted = weighted.withColumn("h", portable_hash(F.col("token")))
 
     def run(batches):
         shift = np.arange(BITS, dtype=np.int64)

@@ -73,7 +73,9 @@ def test_union_keeps_the_first_score(spark):
 
 
 def test_or_join_has_no_nested_loop(spark):
-    docs = spark.createDataFrame([(0, "x y", "a", "en"), (50, "x  y", "b", "en"), (51, "x y", "c", "en"), (52, None, "d", "en")], "doc_id long, text string, source string, lang string")
+    five, wide = "a\nb\nc\nd\nx y", "a\nb\nc\nd\nx  y"
+    short = [(100, "x y", "e", "en"), (101, "x y", "f", "en"), (102, "\n\n# only\n// comments\n", "a", "en"), (150, "# other", "b", "en")]  # files of fewer than five lines take no part
+    docs = spark.createDataFrame([(0, five, "a", "en"), (50, wide, "b", "en"), (51, five, "c", "en"), (52, None, "d", "en"), *short], "doc_id long, text string, source string, lang string")
     out = recall.file_identity(docs, F.col("doc_id") % 50 == 0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
