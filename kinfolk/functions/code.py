@@ -147,3 +147,58 @@ def last_status(text: Column, error: str = r"(?i)\berror\b", success: str = r"(?
     after = lambda p: F.length(F.element_at(F.split(text, p), -1))
     has = lambda p: text.rlike(p)
     return F.when(has(error) & (~has(success) | (after(error) < after(success))), "failed").when(has(success), "passed").otherwise("unknown")
+
+
+def normal_code(code: Column) -> Column:
+    """Code without comments, on one line: strings are "STR" and 'STR', whole numbers but 0 and 1 are NUM."""
+    bare = F.regexp_replace(F.regexp_replace(code, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
+    masked = F.regexp_replace(F.regexp_replace(bare, r'"([^"\\]|\\.)*+"', '"STR"'), r"'([^'\\]|\\.)*+'", "'STR'")
+    return F.btrim(F.regexp_replace(F.regexp_replace(masked, r"\b(?!(?:0|1)\b)[0-9]+\b", "NUM"), r"\s+", " "))
+
+
+#: Marks before a comment's own words, and beginnings of licence notes.
+COMMENT_MARK = r"(?i)^(?:TODO|FIXME|NOTE|XXX|BUG|HACK|TEMP|WIP|Reference|Source|See|Link)\s*:\s*"
+LICENCE = r"(?i)^(?:SPDX-|Copyright\b|Licensed\b|License\b|All rights reserved)"
+
+
+def comments(code: Column, least: int = 20) -> Column:
+    """The distinct comments of a text that say something: no licence notes, at least 20 characters after a mark like TODO.
+
+    Strings are matched first, so that what looks like a comment inside one is none. The words of a comment over several
+    lines are joined by single spaces, without slashes and stars at the ends of lines.
+    """
+    found = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r'(?s)("(?:[^"\\]|\\.)*+"|/\*.*?\*/|//[^\n]*)'), 1)
+    said = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?m)^\s*(?://[/!]?|/\*+!?|\*+(?!/))", ""), r"(?m)\*/\s*$", ""), r"\s+", " "))
+    clean = F.transform(F.filter(found, lambda x: x.startswith("/")), said)
+    return F.array_distinct(F.filter(clean, lambda x: (F.length(F.btrim(F.regexp_replace(x, COMMENT_MARK, ""))) >= least) & ~F.regexp_replace(x, COMMENT_MARK, "").rlike(LICENCE)))
+
+
+def comment_overlap(a: Column, b: Column) -> Column:
+    """The comments that two texts share word for word, the longest first, then by code point."""
+    shared = F.array_intersect(comments(a), comments(b))
+    return F.transform(F.sort_array(F.transform(shared, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
+
+
+#: Symbols that tell nothing about a repository, and methods that do although they stand in an implementation.
+NOISE = ("memset", "memcpy", "memmove", "strlen", "strcmp", "strncpy", "printf", "printk", "kprintf", "panic", "main")
+ENTRY_METHODS = ("new", "run", "init", "exec", "spawn")
+
+
+def symbol_level(lang: Column, name: Column, kind: Column, scope_kind: Column, extras: Column) -> Column:
+    """map, index or discard: whether a symbol belongs in a short map of its repository, in the full index, or in neither.
+
+    Tables of conditions by language; what no condition takes is for the index.
+    """
+    n, k = F.coalesce(name, F.lit("")), F.coalesce(kind, F.lit(""))
+    private = n.startswith("_")
+    in_map = {
+        "c": k.isin("struct", "typedef", "prototype")
+        | (k == "macro") & (F.upper(n) == n) & n.rlike("[A-Z]") & (F.length(n) > 2)
+        | (k == "function") & ~F.coalesce(F.contains(extras, F.lit("fileScope")), F.lit(False)) & (~private | n.startswith("__")),
+        "rust": k.isin("struct", "enum", "trait", "macro")
+        | k.isin("function", "method") & F.when(F.coalesce(scope_kind, F.lit("")).isin("implementation", "impl"), n.isin(*ENTRY_METHODS)).otherwise(~private),
+    }
+    short = F.lit(False)
+    for of, condition in in_map.items():
+        short = short | (lang == of) & condition
+    return F.when(n.isin(*NOISE) | n.startswith("__") & n.endswith("__"), "discard").when(F.coalesce(short, F.lit(False)), "map").otherwise("index")

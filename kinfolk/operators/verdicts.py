@@ -106,3 +106,31 @@ def in_fixed_order(rows: DataFrame, column: str, order: list[str], *then: Column
     """Rows sorted by a fixed enumeration of a column (others last), then by more keys."""
     place = F.create_map(*(F.lit(x) for pair in ((v, k) for k, v in enumerate(order)) for x in pair))[F.col(column)]
     return rows.orderBy(F.coalesce(place, F.lit(len(order))), *then)
+
+
+def partial_match(matched: Column, q_lines: Column, c_lines: Column, least: int = 5, cover: float = 0.35) -> Column:
+    """Whether enough lines match, and enough of the shorter side, for a part that was taken over and extended."""
+    shorter = F.least(q_lines, c_lines)
+    return F.coalesce((matched >= least) & (shorter > 0) & (matched / shorter >= cover), F.lit(False))
+
+
+#: Fixed value: a line similarity from which a candidate is reported on its own.
+REPORTED = 0.5
+
+
+def reportable(rescued: Column) -> Column:
+    """Whether any evidence of a candidate is worth a report (tier, line_sim, fingerprint, literals, has_segments, partial)."""
+    evidence = [F.col("tier") == "confirmed", F.col("line_sim") >= REPORTED, F.col("fingerprint"), F.col("literals") > 0, F.col("has_segments"), F.col("partial"), rescued]
+    return reduce(lambda a, b: a | b, (F.coalesce(e, F.lit(False)) for e in evidence))
+
+
+def by_priority(findings: DataFrame, severities: list[str], groups: list[tuple[Column, int]], other: int) -> DataFrame:
+    """Findings by severity, then by the place of the first group that takes them, then the most confident first.
+
+    groups: conditions in order of precedence with their places, which may differ from it.
+    """
+    place = F.lit(other)
+    for condition, at in reversed(groups):
+        place = F.when(condition, at).otherwise(place)
+    severity = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, severities)), F.col("severity")), F.lit(0)), F.lit(len(severities) + 1))
+    return findings.orderBy(severity, place, F.desc("confidence"), "id")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions import text as X
-from kinfolk.operators import catalog, citations, verdicts
-from kinfolk.plans.oracle import LINE_ARRAY, LINKS
+from kinfolk.operators import catalog, citations, comparison, verdicts
+from kinfolk.plans.oracle import LINE_ARRAY, LINKS, LOWER_WORDS
 from kinfolk.plans.queries import asked, first_line, pairs_of, table
 
 TIERS = ["confirmed", "review", "weak"]
 KINDS = ["1-URGENT", "5-LOW", "3-MEDIUM"]
+EVENTS = ["purchase", "error"]
 
 
 def commit_citations(spark, sf_dir):
@@ -58,8 +59,31 @@ def targeted_recall(spark, sf_dir):
     return catalog.targeted_recall(rows.filter(asked()).withColumnRenamed("doc_id", "q_id"), rows.withColumnRenamed("doc_id", "c_id"), chosen)
 
 
+def vocabulary_states(spark, sf_dir):
+    """Words of the benchmark against those of all documents: in both, new, or in documents only."""
+    names = lambda t: table(spark, sf_dir, t).select(F.explode(X.words(F.lower("text"))).alias("name"))
+    return comparison.name_states(names("benchmark"), names("documents"), comparison.TRIVIAL)
+
+
+def first_strategies(spark, sf_dir):
+    """The strongest kind of event of each user."""
+    hits = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("strategy"), "event_id")
+    return comparison.first_strategy(hits, "user_id", EVENTS, "event_id")
+
+
+def top_items(spark, sf_dir):
+    """The four dearest items of each order."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return comparison.top_within(rows, "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber")], 4).drop("l_extendedprice")
+
+
+def identifier_terms(spark, sf_dir):
+    terms = F.sort_array(X.identifier_terms(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", terms.alias("t")).select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("terms_md5"))
+
+
 QUERIES: dict[str, Callable[..., DataFrame]] = {
-    f.__name__: f for f in (commit_citations, commit_summary, orders_by_year, recent_jobs, catalog_page, exclusive_source_tiers, targeted_recall)
+    f.__name__: f for f in (commit_citations, commit_summary, orders_by_year, recent_jobs, catalog_page, exclusive_source_tiers, targeted_recall, vocabulary_states, first_strategies, top_items, identifier_terms)
 }
 
 _PARTS = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -83,4 +107,12 @@ m as (select q.doc_id as q_id, c.doc_id as c_id, c.source, q.name = c.name as sa
   from p q join p c on q.lang = c.lang and list_has_any(q.parts, c.parts) where q.doc_id % 50 = 0 and c.source in ('src0', 'src1', 'src2')),
 r as (select *, row_number() over (partition by q_id, source order by same desc, near desc, size desc, c_id) as rank from m where same or near >= 0.25)
 select q_id, c_id, source, substr(source, 4)::int as place, rank::int as rank from r where rank <= 80""",
+    "vocabulary_states": f"""with c as (select distinct unnest({LOWER_WORDS}) as name from benchmark), r as (select distinct unnest({LOWER_WORDS}) as name from documents)
+select coalesce(c.name, r.name) as name, case when r.name is null then 'new' when c.name is null then 'reference_only' else 'both' end as state from c full join r on c.name = r.name
+where r.name is not null or c.name not in {comparison.TRIVIAL}""",
+    "first_strategies": """select user_id, event_type as strategy, event_id from (select *, row_number() over (partition by user_id order by case event_type when 'purchase' then 1 when 'error' then 2 else 3 end, event_type, event_id) as r from events) where r = 1""",
+    "top_items": "select l_orderkey, l_linenumber, rank::int as rank from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as rank from lineitem) where rank <= 4",
+    "identifier_terms": r"""with n as (select doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[a-z][a-z0-9_]*') as n from documents),
+t as (select doc_id, list_sort(list_distinct(list_concat(n, list_filter(string_split(array_to_string(n, '_'), '_'), lambda x: x <> '')))) as t from n)
+select doc_id, len(t)::int as n_terms, md5(array_to_string(t, ' ')) as terms_md5 from t""",
 }

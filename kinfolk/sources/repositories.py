@@ -60,3 +60,14 @@ def unique_urls(rows: DataFrame, url: str = "url", order: str = "row") -> DataFr
 def id_collisions(repos: DataFrame) -> DataFrame:
     """Repository ids (in any case of letters) that stand for more than one address."""
     return repos.groupBy(F.lower("repo_id").alias("repo_id")).agg(F.count_distinct(url_identity(F.col("url"))).alias("n")).filter("n > 1")
+
+
+def symbol_tags(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of exported tags, a JSON object a line; lines of other types and broken ones go."""
+    fields = "_type string, name string, path string, line long, end long, kind string, scope string, scopeKind string, signature string, extras string, language string"
+    return spark.read.schema(fields).json(path).filter("_type = 'tag' and name is not null").drop("_type")
+
+
+def log_tails(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
+    """file and the last characters of each log: what a step's state is read from."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.right("value", F.lit(most)).alias("tail"))

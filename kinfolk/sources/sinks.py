@@ -43,3 +43,10 @@ def merged(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFra
     both = old.join(n, key, "full_outer")
     pick = lambda c: F.coalesce(c, f"_{c}") if c in keep else F.coalesce(f"_{c}", c)
     return both.select(key, *(pick(c).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key))
+
+
+def write_manifest(summary: DataFrame, path: str) -> None:
+    """Write the one row of a summary as JSON, in place of what was there."""
+    if (n := summary.limit(2).count()) != 1:
+        raise ValueError(f"a manifest is one row, not {'none' if not n else 'more'}")
+    summary.coalesce(1).write.mode("overwrite").json(path)
