@@ -52,4 +52,48 @@ g as (select *, case when payload_bytes >= 1000 then max(page_id) over (partitio
 select page_id, payload_bytes, payload_digest, case when page_id < top then 'revisit' else 'response' end as record_type, case when page_id < top then top end as refers_to from g
 """
 
-ORACLE: dict[str, str] = {"op7_substring_doubling": OP7, "op8_quality_hosts": OP8, "op9_chat_trees": OP9, "op10_warc": OP10}
+OP11 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as bad from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(bad, false) as toxic,
+    [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by text), false)] as fails
+  from d left join l using (doc_id)),
+cells as (select part, fails, count(*) as n, count(*) filter (where good) as ng, count(*) filter (where toxic) as nt from f group by all),
+letters as (select unnest(range(1, 6)) as x),
+orders as (
+  select [a.x, b.x, c.x, d.x, e.x] as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select o, array_to_string(list_transform(o, lambda i: chr(64 + i::int)), '') as filter_order, unnest(range(1, 6))::int as step from orders),
+marked as (
+  select part, filter_order, step, o[step] as filter, n, ng, nt, fails[o[step]] as here, len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 as earlier,
+    len(list_filter(fails, lambda x: x)) = 1 as alone
+  from cells, steps),
+sums as (
+  select part, filter_order, step, filter, coalesce(sum(n) filter (where not here and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (where here and not earlier), 0)::bigint as removed,
+    coalesce(sum(n) filter (where here and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (where here and alone), 0)::bigint as unique_fails,
+    coalesce(sum(ng) filter (where here and not earlier), 0)::bigint as good_lost, coalesce(sum(nt) filter (where here and not earlier), 0)::bigint as toxic_lost
+  from marked group by part, filter_order, step, filter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, filter))::bigint as shapley from sums
+"""
+
+OP12 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]', 0, 's') as units,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+  select doc_id, text, units, len(units)::bigint as n,
+    [list_reduce(list_transform(string_split(substr(h, 8 * k + 1, 8), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::bigint), lambda a, b: a * 16 + b) for k in range(4)] as hs from t),
+c as (
+  select *, least(hs[1] % (n + 1), hs[2] % (n + 1)) as a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or hs[3] % 100 >= 90 then 'plain' when hs[4] % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (
+  select *, coalesce(array_to_string(units[1:a], ''), '') as prefix, coalesce(array_to_string(units[a + 1:b], ''), '') as middle, coalesce(array_to_string(units[b + 1:], ''), '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(case when form = 'plain' then text else prefix || middle || suffix end) as restored_sha256
+from p
+"""
+
+ORACLE: dict[str, str] = {"op7_substring_doubling": OP7, "op8_quality_hosts": OP8, "op9_chat_trees": OP9, "op10_warc": OP10, "op11_filter_audit": OP11, "op12_fill_middle": OP12}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfolk.llm import chat_trees, hash_prefix_forest, html_suffix_array, language_viterbi, mix_pareto, quality_hosts, sentencepiece_nbest, simhash_covering, substring_doubling, warc
+from kinfolk.llm import (
+    chat_trees,
+    fill_middle,
+    filter_audit,
+    hash_prefix_forest,
+    html_suffix_array,
+    language_viterbi,
+    mix_pareto,
+    quality_hosts,
+    quality_ranking,
+    sentencepiece_nbest,
+    simhash_covering,
+    substring_doubling,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +80,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
+def op13_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_suffix_array": op1_html_suffix_array,
     "op2_sentencepiece_nbest": op2_sentencepiece_nbest,
@@ -77,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_hosts": op8_quality_hosts,
     "op9_chat_trees": op9_chat_trees,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_quality_ranking": op13_quality_ranking,
 }
