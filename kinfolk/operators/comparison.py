@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from kinfolk.functions.code import normal_code
+from kinfolk.operators.matching import ratio
 from kinfolk.runtime import stored
 
 #: Names that are no news when only one side has them; weights of the three similarities; limits of the states.
@@ -32,27 +33,32 @@ def name_states(current: DataFrame, reference: DataFrame, trivial: tuple[str, ..
     return met.select("name", state.alias("state")).filter((F.col("state") != "new") | ~F.col("name").isin(*trivial))
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """How alike two sequences (texts, or arrays of words) are by their longest matching blocks; null for null."""
+    """How alike two sequences (texts, or arrays of hashes) are by their matching blocks; null for null."""
     for a, b in batches:
-        as_sequence = lambda x: x if isinstance(x, str) else list(x)
-        yield pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, as_sequence(x), as_sequence(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        numbers = lambda x: _code_points(x) if isinstance(x, str) else np.asarray(x, dtype=np.int64)
+        yield pd.Series([None if x is None or y is None else ratio(numbers(x), numbers(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def body_similarity(pairs: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
-    """pairs with the similarity of two bodies of code: characters 0.4, sets of tokens 0.3, calls in order 0.3.
+def body_similarity(pairs: DataFrame, a: str, b: str, name: str = "similarity", most: int | None = MOST_CHARACTERS) -> DataFrame:
+    """pairs with the similarity of two bodies of code: matched characters 0.4, sets of tokens 0.3, calls in order 0.3.
 
-    Bodies are compared without comments, their strings and numbers masked; 0 if nothing is left of one or it is null. The
-    matching of characters is quadratic, so it is defined over the first 8000 of a body; tokens and calls are of all of it.
+    Bodies are compared in their normal form (see normal_code); 0 if nothing is left of one or it is null. Characters can
+    be matched in as many places as there are pairs of equal ones, so the measure is defined over the first most of a
+    body; most=None takes all of it. Tokens and calls are always of all of it.
     """
-    x, y = F.coalesce(normal_code(F.col(a)), F.lit("")), F.coalesce(normal_code(F.col(b)), F.lit(""))
-    met = pairs.withColumn("_x", x).withColumn("_y", y)
-    tokens = lambda c: F.array_distinct(F.split(c, " "))
-    calls = lambda c: F.regexp_extract_all(c, F.lit(r"\b(\w+)\s*\("), 1)
-    shared = F.size(F.array_intersect(tokens("_x"), tokens("_y"))) / F.size(F.array_union(tokens("_x"), tokens("_y")))
-    score = CHARACTERS * _ratio(F.substring("_x", 1, MOST_CHARACTERS), F.substring("_y", 1, MOST_CHARACTERS)) + TOKENS * shared + CALLS * _ratio(calls("_x"), calls("_y"))
-    return met.withColumn(name, F.when((F.col("_x") == "") | (F.col("_y") == ""), 0.0).otherwise(score)).drop("_x", "_y")
+    sides = {"_x": F.coalesce(normal_code(F.col(a)), F.lit("")), "_y": F.coalesce(normal_code(F.col(b)), F.lit(""))}
+    met = pairs.withColumns(sides).withColumns({f"{c}w": F.array_distinct(F.split(c, " ")) for c in sides})
+    cut = (lambda c: F.col(c)) if most is None else (lambda c: F.substring(c, 1, most))
+    calls = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\b(\w+)\s*\("), 1), lambda x: F.xxhash64(x))
+    parts = [(CHARACTERS, _ratio(cut("_x"), cut("_y"))), (TOKENS, F.size(F.array_intersect("_xw", "_yw")) / F.size(F.array_union("_xw", "_yw"))), (CALLS, _ratio(calls("_x"), calls("_y")))]
+    score = sum((weight * part for weight, part in parts[1:]), parts[0][0] * parts[0][1])
+    return met.withColumn(name, F.when((F.col("_x") == "") | (F.col("_y") == ""), 0.0).otherwise(score)).drop("_x", "_y", "_xw", "_yw")
 
 
 def reference_comparison(current: DataFrame, reference: DataFrame) -> DataFrame:
