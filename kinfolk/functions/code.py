@@ -16,9 +16,9 @@ ISA_ONLY = {
     "aarch64": ("eret", "tlbi", "adrp", "dsb", "isb", "msr", "mrs"),
 }
 #: Mnemonics that only move data between registers, memory and control registers: whole words, and beginnings of families.
-MOVE_WORDS = ("li", "la", "mv", "str", "ldr", "stp", "ldp", "push", "pop", "pushq", "popq", "csrr", "csrw", "csrrd", "csrwr", "mrs", "msr", "move")
+MOVE_WORDS = ("li", "la", "mv", "str", "ldr", "stp", "ldp", "push", "pop", "pushq", "popq", "csrr", "csrw", "csrrd", "csrwr", "csrxchg", "csrrw", "mrs", "msr", "move")
 MOVE_FAMILIES = ("mov", "ld.", "st.", "ldur", "stur")
-RISCV_WIDTHS = tuple(f"{op}{width}" for op in "ls" for width in "bhwd")
+RISCV_WIDTHS = tuple(f"{op}{width}" for op in "ls" for width in "bhwdx") + tuple(f"f{op}{width}" for op in "ls" for width in "wd")
 
 
 def mnemonic(line: Column) -> Column:
@@ -149,11 +149,24 @@ def last_status(text: Column, error: str = r"(?i)\berror\b", success: str = r"(?
     return F.when(has(error) & (~has(success) | (after(error) < after(success))), "failed").when(has(success), "passed").otherwise("unknown")
 
 
+#: Tokens of code: comment, string, character, white space, word or number, any other sign.
+CODE_TOKEN = r"""(?s)(//[^\n]*|/\*.*?(?:\*/|\z)|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|\s+|\w+|.)"""
+
+
 def normal_code(code: Column) -> Column:
-    """Code without comments, on one line: strings are "STR" and 'STR', whole numbers but 0 and 1 are NUM."""
-    bare = F.regexp_replace(F.regexp_replace(code, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
-    masked = F.regexp_replace(F.regexp_replace(bare, r'"([^"\\]|\\.)*+"', '"STR"'), r"'([^'\\]|\\.)*+'", "'STR'")
-    return F.btrim(F.regexp_replace(F.regexp_replace(masked, r"\b(?!(?:0|1)\b)[0-9]+\b", "NUM"), r"\s+", " "))
+    """Code without comments, on one line: strings are "STR" and 'STR', whole numbers but 0 and 1 are NUM.
+
+    One pass over its tokens, so what looks like a comment inside a string is part of the string.
+    """
+
+    def shown(x: Column) -> Column:
+        first = F.substring(x, 1, 1)
+        closed = (F.length(x) > 1) & x.endswith(first)
+        text = F.when((first == '"') & closed, '"STR"').when((first == "'") & closed, "'STR'")
+        return F.when(x.startswith("//") | x.startswith("/*"), "").when(first.rlike(r"\s"), " ").when(text.isNotNull(), text).when(x.rlike("^[0-9]+$") & ~x.isin("0", "1"), "NUM").otherwise(x)
+
+    tokens = F.regexp_extract_all(code, F.lit(CODE_TOKEN), 1)
+    return F.btrim(F.regexp_replace(F.array_join(F.transform(tokens, shown), ""), " +", " "))
 
 
 #: Marks before a comment's own words, and beginnings of licence notes.

@@ -107,13 +107,19 @@ def storage_key(identity: Column) -> Column:
     return F.concat(F.substring(slug, 1, 48), F.lit("-"), F.substring(F.sha2(identity, 256), 1, 24))
 
 
+#: Pieces of a page: whole elements that hold no prose, comments, tags, text, and a < that begins nothing.
+PAGE_PIECE = r"(?is)(<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|code\b[^>]*>.*?</code|pre\b[^>]*>.*?</pre)>|<!--.*?-->|<[^>]*>|[^<]+|<)"
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&hellip;": "…", "&amp;": "&"}
+
+
 def visible_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, code and tags; the four basic character references decoded."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|code|pre)\b[^>]*>.*?</(script|style|code|pre)>", " ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(ref), F.lit(char))
-    return fold_space(bare)
+    """The text of a page, white space folded: its pieces but tags, comments, scripts, styles and code, with a space for
+    each piece left out, and the usual character references decoded."""
+    pieces = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(PAGE_PIECE), 1)
+    text = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("<") & (F.length(x) > 1), " ").otherwise(x)), "")
+    for ref, char in REFERENCES.items():
+        text = F.replace(text, F.lit(ref), F.lit(char))
+    return fold_space(text)
 
 
 def naming_style(text: Column) -> Column:

@@ -123,34 +123,55 @@ def targeted_recall(queries: DataFrame, functions: DataFrame, chosen: DataFrame,
     return met.filter(exact | (near >= least)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("q_id", "c_id", "source", "place", "rank")
 
 
+#: The line forms of a test log, and terminal control sequences.
+CONTROL_SEQUENCE = r"\x1b\[[0-?]*[ -/]*[@-~]"
+RUN_STARTED = r"\[\s*=+\s*\]\s*\[\s*utest\s*\]\s*started\b"
+RUN_FINISHED = r"\[\s*=+\s*\]\s*\[\s*utest\s*\]\s*finished\b"
+RUN_COUNTS = r"\[\s*=+\s*\]\s*\[\s*utest\s*\]\s*(\d+) tests from (\d+) testcase ran\."
+CASE_RESULT = r"\[\s*(PASSED|FAILED)\s*\]\s*\[\s*result\s*\]\s*testcase(?: init| cleanup)?\s*\(([^)]+)\)"
+FAILURE = r"\[\s*ASSERT\s*\]\s*\[\s*unit\s*\]|\[\s*FAILED\s*\]\s*\[\s*result\s*\]"
+UNIT_NAME = r"utest unit name:\s*\(([^)]+)\)"
+
+
+def log_lines(logs: DataFrame) -> DataFrame:
+    """log, n (from 1), text of every line of logs: log, text; lines end at any line break."""
+    return logs.select("log", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")).alias("n", "text")).withColumn("n", F.col("n") + 1)
+
+
 def test_runs(lines: DataFrame) -> DataFrame:
-    """Per log, the state of its last test run: passed, failed, unknown or inconsistent, with what led to it.
+    """Per log with a test run, what its last run says and what that is worth: status passed, failed, unknown or inconsistent.
 
-    lines: log, n, text. A run goes from the last start marker to the first end marker after it, or the end of the log. It is
-    unknown if it has no end, ran nothing, or its cases are not as many and as distinct as it says.
+    lines: log, n, text. The run goes from the last start marker to the first end marker after it, or the end of the log;
+    what other runs and other lines say does not count. A run that reports only passes and shows a failure is
+    inconsistent. Otherwise it is unknown if it has no end, no counts, ran nothing or more than there is, or if its results
+    are not as many, and of as many names, as it says it ran.
     """
-    t = F.btrim(F.regexp_replace("text", r"\x1b\[[0-9;]*[A-Za-z]", ""))
+    t = F.btrim(F.regexp_replace("text", CONTROL_SEQUENCE, ""), F.lit(" \t\r\n\x0b\f"))
     rows = lines.select("log", "n", t.alias("t"))
-    start = rows.groupBy("log").agg(F.max(F.when(F.col("t").rlike(r"(?i)utest is started"), F.col("n"))).alias("start")).filter("start is not null")
-    scope = rows.join(start, "log").filter("n >= start")
-    stop = scope.groupBy("log").agg(F.min(F.when((F.col("n") > F.col("start")) & F.col("t").rlike(r"(?i)utest is finished"), F.col("n"))).alias("stop"))
-    scope = scope.join(stop, "log").filter("stop is null or n <= stop")
-    result = F.regexp_extract("t", r"(?i)\[\s*(passed|failed)\s*\].*?\(([^)]+)\)", 1)
-    case = F.regexp_extract("t", r"(?i)\[\s*(passed|failed)\s*\].*?\(([^)]+)\)", 2)
-    ran = lambda k: F.regexp_extract("t", r"(?i)(\d+)\s*/\s*(\d+)\s+tests? ran", k).try_cast("int")
-    by = scope.groupBy("log").agg(
-        F.first("stop").isNotNull().alias("complete"),
-        F.max_by(ran(1), F.when(ran(1).isNotNull(), F.col("n"))).alias("ran"),
-        F.max_by(ran(2), F.when(ran(2).isNotNull(), F.col("n"))).alias("available"),
-        F.count_if(result != "").alias("cases"),
-        F.count_distinct(F.when(result != "", case)).alias("distinct_cases"),
-        F.count_if(F.lower(result) == "failed").alias("failed_cases"),
-        F.count_if(F.col("t").rlike(r"(?i)assert(ion)? failed|\bpanic\b|hard fault") & (result == "")).alias("failures"),
+    starts = rows.filter(F.col("t").rlike(RUN_STARTED)).groupBy("log").agg(F.max("n").alias("start_line"), (F.count("*") - 1).alias("earlier_runs"))
+    told = F.col("t").rlike("|".join((RUN_FINISHED, RUN_COUNTS, CASE_RESULT, FAILURE, UNIT_NAME)))
+    said = rows.filter(told).withColumnRenamed("log", "_log")  # only lines that say something go on
+    scope = starts.join(said, (F.col("log") == F.col("_log")) & (F.col("n") > F.col("start_line")), "left").drop("_log")
+    stop = stored(scope.groupBy("log").agg(F.min(F.when(F.col("t").rlike(RUN_FINISHED), F.col("n"))).alias("end_line")), "run_ends")
+    here = scope.join(stop, "log").withColumn("_in", F.coalesce(F.col("end_line").isNull() | (F.col("n") <= F.col("end_line")), F.lit(True)))
+    case = lambda k: F.nullif(F.regexp_extract("t", CASE_RESULT, k), F.lit(""))
+    count = lambda k: F.regexp_extract("t", RUN_COUNTS, k).try_cast("int")
+    inside = lambda c: F.when(F.col("_in"), c)
+    by = here.groupBy("log", "start_line", "end_line", "earlier_runs").agg(
+        F.max_by(count(1), inside(F.when(count(1).isNotNull(), F.col("n")))).alias("ran"),
+        F.max_by(count(2), inside(F.when(count(2).isNotNull(), F.col("n")))).alias("available"),
+        F.count(inside(case(1))).alias("cases"),
+        F.count_distinct(inside(case(2))).alias("distinct_cases"),
+        F.count_if(F.col("_in") & (case(1) == "FAILED")).alias("failed_cases"),
+        F.count_if(F.col("_in") & F.col("t").rlike(FAILURE)).alias("failures"),
+        F.min(inside(F.when(F.col("t").rlike(FAILURE), F.col("n")))).alias("first_failure"),
+        F.array_sort(F.collect_set(inside(F.nullif(F.regexp_extract("t", UNIT_NAME, 1), F.lit(""))))).alias("units"),
     )
-    bad = ~F.col("complete") | F.col("ran").isNull() | (F.col("ran") == 0) | (F.col("ran") > F.col("available")) | (F.col("cases") != F.col("ran")) | (F.col("distinct_cases") != F.col("ran"))
-    passed = (F.col("cases") > 0) & (F.col("failed_cases") == 0)
-    status = F.when(passed & (F.col("failures") > 0), "inconsistent").when(bad, "unknown").when((F.col("failures") > 0) | (F.col("failed_cases") > 0), "failed").otherwise("passed")
-    return by.withColumn("status", status)
+    reported = F.when(F.col("failed_cases") > 0, "failed").when(F.col("cases") > 0, "passed").otherwise("unknown")
+    ran, cases = F.col("ran"), F.col("cases")
+    bad = F.col("end_line").isNull() | ran.isNull() | (ran == 0) | (ran > F.col("available")) | (cases != ran) | (F.col("distinct_cases") != ran)
+    status = F.when((F.col("failures") > 0) & (F.col("reported") == "passed"), "inconsistent").when(bad, "unknown").when(F.col("failures") > 0, "failed").otherwise(F.col("reported"))
+    return by.withColumn("reported", reported).withColumn("complete", F.col("end_line").isNotNull()).withColumn("status", status)
 
 
 def failure_kind(log: Column) -> Column:

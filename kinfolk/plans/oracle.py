@@ -108,7 +108,7 @@ n as (select doc_id, category, len(regexp_extract_all(coalesce(text, ''), patter
 select doc_id, category, n::int as n, (length(before) - length(replace(before, chr(10), '')) + 1)::int as first_line from n where n > 0""",
     "html_visible_text": r"""with a as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<(script|style|code|pre)\b[^>]*>.*?</(script|style|code|pre)>', ' ', 'g') as t from pages),
 b as (select page_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from a),
-c as (select page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as t from b)
+c as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&hellip;', '…'), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as t from b)
 select page_id, md5(t) as text_md5, length(t)::int as n_chars from c""",
     "url_identity": r"""with i as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', ''), '^[^/@]*@', ''), '^([^/:]+):[0-9]+', '\1'), '/+$', ''), '\.git$', '') as identity from pages)
 select page_id, identity, substr(trim(regexp_replace(identity, '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) || '-' || substr(sha256(identity), 1, 24) as storage_key from i""",

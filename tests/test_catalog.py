@@ -27,13 +27,33 @@ def test_citations_of_files_and_folders(spark):
 
 
 def test_incomplete_reports_and_audit(spark):
-    rows = [("a", "All is said."), ("b", "TODO"), ("c", "and so on ..."), ("d", " "), ("e", "fill {{name}}"), ("f", "todos are done.")]
+    rows = [("a", "All is said."), ("b", "TODO"), ("c", "and so on ..."), ("d", " "), ("e", "fill {{name}}"), ("f", "todos are done."), ("g", "it goes … on"), ("h", "dots.... and <code>a...b</code>"), ("i", "<p>x</p><p>使用规则兜底</p>"), ("j", '<b style="text-overflow : Ellipsis">x</b>'), ("k", "<pre>使用规则兜底</pre>fine"), ("l", '{"overflow": "truncate"}'), ("m", "<i style='-webkit-line-clamp:2'>x</i>")]
     reports = spark.createDataFrame(rows, "report string, text string")
-    assert pairs(reports.filter(citations.incomplete(F.col("text"))), "report") == [("b",), ("c",), ("d",), ("e",)]
+    assert pairs(reports.filter(citations.incomplete(F.col("text"))), "report") == [(x,) for x in "bcdegijlm"]
     wanted = spark.createDataFrame([(x,) for x in "abxa"], "report string")
     assert pairs(citations.audit(reports, wanted), "wanted", "present", "missing", "incomplete") == [(3, 2, 1, 1)]
 
 
+def test_flaws_of_reports(spark):
+    page = "<p>" + "a" * 40 + "... and &hellip; " + "b" * 40 + "</p><script>x...</script>"
+    row = spark.createDataFrame([(page,)], "t string").select(citations.ellipses(F.col("t")).alias("e"), citations.flaws(F.col("t")).alias("f")).first()
+    assert row.e == ["a" * 28 + "... and … " + "b" * 21, "a" * 20 + "... and … " + "b" * 27]
+    assert [x.kind for x in row.f] == ["ellipsis", "ellipsis"]
+
+
+def test_error_markers(spark):
+    deep = "1"
+    for k in range(30):
+        deep = '{"_error": "at %d", "x": [%s, 2]}' % (k, deep)
+    rows = [(1, '{"a": {"_error": "lost", "b": [1, {"_error": "", "c": {"_error": 7}}, [{"_error": "in list"}]]}, "_error": {"x": {"_error": "not looked at"}}}'), (2, "[]"), (3, None), (4, "{broken"), (5, '"_error"'), (6, '{"_error": false, "y": [{"_error": null}, {"_error": []}, {"_error": "0"}]}')]
+    table = spark.createDataFrame([*rows, (7, deep)], "id long, j string")
+    found = [(r.id, r.path, r.message) for r in citations.error_markers(table, "id", "j").collect()]
+    assert sorted(x for x in found if x[0] < 7) == [(1, "report", '{"x":{"_error":"not looked at"}}'), (1, "report.a", "lost"), (1, "report.a.b[1].c", "7"), (1, "report.a.b[2][0]", "in list"), (6, "report.y[2]", "0")]
+    assert sorted(int(m.split()[1]) for i, _, m in found if i == 7) == list(range(30)) and (7, "report" + ".x[0]" * 29, "at 0") in found
+    with pytest.raises(ValueError):
+        citations.error_markers(table, "id", "j", most_depth=5)
+
+
 EVIDENCE = "q_id long, c_id long, tier string, relation string, agrees boolean, line_sim double, cover double, matched int, identity double, fingerprint boolean, literals int, segment_cover double, state string, review_score double"
 
 
@@ -105,11 +125,38 @@ def test_provenance_by_path(spark):
     assert pairs(catalog.layout_paths(files, layout), "path") == [("third/lwip/core/a.c",)]
 
 
+def run_log(failure=False, count=1, complete=True, name="kernel.thread"):
+    lines = ["[==========] [ utest ] started", f"utest unit name: ({name}_unit)"]
+    lines += ["[ ASSERT ] [ unit ] at (thread.c); func: (create:65); msg: (false)"] if failure else []
+    lines += [f"[ PASSED ] [ result ] testcase ({name})"] if count else []
+    lines += [f"[==========] [ utest ] {count} tests from 10 testcase ran."]
+    return "\n".join(lines + (["[==========] [ utest ] finished"] if complete else [])) + "\n"
+
+
 def test_test_logs(spark):
-    good = ["utest is started", "\x1b[32m[ PASSED ] [ result ] testcase (a)\x1b[0m", "[ PASSED ] [ result ] testcase (b)", "2 / 2 tests ran", "utest is finished"]
-    logs = {"good": good, "open": good[:-1], "bad": [good[0], "[ FAILED ] [ result ] testcase (a)", good[2], *good[3:]], "odd": [*good[:2], "assertion failed at 7", *good[2:]], "again": ["utest is started", "[ FAILED ] [ result ] testcase (z)", *good], "few": [*good[:2], *good[3:]], "other": ["boot", "done"]}
-    lines = spark.createDataFrame([(k, n, t) for k, v in logs.items() for n, t in enumerate(v, 1)], "log string, n int, text string")
-    assert {r.log: r.status for r in catalog.test_runs(lines).collect()} == {"good": "passed", "open": "unknown", "bad": "failed", "odd": "inconsistent", "again": "passed", "few": "unknown"}
+    line = "[ PASSED ] [ result ] testcase (kernel.thread)\n"
+    logs = {
+        "good": (run_log(), "passed"),
+        "kept_failure": (run_log(failure=True), "inconsistent"),
+        "new_run": (run_log(failure=True) + run_log(), "passed"),
+        "cut": (run_log() + run_log(complete=False), "unknown"),
+        "zero": (run_log(count=0), "unknown"),
+        "no_count": (run_log().replace("1 tests from 10 testcase ran.", ""), "unknown"),
+        "impossible": (run_log().replace("from 10 testcase", "from 0 testcase"), "unknown"),
+        "twice": (run_log().replace(line, line + line), "unknown"),
+        "outside": ("[ ASSERT ] [ unit ] old diagnostic\n" + run_log() + "[ ASSERT ] [ unit ] later\n", "passed"),
+        "colour": (run_log(failure=True).replace("[ ASSERT ]", "\x1b[31m[ ASSERT ]\x1b[0m"), "inconsistent"),
+        "failed": (run_log(failure=True).replace("[ PASSED ]", "[ FAILED ]"), "failed"),
+        "init": (run_log().replace("testcase (", "testcase init ("), "passed"),
+        "only_start": (run_log() + "[==========] [ utest ] started", "unknown"),
+        "broken_lines": (run_log().replace("\n", "\r\n"), "passed"),
+    }
+    rows = [(k, t) for k, (t, _) in logs.items()] + [("other", "boot\ndone"), ("null", None)]
+    out = {r.log: r for r in catalog.test_runs(catalog.log_lines(spark.createDataFrame(rows, "log string, text string"))).collect()}
+    assert {k: r.status for k, r in out.items()} == {k: s for k, (_, s) in logs.items()}
+    assert out["kept_failure"].reported == "passed" and out["kept_failure"].first_failure == 3
+    assert out["new_run"].earlier_runs == 1 and out["new_run"].failures == 0 and out["good"].units == ["kernel.thread_unit"]
+    assert (out["good"].start_line, out["good"].end_line, out["good"].ran, out["good"].available) == (1, 5, 1, 10) and not out["cut"].complete
     kinds = spark.createDataFrame([("HTTP 429 rate limit",), ("connection reset by peer",), ("Traceback: x",), ("fine",), (None,)], "t string")
     assert [r[0] for r in kinds.select(catalog.failure_kind(F.col("t"))).collect()] == ["quota", "network", "other", None, None]
 

@@ -56,7 +56,11 @@ def test_storage_key_and_html(value):
 
 def test_paths(value):
     cases = {"src/latest/contest.rs": False, "src/tests/a.rs": True, "a/my-test.c": True, "a/test_x.c": True, "Bench/a.c": True}
+    cases |= {"a/testing/x.rs": True, "libc-test/x.c": True, "a\\benches\\b.c": True, "x/foo.test.rs": True, "x.test": False, "testament/benchpress.c": False, "": False, "a/./../tests.d/x": True}
     assert {p: value(paths.is_test_path(F.lit(p))) for p in cases} == cases
+    folders = {"riscv64-linux-musl-cross/x.h": True, "chcore-busybox/x.c": True, "UnixBench/x.c": True, "a/deps/x.c": True, "os/src/fs.c": False, "my_ltp-full2/x": True, "a/integration-tests/x.c": True, "busybox": False}
+    assert {p: value(paths.is_excluded(F.lit(p))) for p in folders} == folders
+    assert [value(paths.root_key(F.lit(x))) for x in ("rCore-v3", "rcore_V3", "ｒＣore　V3", "os_kernel_lab", "")] == ["rcorev3", "rcorev3", "rcorev3", "oskernellab", ""]
     assert value(paths.is_excluded(F.lit("a/Target/x.rs"))) and not value(paths.is_excluded(F.lit("a/target")))
     assert [value(paths.language(F.lit(p))) for p in ("a.rs", "b/c.h", "d.S", "e.py", "f")] == ["rust", "c", "asm", None, None]
     assert value(paths.is_baseline(F.lit("0\\baseline_x"))) and not value(paths.is_baseline(F.lit("baseline_x/y")))
