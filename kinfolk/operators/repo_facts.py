@@ -44,7 +44,7 @@ STRATEGIES = ["function_name", "dispatch_table", "macro", "constant_only"]
 PLACES, WAKER_PLACES = 6, 3
 
 _TYPE = re.compile(r"(?:int|long|isize_t|ssize_t|size_t|void|uintptr_t|usize|char|bool|u?int\d+(?:_t)?)")
-_CALL = re.compile(r"(?:SYSCALL|SYS|NR)_[A-Z0-9_]+")
+_CALL, _ARM = re.compile(r"(?:SYSCALL|SYS|NR)_[A-Z0-9_]+", re.I), re.compile(r"SYS_[A-Z0-9_]+")
 _MACROS = ("syscall_define", "define_syscall")
 _LEADING = {"rust": ("pub",), "c": ("static", "unsigned")}
 
@@ -93,7 +93,7 @@ def scan(text: str, lang: str) -> list[tuple[str, str, int]]:
                 dispatch = depth
             if _CALL.fullmatch(word):
                 out.append(("mention", word, lines[k]))
-                inside = bool(braces) and braces[-1] and word.startswith("SYS_")
+                inside = bool(braces) and braces[-1] and _ARM.fullmatch(word)
                 if inside and (first and after == ["=>"] or before == "case" and words[k - 2 : k - 1] != ["="] and after == [":"] and (k < 2 or lines[k - 2] != lines[k])):
                     out.append(("arm", word, lines[k]))
                 if before in ("const", "static") and after in ([":"], ["="]):
@@ -145,9 +145,12 @@ def scanned(files: DataFrame) -> DataFrame:
     return stored(out.select("repo", "path", F.explode("found").alias("f")).select("repo", "path", "f.*"), "scanned")
 
 
-def call_name(name: Column) -> Column:
-    """The system call that a function, macro or constant is named after; null for other names."""
-    return F.nullif(F.lower(F.regexp_extract(name, r"^(?:sys|syscall|SYS|SYSCALL|NR)_(\w+)$", 1)), F.lit(""))
+def call_name(name: Column, heads: str = "syscall|sys") -> Column:
+    """The system call that a function is named after (with heads of constants, a constant); null for other names."""
+    return F.nullif(F.lower(F.regexp_extract(name, rf"^(?:{heads})_(\w+)$", 1)), F.lit(""))
+
+
+CONSTANT_HEADS = "(?i:syscall|sys|nr)"
 
 
 def implemented_calls(found: DataFrame) -> DataFrame:
@@ -219,7 +222,7 @@ def syscall_sources(found: DataFrame) -> DataFrame:
     called = sized_join(found.filter("kind = 'called'"), handlers, ["repo", "path"], "left_semi").select("repo", F.col("name").alias("source")).distinct()
     do = functions.filter(F.startswith("source", F.lit("do_"))).join(called, ["repo", "source"], "left_semi")
     do = do.select("repo", F.lower(F.substring("source", 4, 1 << 20)).alias("name"), F.lit("function_name").alias("strategy"), "source", "path", "line")
-    of = lambda rows, strategy: rows.select("repo", F.coalesce(call_name(F.col("name")), F.lower("name")).alias("name"), F.lit(strategy).alias("strategy"), F.col("name").alias("source"), "path", "line")
+    of = lambda rows, strategy: rows.select("repo", F.coalesce(call_name(F.col("name"), CONSTANT_HEADS), F.lower("name")).alias("name"), F.lit(strategy).alias("strategy"), F.col("name").alias("source"), "path", "line")
     table = of(sized_join(found.filter("kind = 'mention'"), handlers, ["repo", "path"], "left_semi"), "dispatch_table")
     every = direct.unionByName(do).unionByName(table).unionByName(of(found.filter("kind = 'macro'"), "macro")).unionByName(of(found.filter("kind = 'constant'"), "constant_only"))
     every = every.filter("name is not null").withColumn("_k", F.struct("repo", "name"))

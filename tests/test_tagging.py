@@ -160,7 +160,7 @@ def test_facts_of_repositories(spark):
         ("a", "vendor/x.c", "int sys_mmap(int f) {}"),
         ("a", "kernel/param.h", "// cpus\n#define NCPU 8 // all\n"),
         ("a", "kernel/entry.S", "nop\n  call hart_start\n"),
-        ("a", "kernel/table.c", "static const int SYS_close = 3;\nconst int SYS_CLOSE = 4;\n"),
+        ("a", "kernel/table.rs", "let x = SYS_DUP;\npub const SYS_CLOSE: usize = 4;\n"),
         ("b", "deep/syscall.c", "switch (n) {\ncase SYS_A: ;\ncase SYS_B: ;\ncase SYS_A: ;\n}"),
         ("b", "deep/other/syscall.c", "x"),
         ("b", "Makefile", "all:\nCPUS := 3\n"),
@@ -177,7 +177,7 @@ def test_facts_of_repositories(spark):
     assert cpus == {"a": (8, True, ["kernel/param.h:2", "kernel/entry.S:2"]), "b": (3, False, ["Makefile:2"]), "c": (2, False, ["src/config.rs:1"])}
     calls = {(r.repo, r.name): (r.strategy, r.source, r.path) for r in repo_facts.syscall_sources(found).collect()}
     assert calls["a", "read"] == ("function_name", "sys_read", "kernel/syscall.c") and calls["a", "weird"][0] == "function_name"
-    assert ("a", "other") not in calls and calls["a", "close"] == ("constant_only", "SYS_CLOSE", "kernel/table.c")
+    assert ("a", "other") not in calls and calls["a", "close"] == ("constant_only", "SYS_CLOSE", "kernel/table.rs") and ("a", "dup") not in calls
     assert repo_facts.scanned(table.limit(0)).count() == 0
 
 
