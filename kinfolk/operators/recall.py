@@ -9,25 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfolk.functions import text as X
-from kinfolk.runtime import stored
-
-
-def _sides(docs: DataFrame, is_query: Column, *names: str) -> tuple[DataFrame, DataFrame]:
-    q = docs.filter(is_query).select(*(F.col(c).alias(f"q_{c}") for c in ("doc_id", "source", "lang", *names)))
-    c = docs.select(*(F.col(x).alias(f"c_{x}") for x in ("doc_id", "source", "lang", *names)))
-    return q, c
+from kinfolk.functions.scores import identity_score
+from kinfolk.runtime import sized_join, stored
 
 
 def exact_fingerprint(docs: DataFrame, is_query: Column) -> DataFrame:
     """Documents of another source and the same language with equal text; one per query and source, the smallest.
 
-    Hashes find the pairs; the texts themselves confirm them.
+    Texts are told apart by their SHA-256. Copies are counted as one row per source before anything is joined, so a text
+    with many copies brings as many rows to a query as it has sources; no text is shuffled.
     """
-    hashed = docs.withColumn("fp", F.sha2("text", 256))
-    q, c = _sides(hashed, is_query, "fp", "text")
-    same = (F.col("q_fp") == F.col("c_fp")) & (F.lower("q_lang") == F.lower("c_lang")) & (F.col("q_source") != F.col("c_source"))
-    met = q.join(c, same).filter(F.col("q_text") == F.col("c_text"))
-    return met.groupBy(F.col("q_doc_id").alias("q_id"), F.col("c_source").alias("source")).agg(F.min("c_doc_id").alias("c_id"))
+    rows = docs.select("doc_id", "source", F.lower("lang").alias("lang"), F.sha2("text", 256).alias("fp")).filter("fp is not null and lang is not null and source is not null")
+    rows = stored(rows, "fingerprints")
+    firsts = stored(rows.groupBy("fp", "lang", "source").agg(F.min("doc_id").alias("c_id")), "first_copies")
+    q = rows.filter(is_query).select(F.col("doc_id").alias("q_id"), F.col("source").alias("q_source"), "lang", "fp")
+    return q.join(firsts, ["fp", "lang"]).filter(F.col("q_source") != F.col("source")).select("q_id", "source", "c_id")
 
 
 def name_matches(docs: DataFrame, is_query: Column, name: Column, shortest: int = 5, most: int | None = None) -> DataFrame:
@@ -67,10 +63,14 @@ def file_identity(docs: DataFrame, is_query: Column, least_lines: int = 5) -> Da
 
 
 def breadth(docs: DataFrame, least: int = 3) -> DataFrame:
-    """doc_id, how many sources hold its normal hash, and whether that makes it common."""
+    """doc_id, how many sources hold its normal hash, and whether that makes it common.
+
+    The counts are stored before they meet the rows again, so both sides of that join have their own exchange and the rows
+    of a frequent hash can be split.
+    """
     hashed = docs.select("doc_id", "source", X.norm_hash(F.col("text")).alias("norm"))
-    wide = hashed.groupBy("norm").agg(F.count_distinct("source").alias("breadth"))
-    return hashed.join(wide, "norm").select("doc_id", "breadth", (F.col("breadth") >= least).alias("is_common"))
+    wide = stored(hashed.groupBy("norm", "source").agg(F.lit(1).alias("one")).groupBy("norm").agg(F.count("source").alias("breadth")), "breadth")
+    return sized_join(hashed, wide, "norm", "inner").select("doc_id", "breadth", (F.col("breadth") >= least).alias("is_common"))
 
 
 def recall_union(channels: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -88,10 +88,26 @@ def funnel(union: DataFrame, channels: list[str]) -> DataFrame:
     return union.select(rows.alias("x")).groupBy("x.channel").agg(F.count_if("x.first").alias("n_first"), F.count_if("x.found").alias("n_found"))
 
 
-def identity_neighbors(seeds: DataFrame, docs: DataFrame, recalled: DataFrame, most: int = 10_000) -> DataFrame:
-    """Documents in the domains (source, lang) of a query's seeds that no channel recalled: q_id, c_id."""
-    domains = seeds.join(docs.select(F.col("doc_id").alias("c_id"), "source", "lang"), "c_id").select("q_id", "source", "lang").distinct()
-    met = domains.join(docs.select("doc_id", "source", "lang"), ["source", "lang"]).select("q_id", F.col("doc_id").alias("c_id"))
-    fresh = met.filter(F.col("q_id") != F.col("c_id")).join(recalled.select("q_id", "c_id"), ["q_id", "c_id"], "left_anti")
-    n = F.count("*").over(W.partitionBy("q_id"))
-    return fresh.select("q_id", F.when(n > most, F.raise_error(F.lit("too many neighbors"))).otherwise(F.col("c_id")).cast("long").alias("c_id"))
+def identity_neighbors(seeds: DataFrame, docs: DataFrame, recalled: DataFrame, domain: list[str], most: int = 10_000, least: float = 0.62, behaves: float = 0.25) -> DataFrame:
+    """q_id, c_id, identity of the documents in the domains of a query's seeds that are like the query by name, parameters,
+    behavior and control, and that no channel recalled.
+
+    seeds, recalled: q_id, c_id; docs: doc_id, the columns of the domain, name (parts), params, behavior, control. A document
+    of another name must share behaves of its behavior. How many documents a query's domains hold is known from their
+    sizes before any pair is made; more than most is an error, not a shorter list.
+    """
+    sizes = docs.groupBy(*domain).agg(F.count("*").alias("_n"))
+    places = docs.select(F.col("doc_id").alias("c_id"), *domain)
+    domains = stored(seeds.select("q_id", "c_id").join(places, "c_id").select("q_id", *domain).distinct(), "domains")
+    held = domains.join(stored(sizes, "domain_sizes"), domain).groupBy("q_id").agg(F.sum("_n").alias("_n"))
+    worst = held.agg(F.max("_n")).first()[0]
+    if worst is not None and worst > most:
+        raise ValueError(f"the domains of a query hold {worst} documents, more than {most}")
+    parts = ["name", "params", "behavior", "control"]
+    side = lambda p: docs.select(F.col("doc_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in parts), *(domain if p == "c" else []))
+    met = domains.join(side("c"), domain).filter(F.col("q_id") != F.col("c_id")).join(side("q"), "q_id")
+    behavior = X.jaccard(F.col("q_behavior"), F.col("c_behavior"))
+    same = F.col("q_name") == F.col("c_name")
+    score = identity_score(same, X.jaccard(F.col("q_name"), F.col("c_name")), F.col("q_params") - F.col("c_params"), behavior, X.jaccard(F.col("q_control"), F.col("c_control")))
+    fits = met.filter(same | (behavior >= behaves)).select("q_id", "c_id", score.alias("identity")).filter(F.col("identity") >= least)
+    return stored(fits.distinct(), "identity").join(recalled.select("q_id", "c_id").distinct(), ["q_id", "c_id"], "left_anti")

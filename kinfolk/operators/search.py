@@ -31,6 +31,32 @@ def evidence(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return t.select("doc_id", F.col("x.category").alias("category"), n.alias("n"), F.when(n > 0, line).alias("first_line")).filter("n > 0")
 
 
+#: Marks the start of a match inside a text; taken out of texts that have it.
+MARK = "\x01"
+EXCERPT = 280
+
+
+def findings(docs: DataFrame, signals: list[tuple[str, str, float]], by_file: tuple[str, ...] = ()) -> DataFrame:
+    """finding, doc_id, category, line, excerpt, confidence, lines, hits: every place where a signal's pattern matches.
+
+    signals: category, pattern, confidence; patterns may span lines, a match counts where it starts. Of several matches of
+    a category on one line the first signal's counts, once. Categories in by_file give one row a text, with all their lines.
+    The starts of matches are marked in the text before it is cut into lines, so the work grows with the text alone.
+    """
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("category"), F.lit(p).alias("pattern"), F.lit(float(w)).alias("confidence")) for k, (c, p, w) in enumerate(signals))))
+    t = docs.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit("")).alias("text"), rows.alias("x"))
+    marked = F.split(F.regexp_replace("text", F.col("x.pattern"), F.lit(f"{MARK}$0")), r"\r\n|[\n\r]")
+    at = F.filter(F.transform(marked, lambda line, i: F.struct((i + 1).alias("line"), line.alias("text"))), lambda s: F.contains(s["text"], F.lit(MARK)))
+    shown = F.substring(F.btrim(F.regexp_replace(F.replace("h.text", F.lit(MARK), F.lit("")), r"\s+", " ")), 1, EXCERPT)
+    hits = t.select("doc_id", "x", F.explode(at).alias("h")).select("doc_id", "x.category", "h.line", F.struct("x.k", shown.alias("excerpt"), "x.confidence").alias("s"))
+    each = hits.groupBy("doc_id", "category", "line").agg(F.min("s").alias("s"))
+    whole = F.col("category").isin(*by_file) if by_file else F.lit(False)
+    key = F.when(~whole, F.col("line"))
+    out = each.groupBy("doc_id", "category", key.alias("_line")).agg(F.min(F.struct("line", "s")).alias("f"), F.array_sort(F.collect_list("line")).alias("lines"))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("f.line").cast("string"), "category")
+    return out.select(name.alias("finding"), "doc_id", "category", "f.line", "f.s.excerpt", "f.s.confidence", "lines", F.size("lines").alias("hits"))
+
+
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """root, node, depth: the least number of calls from a root, up to depth. One join per level over new nodes only."""
     found = stored(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "reach")

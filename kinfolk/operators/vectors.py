@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfolk.functions.scores import cosine
 from kinfolk.runtime import sized_join, stored
 
 ROWS = 4096
@@ -83,6 +84,15 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, pool: Column | None = None
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def topk_of_pairs(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """q_id, id, score (cosine), rank of the k nearest of each query among its given candidates. pairs: q_id, id; rows: id, v.
+    Candidates and queries without a vector take no part."""
+    v = lambda name, key: rows.filter("v is not null").select(F.col("id").alias(key), F.col("v").alias(name))
+    met = pairs.select("q_id", "id").distinct().join(v("_q", "q_id"), "q_id").join(v("_c", "id"), "id")
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "id"))
+    return met.select("q_id", "id", cosine(F.col("_q"), F.col("_c")).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def similarity_bins(pairs: DataFrame, edges: tuple[float, ...] = (0.9, 0.8, 0.7)) -> DataFrame:
     """Pairs by similarity: a row per bin, named by its lower edge."""
     name = F.lit(None).cast("double")
