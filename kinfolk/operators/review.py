@@ -66,11 +66,17 @@ def finalize_deferred(queue: DataFrame, verdicts: DataFrame) -> DataFrame:
     return ruled.withColumn("outcome", F.when(F.col("state") == "selected", F.col("verdict")).when(confirmed, "supplemental_source").otherwise("dismissed"))
 
 
+#: Rows that a dimension may have which is put into an expression.
+MOST_KEYWORDS = 2000
+
+
 def subsystems(files: DataFrame, keywords: DataFrame, least: int = 2) -> DataFrame:
     """path, subsystem, hits, is_primary: distinct keywords of a subsystem in a file's text, at least least of them.
 
-    keywords: subsystem, keyword (a fixed dimension of a few hundred rows, joined by containment).
+    keywords: subsystem, keyword: a dimension that becomes part of the expression, so more than MOST_KEYWORDS rows are an error.
     """
+    if len(keywords.limit(MOST_KEYWORDS + 1).collect()) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
     sets = keywords.groupBy("subsystem").agg(F.collect_set(F.lower("keyword")).alias("words")).collect()
     low = F.lower(F.coalesce("text", F.lit("")))
     scores = F.array(*(F.struct(F.lit(r.subsystem).alias("subsystem"), sum((F.contains(low, F.lit(w)).cast("int") for w in sorted(r.words)), F.lit(0)).alias("hits")) for r in sorted(sets)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfolk.functions.scores import classifier_score, cluster_priority, priority_level
+from kinfolk.runtime import sized_join, stored
 
 
 def submodule_stats(rows: DataFrame, spine: DataFrame, categories: list[str]) -> DataFrame:
@@ -62,12 +63,12 @@ def clusters(pairs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, rules: DataFrame, path: Column, symbols: Column, calls: Column, fallback: str = "other") -> DataFrame:
     """doc_id and module: the rule set with the highest score, ties to the earlier one; fallback where none scores.
 
-    rules: module, ordinal, keyword (a few hundred rows at most: a fixed dimension). symbols, calls: arrays of words.
+    rules: module, ordinal, keyword; broadcast only behind a check of their size. symbols, calls: arrays of words.
     """
     parts = docs.select("doc_id", path.alias("path"), F.array_distinct(symbols).alias("symbols"), F.array_distinct(calls).alias("calls"))
     where = [parts.select("doc_id", F.lit("path").alias("place"), F.explode(F.array_distinct(F.split(F.lower("path"), "[^a-z0-9]+"))).alias("keyword"))]
     where += [parts.select("doc_id", F.lit(p).alias("place"), F.explode(p).alias("keyword")) for p in ("symbols", "calls")]
-    hits = where[0].union(where[1]).union(where[2]).join(F.broadcast(rules), "keyword")
+    hits = sized_join(where[0].union(where[1]).union(where[2]), stored(rules, "rules"), "keyword", "inner")
     n = hits.groupBy("doc_id", "module", "ordinal").agg(*(F.count_if(F.col("place") == p).alias(p) for p in ("path", "symbols", "calls")))
     scored = n.withColumn("points", classifier_score(F.col("path"), F.col("symbols"), F.col("calls")))
     best = scored.groupBy("doc_id").agg(F.max(F.struct("points", (-F.col("ordinal")).alias("neg"), "module")).alias("b"))

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,17 +61,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinfolk/{label}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+#: The scratch scopes around the caller, outermost first: each thread and task has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what stored() wrote inside, but for the tables that outlive it."""
-    _SCOPES.append([])
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in mine:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -83,7 +87,7 @@ def stored(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    around = _SCOPES[:-1] if outlives else _SCOPES
+    around = _SCOPES.get()[:-1] if outlives else _SCOPES.get()
     if around:
         around[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)

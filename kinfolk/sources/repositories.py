@@ -17,7 +17,7 @@ def source_files(spark: SparkSession, root: str, max_lines: int = 10_000) -> Dat
     languages and files of more than max_lines lines stay out. Invalid bytes become U+FFFD."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     rel = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    rel = F.when(F.startswith(rel, F.lit(root.rstrip("/") + "/")), F.substring(rel, len(root.rstrip("/")) + 2, 100_000)).otherwise(rel)
+    rel = F.when(F.startswith(rel, F.lit(root.rstrip("/") + "/")), F.substring(rel, F.lit(len(root.rstrip("/")) + 2), F.length(rel))).otherwise(rel)
     rows = files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text")).withColumn("lang", language(F.col("path")))
     rows = rows.filter(F.col("lang").isNotNull() & ~is_test_path(F.col("path")) & ~is_excluded(F.col("path")))
     rows = rows.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + F.when(F.endswith("text", F.lit("\n")), 0).otherwise(1))
@@ -32,7 +32,7 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     """
     logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), "value")
     parts = logs.select("log", F.posexplode(F.filter(F.split("value", "(?m)^@@@"), lambda x: F.btrim(x) != "")).alias("seq", "part"))
-    head, rest = F.split(F.substring_index("part", "\n", 1), FIELD), F.filter(F.slice(F.split("part", "\n"), 2, 1_000_000), lambda x: x != "")
+    head, rest = F.split(F.substring_index("part", "\n", 1), FIELD), F.filter(F.slice(F.split("part", "\n"), F.lit(2), F.size(F.split("part", "\n"))), lambda x: x != "")
     number = lambda x, k: F.get(F.split(x, "\t"), F.lit(k)).try_cast("int")
     files = F.transform(rest, lambda x: F.struct(F.get(F.split(x, "\t"), F.lit(2)).alias("path"), number(x, 0).alias("additions"), number(x, 1).alias("deletions")))
     rows = parts.select("log", "seq", head.alias("h"), files.alias("files"))

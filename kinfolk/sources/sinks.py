@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,9 +25,9 @@ def append_new(df: DataFrame, path: str, key: str = "id") -> int:
         known = None
     if known is not None:
         fresh = fresh.join(known, key, "left_anti")
-    before = 0 if known is None else known.count()
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    counted = Observation()
+    fresh.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(counted.get["n"])  # as they were written: the table is not counted
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
