@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfolk.operators import libraries, makefiles
+from kinfolk.operators import code_rows, libraries, makefiles
 from kinfolk.plans.queries import table
 from kinfolk.runtime import stored
 from kinfolk.sources import html_tables
@@ -66,11 +66,51 @@ def library_paths(spark, sf_dir):
     return libraries.library_of(files, registry, None, VENDORS, HOLDERS).select("page_id", "library", "basis")
 
 
-QUERIES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (make_outputs, html_table_rows, library_paths)}
+def code_of(spark, sf_dir) -> DataFrame:
+    """A repository per nation with a C file per supplier: a function whose names and numbers are its own, with as many more
+    statements as the remainder of its key says; a macro and a function too short to count."""
+    k = F.col("s_suppkey")
+    n, m = k.cast("string"), F.pmod(k, F.lit(7)).cast("int")
+    more = F.expr("repeat(concat('  total_', s_suppkey, ' += ', s_suppkey, ';\n'), cast(s_suppkey % 7 as int))")
+    head = F.concat(F.lit("// supplier { of ( "), n, F.lit("\nint f_"), n, F.lit("(int a_"), n, F.lit(", char *b)\n{\n  int total_"), n, F.lit(" = 0;\n"))
+    loop = F.concat(F.lit("  for (int i = 0; i < "), m.cast("string"), F.lit("; i++) {\n    total_"), n, F.lit(" += g_"), m.cast("string"), F.lit("(a_"), n, F.lit(", i); /* } */\n  }\n"))
+    tail = F.concat(F.lit("  if (total_"), n, F.lit(" > 10) {\n    return total_"), n, F.lit(';\n  }\n  log_it("a brace { and '), n, F.lit('");\n  return 0;\n}\n\n#define LIMIT 10\nstatic void tiny(void) { }\n'))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select(k.alias("doc_id"), F.col("n_name").alias("source"), F.concat(F.lit("k/s"), n, F.lit(".c")).alias("path"), F.lit("c").alias("lang"), F.concat(head, loop, more, tail).alias("text"))
+
+
+def described_functions(spark, sf_dir) -> DataFrame:
+    return stored(code_rows.described(code_rows.functions(code_of(spark, sf_dir))), "functions")
+
+
+def code_functions(spark, sf_dir):
+    """Functions of C files with their lines, parameters and what they do."""
+    rows = described_functions(spark, sf_dir)
+    return rows.select("doc_id", "name", "kind", "start_line", "end_line", "params", F.array_join("features", ",").alias("features"), F.array_join("control", ",").alias("control"), F.array_join("strings", ",").alias("strings"))
+
+
+def code_segments(spark, sf_dir):
+    """The segments of these functions: each block of a control statement, other runs of statements, short ones joined."""
+    cut = code_rows.segments(code_rows.functions(code_of(spark, sf_dir)).select("doc_id", "lang", "start_line", "code"))
+    return cut.groupBy("doc_id").agg(F.min("seg_start").alias("first"), F.max("seg_end").alias("last"), F.sum(F.col("seg_end") - F.col("seg_start") + 1).alias("covered"))
+
+
+def code_clones(spark, sf_dir):
+    """For functions whose key is divisible by 50, the first of each other repository that is the same but for names."""
+    return code_rows.normal_matches(described_functions(spark, sf_dir), F.col("doc_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (make_outputs, html_table_rows, library_paths, code_functions, code_segments, code_clones)}
 
 _REGISTRY = ", ".join(f"('{s}', '{n}', {c})" for s, n, c in LIBRARIES)
 
 ORACLE: dict[str, str] = {
+    "code_functions": """select s_suppkey as doc_id, 'f_' || s_suppkey as name, 'function' as kind, 2::int as start_line, (13 + s_suppkey % 7)::int as end_line, 2::int as params,
+  'call:f_' || s_suppkey || case when 'g_' || s_suppkey % 7 < 'log_it' then ',call:g_' || s_suppkey % 7 || ',call:log_it' end || ',cf:for,cf:if,cf:return,ty:char,ty:int' as features, 'for,if,return' as control, 'a brace { and ' || s_suppkey as strings from supplier""",
+    "code_segments": """with f as (select s_suppkey as k, s_suppkey % 7 as m from supplier)
+select k as doc_id, case when m < 3 then 2 else 4 end::int as first, case when m < 3 then 13 + m else 12 + m end::int as last, case when m < 3 then 12 + m else 9 + m end::bigint as covered from f""",
+    "code_clones": """with f as (select s_suppkey as k, n_name as source, s_suppkey % 7 as m from supplier join nation on s_nationkey = n_nationkey)
+select q.k as q_id, c.source, min(c.k) as c_id from f q join f c on q.m = c.m and (q.m = 0 or (q.k <= 10) = (c.k <= 10)) and q.source <> c.source where q.k % 50 = 0 group by 1, 2""",
     "make_outputs": """with s as (select r_name as repo, n_nationkey as n, s_suppkey as k from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 rv as (select repo, min((n, k)) as x from s where k % 5 = 0 group by repo), la as (select repo, min((n, k)) as x from s where k % 5 <> 0 and k % 3 = 0 group by repo)
 select repo, 'kernel-rv' as output, 'target' as via, 's/' || x[2] || '.mk' as path, 2::int as line, 'kernel-rv:' as excerpt from rv
