@@ -6,11 +6,12 @@ page's token stream has a token for the start of each block with its kind, then
 article, one token for the whole text.
 
 The streams of a host are concatenated, their suffixes sorted to full depth, and the longest common prefixes of neighbours
-taken. Suffixes that share MIN_RUN tokens or more are a repeated run, which counts the distinct pages it stands on. Blocks
-outside the article that runs of enough pages cover are boilerplate, whatever they are called; the same way a block inside
-the article goes that stands on half of the host's pages while the rest of their articles differs (an advert or notice
-that no name tells). What no repeat covers is unique to its page: there the open blocks stay, and the blocks that
-structure names as no part of the article go.
+taken. Suffixes that share MIN_RUN tokens or more are a repeated run, which counts the distinct pages it stands on. All
+blocks wait for what the repeats say. Outside the article, runs of enough pages are boilerplate, whatever they are called:
+a block they cover goes, and from one they cover in part they are cut out. A block inside the article goes that stands on
+half of the host's pages while the rest of their articles differs (an advert or notice that no name tells); else the
+article's text is never cut, as articles may well share a passage. Structure judges last, and only what is unique to its
+page: there the open blocks stay, and the blocks that it names as no part of the article go.
 
 Pages whose whole text is equal are one page (a mirror does not erase its own text) and are dealt once. A host may hold a
 third of all pages, so its pages are dealt to shards of bounded size. Each shard has its suffix array and reduces its runs
@@ -222,17 +223,17 @@ def _parse(batches):
         for html in b.column("html").to_pylist():
             blocks = blocks_of(html or "")
             stream = np.array(stream_of(blocks), np.uint64)
-            kept.append([{"at": k, "text": text} for k, (kind, text) in enumerate(blocks) if kind != BOILER])
+            kept.append([{"kind": kind, "text": text} for kind, text in blocks])
             keys.append(xxhash.xxh3_128_hexdigest(stream.tobytes()))
             streams.append(stream.view(np.int64))
-        block = pa.struct([("at", pa.int32()), ("text", pa.string())])
+        block = pa.struct([("kind", pa.int8()), ("text", pa.string())])
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), b.column("host"), pa.array(keys), pa.array(kept, pa.list_(block)), pa.array(streams, pa.list_(pa.int64()))],
             ["page_id", "url", "host", "skey", "blocks", "stream"],
         )
 
 
-_PARSED = "page_id long, url string, host string, skey string, blocks array<struct<at:int,text:string>>, stream array<long>"
+_PARSED = "page_id long, url string, host string, skey string, blocks array<struct<kind:tinyint,text:string>>, stream array<long>"
 
 
 def host_of(url: Column) -> Column:
@@ -338,41 +339,50 @@ def _shard_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table(columns, schema=_RUNS)
 
 
-def judge(stream: np.ndarray, repeated: np.ndarray, notices: np.ndarray) -> tuple[list[int], int, int]:
-    """The blocks that go for their repeats, and how many blocks outside the article repeats and structure take."""
+def judge(stream: np.ndarray, repeated: np.ndarray, notices: np.ndarray) -> tuple[list[int], list[dict], int, int]:
+    """The blocks that go; what stays of open blocks that repeats cover in part, as at and keep (ranges of words); and how
+    many blocks outside the article repeats and then structure took."""
     starts = np.flatnonzero((stream >= 0) & (stream <= BOILER))
     change = np.zeros(len(stream) + 1, np.int64)
     hit = np.flatnonzero(np.isin(runs_from(stream)[: max(0, len(stream) - MIN_RUN + 1)], repeated))
     np.add.at(change, hit, 1)
     np.add.at(change, hit + MIN_RUN, -1)
-    covered = np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
-    drop, by_repeats, by_structure = [], 0, 0
+    inside = np.cumsum(change)[:-1] > 0
+    covered = np.concatenate(([0], np.cumsum(inside)))
+    drop, cut, by_repeats, by_structure = [], [], 0, 0
     for k, (a, b) in enumerate(zip((starts + 1).tolist(), [*starts[1:].tolist(), len(stream)], strict=True)):
-        kind = int(stream[a - 1])
+        kind, shared = int(stream[a - 1]), int(covered[b] - covered[a])
         if kind == ARTICLE:
             if stream[a] in notices:
                 drop.append(k)
-        elif covered[b] - covered[a] >= COVERED * (b - a):
+        elif shared >= COVERED * (b - a):
             by_repeats += 1
             drop.append(k)
         elif kind == BOILER:
             by_structure += 1
-    return drop, by_repeats, by_structure
+            drop.append(k)
+        elif shared:
+            turns = np.flatnonzero(np.diff(np.concatenate(([1], inside[a:b].astype(np.int8), [1]))))
+            cut.append({"at": k, "keep": [{"a": int(x), "b": int(y)} for x, y in zip(turns[::2], turns[1::2], strict=True)]})
+    return drop, cut, by_repeats, by_structure
 
 
-_MARKS = pa.schema([("host", pa.string()), ("skey", pa.string()), ("drop", pa.list_(pa.int32())), ("by_repeats", pa.int32()), ("by_structure", pa.int32())])
+_KEEP = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+_MARKS = pa.schema([("host", pa.string()), ("skey", pa.string()), ("drop", pa.list_(pa.int32())), ("cut", pa.list_(pa.struct([("at", pa.int32()), ("keep", pa.list_(_KEEP))]))), ("by_repeats", pa.int32()), ("by_structure", pa.int32())])
+MARKS = "host string, skey string, drop array<int>, cut array<struct<at:int,keep:array<struct<a:int,b:int>>>>, by_repeats int, by_structure int"
 
 
 def _mark_group(key: tuple[pa.Scalar, ...], pages: pa.Table, runs: pa.Table) -> pa.Table:
     run, article = runs.column("run").to_numpy(), runs.column("article").to_numpy(zero_copy_only=False).astype(bool)
     repeated, notices = np.unique(run[~article]), np.unique(run[article])
-    drops, one, two = zip(*(judge(s, repeated, notices) for s in _streams(pages)), strict=True) if pages.num_rows else ((), (), ())
-    return pa.table([pages.column("host"), pages.column("skey"), pa.array(drops, pa.list_(pa.int32())), pa.array(one, pa.int32()), pa.array(two, pa.int32())], schema=_MARKS)
+    judged = [judge(s, repeated, notices) for s in _streams(pages)]
+    columns = [pa.array([x[k] for x in judged], _MARKS.field(k + 2).type) for k in range(4)]
+    return pa.table([pages.column("host"), pages.column("skey"), *columns], schema=_MARKS)
 
 
 def mark(parsed: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """host, skey, drop (numbers of the blocks that go for their repeats), by_repeats, by_structure (blocks outside the
-    article that each took) of every distinct page with a host."""
+    """host, skey, drop (numbers of the blocks that go), cut (what stays of blocks covered in part), by_repeats, by_structure
+    (blocks outside the article that each took) of every distinct page with a host."""
     distinct = parsed.filter(F.col("host").isNotNull() & (F.size("stream") > 0)).select("host", "skey", "stream")
     distinct = stored(distinct.groupBy("host", "skey").agg(F.first("stream").alias("stream")), "distinct")
     sizes = stored(distinct.groupBy("host").agg(F.count("*").alias("n")), "hosts")
@@ -386,21 +396,32 @@ def mark(parsed: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     often = stored(sized_join(often, sizes, "host", "inner").filter(frame | notice).select("host", "article", "run"), "often")
     repeated = sized_join(runs, often, ["host", "article", "run"], "left_semi").select("host", "shard", "article", "run")
     pages = dealt.select("host", "shard", "skey", "stream").groupBy("host", "shard")
-    ddl = "host string, skey string, drop array<int>, by_repeats int, by_structure int"
-    return pages.cogroup(repeated.groupBy("host", "shard")).applyInArrow(_mark_group, ddl)
+    return pages.cogroup(repeated.groupBy("host", "shard")).applyInArrow(_mark_group, MARKS)
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, skey (of the whole text), blocks (number and text of those that structure keeps), stream."""
+    """page_id, url, host, skey (of the whole text), blocks (kind and text of all), stream."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     return source.mapInArrow(_parse, _PARSED)
 
 
+def kept_text(blocks: Column, drop: Column, cut: Column) -> Column:
+    """The text of a page by its marks; without marks (a page without a host) structure alone judges."""
+    numbered = F.transform(blocks, lambda x, k: F.struct(k.alias("at"), x["kind"].alias("kind"), x["text"].alias("text")))
+    stays = F.filter(numbered, lambda x: F.when(drop.isNull(), x["kind"] != BOILER).otherwise(~F.array_contains(drop, x["at"])))
+
+    def shown(x: Column) -> Column:
+        keep = F.get(F.filter(cut, lambda c: c["at"] == x["at"]), F.lit(0))["keep"]
+        runs = F.transform(keep, lambda r: F.array_join(F.slice(F.split(x["text"], " "), r["a"] + 1, r["b"] - r["a"]), " "))
+        return F.when(keep.isNull(), x["text"]).otherwise(F.array_join(runs, " "))
+
+    return F.array_join(F.transform(stays, shown), "\n")
+
+
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """page_id, url, text (main text, blocks joined by newlines), n_chars of every page."""
     parsed = stored(parse(pages), "parsed")
-    drops = stored(mark(parsed, shard_pages).filter(F.size("drop") > 0).select("host", "skey", "drop"), "drops")
-    rows = sized_join(parsed.drop("stream"), drops, ["host", "skey"], "left")
-    kept = F.filter("blocks", lambda x: F.col("drop").isNull() | ~F.array_contains("drop", x["at"]))
-    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    marks = stored(mark(parsed, shard_pages).select("host", "skey", "drop", "cut"), "marks")
+    rows = sized_join(parsed.drop("stream"), marks, ["host", "skey"], "left")
+    text = kept_text(F.col("blocks"), F.col("drop"), F.col("cut"))
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -73,6 +73,7 @@ def brute_extract(rows):
             else:
                 words = range(at + 1, at + 1 + len(t.split(" ")))
                 keep = kind == OPEN and sum(w in gone for w in words) < 0.9 * len(words)
+                t = " ".join(w for k, w in zip(words, t.split(" ")) if k not in gone)
                 at = words.stop
             if keep:
                 text.append(t)
@@ -112,6 +113,22 @@ def test_repeats_decide_outside_the_article_and_names_inside_do_not(spark):
     assert all(out[200 + k].split("\n")[:4] == near for k in range(15))
 
 
+def test_covered_runs_are_cut_out_of_blocks(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    menu = "Home News Sport Travel Money Weather Shop Contact us now"
+    own = [(say(12), say(9), say(30)) for _ in range(20)]
+    lead = "All of our reports open with this very same sentence"
+    data = [(k, f"http://cut.example/{k}", f"<body><div>{a} {menu} {b}</div><p>{c}</p>") for k, (a, b, c) in enumerate(own)]
+    data += [(100 + k, f"http://lead.example/{k}", f"<nav>{menu}</nav><article><p>{lead} {c}</p></article>") for k, (_, _, c) in enumerate(own)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_suffix_array.extract(pages).collect()}
+    assert all(out[k] == f"{a} {b}\n{c}" for k, (a, b, c) in enumerate(own))
+    assert all(out[100 + k] == f"{lead} {c}" for k, (_, _, c) in enumerate(own))  # an article's text is its own
+    marks = html_suffix_array.mark(html_suffix_array.parse(pages)).filter("host = 'lead.example'").collect()
+    assert len(marks) == 20 and all(r.by_repeats == 1 and r.by_structure == 0 and list(r["drop"]) == [0] for r in marks)  # structure is not asked
+
+
 @pytest.mark.parametrize("shard", [1, 2048])
 def test_host_boilerplate(spark, shard):
     rng = random.Random(1)
