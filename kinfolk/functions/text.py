@@ -146,3 +146,15 @@ def json_object(text: Column) -> Column:
     inside = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"x":', "}"))]
     v = F.try_parse_json(text)
     return F.when(F.schema_of_variant(v).startswith("OBJECT") & inside[0] & inside[1], v)
+
+
+def json_list(text: Column) -> Column:
+    """The texts in a JSON list; an empty list for null, broken or other JSON."""
+    v = F.try_parse_json(text)
+    found = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.from_json(F.to_json(v), "array<string>"))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def json_number(text: Column, path: str, default: float) -> Column:
+    """The number at a path of a JSON text; default where there is none."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), path, "double"), F.lit(default))

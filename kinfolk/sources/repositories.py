@@ -57,6 +57,49 @@ def unique_urls(rows: DataFrame, url: str = "url", order: str = "row") -> DataFr
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+#: What a header says above a column of addresses, and the columns that a table of repositories must have.
+URL_HEADERS = ("fork", "repo", "仓库", "地址", "url")
+REQUIRED_COLUMNS = {"year": "年份", "event": "赛事", "sub_event": "子赛事", "school": "学校", "team_name": "队伍名称", "repo_url": "仓库地址"}
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (the line, from 1) and cells of the lines of comma-separated files, quotes taken off; a quoted cell stays on
+    its line. Every file is one row of text, so the numbers of its lines need no order across tasks."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("k", "line"))
+    cells = F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), 1)
+    bare = F.transform(cells, lambda c: F.when(F.length(c) >= 2, F.when(c.startswith('"') & c.endswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))).otherwise(c))
+    whole = F.transform(F.arrays_zip(cells.alias("c"), bare.alias("b")), lambda x: F.btrim(F.coalesce(x["b"], x["c"])))
+    return lines.filter(F.btrim("line") != "").select("file", (F.col("k") + 1).alias("n"), whole.alias("cells"))
+
+
+def works(rows: DataFrame) -> DataFrame:
+    """file, n, url, team_id of the repositories in tables of works (see csv_rows), each address once, where it stands first.
+
+    The first row is a header if a cell of it speaks of addresses; that cell's column has them, else the first one. What is
+    no http address goes. An address loses slashes at its end and .git; the team is named by its last part.
+    """
+    names = F.transform("cells", lambda c: F.exists(F.array(*map(F.lit, URL_HEADERS)), lambda w: F.contains(F.lower(c), w)))
+    first = rows.groupBy("file").agg(F.min("n").alias("_first"), F.min_by(F.array_position(names, True), "n").alias("_at"))
+    met = rows.join(first, "file").filter((F.col("n") > F.col("_first")) | (F.col("_at") == 0))
+    url = F.btrim(F.get("cells", F.greatest(F.col("_at") - 1, F.lit(0)).cast("int")))
+    found = met.select("file", "n", url.alias("raw")).filter(F.col("raw").rlike("(?i)^https?://"))
+    clean = F.regexp_replace(F.regexp_replace("raw", "/+$", ""), r"(?i)\.git$", "")
+    found = found.select("file", "n", clean.alias("url"))
+    by = found.groupBy("file", F.lower("url").alias("_key")).agg(F.min(F.struct("n", "url")).alias("f"))
+    path = F.rtrim(F.regexp_replace("f.url", r"[?#].*$", ""), F.lit("/"))
+    return by.select("file", "f.n", "f.url", F.url_decode(F.substring_index(path, "/", -1)).alias("team_id"))
+
+
+def required_columns(rows: DataFrame, names: dict[str, str] = REQUIRED_COLUMNS, key: str = "repo_url") -> DataFrame:
+    """The named columns under their short names, cleaned of white space, rows without the key left out; missing columns are
+    an error that names all of them."""
+    missing = [n for n in names.values() if n not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    clean = lambda c: F.btrim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit(" \t\r\n"))
+    return rows.select(*(clean(n).alias(short) for short, n in names.items())).filter(F.col(key) != "")
+
+
 def id_collisions(repos: DataFrame) -> DataFrame:
     """Repository ids (in any case of letters) that stand for more than one address."""
     return repos.groupBy(F.lower("repo_id").alias("repo_id")).agg(F.count_distinct(url_identity(F.col("url"))).alias("n")).filter("n > 1")
