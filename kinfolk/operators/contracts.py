@@ -63,3 +63,29 @@ def range_violations(stages: DataFrame) -> DataFrame:
 
     before = F.lag("start").over(W.partitionBy("grp").orderBy("stage"))
     return stages.withColumn("before", before).filter((F.col("before").isNull() & (F.col("start") != 0)) | (F.col("start") <= F.col("before")))
+
+
+def development_violations(group: str, candidates: DataFrame, reviews: DataFrame, stages: DataFrame, last: DataFrame) -> DataFrame:
+    """group, rule, n: how often the rules of a development report are broken. Every candidate is reviewed, once; those that
+    must be told are kept; stages start at commit 0 and strictly follow each other; a stage's key commit is in its range.
+
+    candidates: group, event_id, must; reviews: group, event_id; stages: group, stage, start, key; last: group, last.
+    """
+    from pyspark.sql import Window as W
+
+    n = candidates.join(reviews.groupBy(group, "event_id").agg(F.count("*").alias("n")), [group, "event_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = W.partitionBy(group).orderBy("stage")
+    ranges = stages.withColumn("before", F.lag("start").over(order)).withColumn("stop", F.lead("start").over(order) - 1).join(last, group).withColumn("stop", F.coalesce("stop", "last"))
+    of = lambda rows, rule: rows.select(group, F.lit(rule).alias("rule"))
+    broken = [
+        of(n.filter("n = 0"), "not_reviewed"),
+        of(n.filter("n > 1"), "reviewed_again"),
+        of(n.filter("must and n = 0"), "must_be_told"),
+        of(ranges.filter("before is null and start <> 0"), "first_stage"),
+        of(ranges.filter("before is not null and start <= before"), "stage_order"),
+        of(ranges.filter("key < start or key > stop"), "key_outside"),
+    ]
+    rows = broken[0]
+    for more in broken[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy(group, "rule").agg(F.count("*").alias("n"))

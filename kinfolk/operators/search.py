@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.text import words
-from kinfolk.runtime import stored
+from kinfolk.runtime import sized_join, stored
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -31,6 +33,43 @@ def evidence(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return t.select("doc_id", F.col("x.category").alias("category"), n.alias("n"), F.when(n > 0, line).alias("first_line")).filter("n > 0")
 
 
+def glob_pattern(glob: str) -> str:
+    """A shell pattern over whole paths as a regular expression: * for any characters, ? for one, [abc] for one of some."""
+    out, k = "", 0
+    while k < len(glob):
+        end = glob.find("]", k + 2) if glob[k] == "[" else -1
+        if end > 0:
+            inner = glob[k + 1 : end].replace("\\", "\\\\")
+            out += f"[{'^' + inner[1:] if inner[0] in '!^' else inner}]"
+            k = end
+        else:
+            out += {"*": ".*", "?": "."}.get(glob[k]) or re.escape(glob[k])
+        k += 1
+    return f"(?s)^{out}$"
+
+
+def search_lines(files: DataFrame, pattern: str, glob: str = "*") -> DataFrame:
+    """doc_id, path, line (from 1), content of the lines that match a regular expression, of files whose path matches a glob."""
+    kept = files.filter(F.col("path").rlike(glob_pattern(glob)) & F.coalesce("text", F.lit("")).rlike(pattern))  # texts without a match are not cut
+    lines = kept.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("k", "content"))
+    return lines.filter(F.col("content").rlike(pattern)).select("doc_id", "path", (F.col("k") + 1).alias("line"), "content")
+
+
+def references(calls: DataFrame, subsystem: Column) -> DataFrame:
+    """symbol, subsystem, n, callers, files: where each called symbol is called from. calls: file, caller, callee."""
+    rows = calls.select(F.col("callee").alias("symbol"), subsystem.alias("subsystem"), "caller", "file")
+    return rows.groupBy("symbol", "subsystem").agg(F.count("*").alias("n"), F.count_distinct("caller").alias("callers"), F.count_distinct("file").alias("files"))
+
+
+def subtree_edges(calls: DataFrame, prefix: str) -> DataFrame:
+    """kind, n, callers, callees of the calls that touch a subtree: internal, outgoing and incoming. A symbol is in the
+    subtree if a file under the prefix defines it, that is, calls from it. calls: file, caller, callee."""
+    inside = F.startswith("file", F.lit(prefix))
+    own = stored(calls.filter(inside).select(F.col("caller").alias("callee")).distinct().withColumn("_own", F.lit(True)), "subtree")
+    met = sized_join(calls, own, "callee", "left").withColumn("kind", F.when(inside & F.col("_own").isNotNull(), "internal").when(inside, "outgoing").when(F.col("_own").isNotNull(), "incoming"))
+    return met.filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("caller").alias("callers"), F.count_distinct("callee").alias("callees"))
+
+
 #: Marks the start of a match inside a text; taken out of texts that have it.
 MARK = "\x01"
 EXCERPT = 280
