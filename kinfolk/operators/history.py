@@ -42,3 +42,14 @@ def stage_totals(commits: DataFrame, ranges: DataFrame, group: str) -> DataFrame
     """Per stage: commits, size, first and last day."""
     met = commits.join(ranges, group).filter((F.col("seq") >= F.col("start")) & (F.col("seq") <= F.col("stop")))
     return met.groupBy(group, "stage", "start", "stop").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
+
+
+def stage_files(commits: DataFrame, ranges: DataFrame, group: str) -> DataFrame:
+    """group, stage, path, additions, deletions, commits, rank: every file of a stage, the most changed first, then by path.
+    Unknown sizes count as none. commits: group, seq, files (path, additions, deletions); ranges: group, stage, start, stop."""
+    met = commits.join(ranges, group).filter((F.col("seq") >= F.col("start")) & (F.col("seq") <= F.col("stop")))
+    rows = met.select(group, "stage", F.explode("files").alias("f"))
+    size = lambda c: F.sum(F.coalesce(f"f.{c}", F.lit(0))).cast("long").alias(c)
+    by = rows.groupBy(group, "stage", F.col("f.path").alias("path")).agg(size("additions"), size("deletions"), F.count("*").alias("commits"))
+    order = W.partitionBy(group, "stage").orderBy(F.desc(F.col("additions") + F.col("deletions")), "path")
+    return by.withColumn("rank", F.row_number().over(order))

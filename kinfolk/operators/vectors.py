@@ -101,6 +101,12 @@ def similarity_bins(pairs: DataFrame, edges: tuple[float, ...] = (0.9, 0.8, 0.7)
     return pairs.withColumn("bin", name).filter("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def top_groups(pairs: DataFrame, group: str, least: float = 0.7, keep: int = 5) -> DataFrame:
+    """group, n, best: the groups with the most pairs of at least that similarity, ties by name."""
+    by = pairs.filter(F.col("score") >= least).groupBy(group).agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"))
+    return by.orderBy(F.desc("n"), group).limit(keep)
+
+
 def mean_pool(windows: DataFrame) -> DataFrame:
     """Mean vector of each id's windows (id, v)."""
     parts = windows.select("id", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
