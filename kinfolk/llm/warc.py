@@ -142,8 +142,12 @@ class _Range(InputPartition):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, name: str | None, records: int):
-        self.name, self.records = name, records
+    def __init__(self, name: str | None, records: int, size: int):
+        self.name, self.records, self.size = name, records, size
+
+
+#: Bytes that a read task takes at least, and how many ranges an archive has at most before they grow.
+RANGE, MOST_RANGES = 16 << 20, 100_000
 
 
 class _Reader(DataSourceReader):
@@ -153,12 +157,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         store, root = fs.FileSystem.from_uri(self.path)
         with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            names = json.load(f)["files"]
-        out = []
-        for name in names:
-            path = f"{root}/{name}"
-            size = store.get_file_info(path).size
-            out += [_Range(path, size, a, min(size, a + self.range_bytes)) for a in range(0, size, self.range_bytes)]
+            files = json.load(f)["files"]  # with their sizes: no call per file
+        step = max(self.range_bytes, -(-sum(size for _, size in files) // MOST_RANGES))
+        out = [_Range(f"{root}/{name}", size, a, min(size, a + step)) for name, size in files for a in range(0, size, step)]
         return out or [_Range("", 0, 0, 0)]
 
     def read(self, part: _Range):
@@ -188,25 +189,39 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, root = fs.FileSystem.from_uri(self.path)
         name, n, file = f"part-{uuid.uuid4().hex}.warc.gz", 0, None
-        for batch in iterator:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for row in zip(*columns, strict=True):
-                if file is None:
-                    store.create_dir(root, recursive=True)
-                    file = store.open_output_stream(f"{root}/{name}", compression=None)
-                file.write(member(*row))
-                n += 1
+        try:
+            for batch in iterator:
+                columns = [batch.column(k).to_pylist() for k in range(4)]
+                for row in zip(*columns, strict=True):
+                    if file is None:
+                        store.create_dir(root, recursive=True)
+                        file = store.open_output_stream(f"{root}/{name}", compression=None)
+                    file.write(member(*row))
+                    n += 1
+        except BaseException:  # a failed task takes its part with it; parts that no manifest names are never read
+            if file is not None:
+                file.close()
+                store.delete_file(f"{root}/{name}")
+            raise
         if file is None:
-            return _Written(None, 0)
+            return _Written(None, 0, 0)
+        size = file.tell()
         file.close()
-        return _Written(name, n)
+        return _Written(name, n, size)
 
     def commit(self, messages: list[_Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
         done = [m for m in messages if m is not None and m.name]
         with store.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps({"files": sorted(m.name for m in done), "records": sum(m.records for m in done)}).encode())
+            f.write(json.dumps({"files": sorted((m.name, m.size) for m in done), "records": sum(m.records for m in done)}).encode())
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        """Delete the parts of the tasks that had finished when the job failed."""
+        store, root = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None and m.name:
+                store.delete_file(f"{root}/{m.name}")
 
 
 class WarcDataSource(DataSource):
@@ -220,7 +235,7 @@ class WarcDataSource(DataSource):
         return OUTPUT
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], int(self.options.get("rangebytes", self.options.get("rangeBytes", 16 << 20))))
+        return _Reader(self.options["path"], int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE))))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"])
@@ -240,19 +255,20 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 1000) -> None:
     spark.dataSource.register(WarcDataSource)
     groups = stored(revisits(pages, min_revisit), "revisits")
     html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select("page_id", "url", "html", F.when(F.octet_length(html) >= min_revisit, F.sha1(html.cast("binary"))).alias("digest"))
+    large = F.when(F.octet_length(html) >= min_revisit, F.sha1(html.cast("binary")))
+    keyed = pages.select("page_id", "url", "html", F.coalesce(large, F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))).alias("digest"))  # small rows meet nothing, each on a key of its own
     rows = sized_join(keyed, groups, "digest", "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")), None).otherwise(F.col("refers_to"))
     rows.select(F.col("page_id").cast("long"), "url", "html", refers.cast("long").alias("refers_to")).write.format("warc").mode("append").option("path", path).save()
 
 
-def read_archive(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """The records under path; see OUTPUT."""
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("path", path).option("rangeBytes", str(range_bytes)).load()
 
 
-def round_trip(pages: DataFrame, min_revisit: int = 1000, range_bytes: int = 16 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, min_revisit: int = 1000, range_bytes: int = RANGE) -> DataFrame:
     """Write the pages as archives in the shared folder and read them back."""
     path = shared_path(pages.sparkSession, "warc")
     write_archive(pages, path, min_revisit)

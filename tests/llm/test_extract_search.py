@@ -262,3 +262,13 @@ def test_host_of(spark):
     urls = ["http://User@Ex.com:80/a", "https://b.org?x", "ftp://c", "nothing", None, "http:///x"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(html_suffix_array.host_of(F.col("u"))).collect()] == ["ex.com", "b.org", "c", None, None, None]
+
+
+def test_a_failed_archive_leaves_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    pages = spark.range(40).selectExpr("id as page_id", "concat('http://h/', id) as url", "case when id = 39 then cast(raise_error('broken') as string) else repeat('x', 2000) end as html")
+    with pytest.raises(Exception, match="broken"):
+        warc.write_archive(pages.repartition(4), path)
+    assert not list((tmp_path / "archive").glob("*")) if (tmp_path / "archive").exists() else True
+    warc.write_archive(pages.filter("page_id < 39").repartition(4), path)
+    assert warc.read_archive(spark, path, range_bytes=500).count() == 39
