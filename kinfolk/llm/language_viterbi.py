@@ -100,8 +100,12 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Languages that a model may have: its table, languages times BUCKETS counts, comes to the driver and goes to every task.
+MOST_LANGUAGES = 256
+
+
 def learn(rows: DataFrame) -> dict:
-    """The model from rows of lang and text."""
+    """The model from rows of lang and text; more than MOST_LANGUAGES languages are an error."""
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}
@@ -122,10 +126,14 @@ def learn(rows: DataFrame) -> dict:
                 at = np.flatnonzero(values)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([part] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(values[at], pa.int64())], ["lang", "part", "bucket", "n"])
 
+    some = [r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(some) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the column lang holds something else")
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, part string, bucket int, n long")
     found = counts.groupBy("lang", "part", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
-    number = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
+    places = {x: k for k, x in enumerate(langs)}
+    number = np.array([places[x] for x in found.column("lang").to_pylist()], np.int64)
     part = np.array([x == "gram" for x in found.column("part").to_pylist()], bool)
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
     grams = np.zeros((len(langs), BUCKETS))

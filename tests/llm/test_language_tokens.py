@@ -146,3 +146,58 @@ def test_pipeline(spark, tmp_path):
     assert len(out) == docs.count() and {r.doc_id for r in out} == set(mixed)
     lat = sp.Lattice(sp.vocabulary(sp.vocabulary_path()))
     assert all(lat.decode(np.array(r.ids)) == mixed[r.doc_id].text for r in out)
+
+
+CLASH = ["_pred", "_score", "_rk", "_tkey", "_left", "_copy", "_mix", "_carried", "rk", "cls", "size", "n_removed", "held_out", "stays", "a.b"]
+
+
+def test_pipeline_carries_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(EN) for _ in range(n))
+    texts = [prose(60) for _ in range(12)]
+    texts += [texts[0], texts[0], None, ""]
+    rows = [(k if k != 5 else None, t, "en", None if k == 3 else "s", len(t or ""), *(f"{c}{k}" for c in CLASH)) for k, t in enumerate(texts)] + [(7, texts[7], "en", "s", 0, *(f"{c}7" for c in CLASH))]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    docs = spark.createDataFrame(rows, ddl)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        for r in docs.collect():
+            assert r["_pred"][5:] == ("7" if r.doc_id == 7 else r["_mix"][4:]) and all(r[c][len(c) :] == r["_pred"][5:] for c in CLASH)
+    assert {r.doc_id for r in docs.collect()} <= {*range(12), None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, rows in enumerate(([], [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "123 !", None, None, 5)])):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / str(k))).count() == 0
+
+
+def test_the_model_counts_trigrams(spark):
+    """Learning against counting with dictionaries: equal scores for every word, up to a shared bucket."""
+    rows = [("en", "the then There"), ("en", "a b!"), ("fr", "été the"), ("fr", None)]
+    model = lid.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert model["langs"] == ["en", "fr"]
+    grams = {}
+    for lang, text in rows:
+        points, _ = lid._points([text or ""])
+        tri, _ = lid._trigrams(points)
+        for b in tri[tri < lid.BUCKETS].tolist():
+            grams[lang, b] = grams.get((lang, b), 0) + 1
+    totals = {x: sum(n for (lang, _), n in grams.items() if lang == x) for x in ("en", "fr")}
+    for k, lang in enumerate(model["langs"]):
+        for b in {b for _, b in grams}:
+            want = np.log((grams.get((lang, b), 0) + 0.1) / (totals[lang] + 0.1 * lid.BUCKETS))
+            assert abs(model["logp"][k, b] - want) < 1e-4
+        assert abs(model["prior"][k] - np.log((totals[lang] + 1) / (sum(totals.values()) + 2))) < 1e-9
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        lid.learn(spark.createDataFrame([(f"l{k}", "text") for k in range(4)], "lang string, text string"))
