@@ -117,6 +117,7 @@ def similarity_bins(spark, sf_dir):
 
 
 def channels(spark, sf_dir) -> DataFrame:
+    """Three channels; the vector of a number is taken for the document of that number (see evidence_queries.six_channels)."""
     docs = table(spark, sf_dir, "documents")
     rows = vector_rows(spark, sf_dir)
     near = vectors.topk(rows.filter(asked("id")), rows, 5).select("q_id", F.col("id").alias("c_id"), F.round("score", 5).alias("score"))
