@@ -56,7 +56,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @carrying
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows like a smaller row: five-word shingles, Jaccard similarity 0.8 or more. (operator 3's covering)"""
+    """Drop the rows like a smaller row: SimHash of five-word shingles in covering tables, then an exact Jaccard similarity of
+    0.8 or more. (operator 3, with a fingerprint and tables for that similarity)"""
     return near_copies.without_near_copies(docs)
 
 
