@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfolk.functions.text import jaccard, name_tokens
+from kinfolk.functions.text import name_tokens
+from kinfolk.operators.matching import list_rows
 from kinfolk.runtime import sized_join, stored
 
 
@@ -106,21 +109,76 @@ def layout_paths(files: DataFrame, layout: DataFrame) -> DataFrame:
     return sized_join(rows, stored(layout, "layout"), ["root", "container", "child"], "left_semi").select("path").distinct()
 
 
+#: Queries or functions of one language that a task compares at once, and cells of their matrix that it works on at once.
+NAMES_BLOCK, CELLS = 4096, 1 << 20
+
+
+def best_names(q: pa.Table, c: pa.Table, least: float, keep: int) -> pa.Table:
+    """q_id, c_id, source, place, same, near, size: of functions of one source, each query's best keep of those whose name
+    shares parts with the query's from least on (see targeted_recall)."""
+    (q_flat, q_n), (c_flat, c_n) = ((np.concatenate([*x, np.zeros(0, np.int64)]), np.array([len(p) for p in x], np.int64)) for x in (list_rows(t.column("parts").combine_chunks()) for t in (q, c)))
+    column = lambda t, k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+    q_name, c_name, c_id = column(q, "name"), column(c, "name"), column(c, "id")
+    q_lines, c_lines = (column(t, "n_lines").astype(np.float64) for t in (q, c))
+    order = np.argsort(q_flat, kind="stable")
+    keys, owner = q_flat[order], np.repeat(np.arange(len(q_n)), q_n)[order]  # parts of the queries and whose they are
+    first, count = np.searchsorted(keys, c_flat, side="left"), np.searchsorted(keys, c_flat, side="right")
+    count = count - first
+    ends = np.cumsum(c_n)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def best() -> tuple[np.ndarray, ...]:
+        i, j, same, near, size = (np.concatenate([f[k] for f in found]) for k in range(5))
+        by = np.lexsort((c_id[j], -np.nan_to_num(size, nan=-1.0), -near, ~same, i))  # a size that is not known goes last
+        at = np.arange(len(by)) - np.searchsorted(i[by], i[by], side="left")
+        return tuple(x[by[at < keep]] for x in (i, j, same, near, size))
+
+    work = np.cumsum(np.maximum(len(q_n), np.add.reduceat(np.append(count, 0), ends - c_n)))  # of every function: cells, or parts met
+    lo, done = 0, 0
+    while lo < len(c_n):
+        hi = max(lo + 1, int(np.searchsorted(work, done + CELLS, side="right")))
+        here = slice(ends[lo] - c_n[lo], ends[hi - 1])
+        n = count[here]
+        at = np.repeat(first[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row = np.repeat(np.repeat(np.arange(hi - lo), c_n[lo:hi]), n)
+        shared = np.bincount(row * len(q_n) + owner[at], minlength=(hi - lo) * len(q_n)).reshape(hi - lo, len(q_n))
+        near = shared / np.maximum(c_n[lo:hi, None] + q_n[None, :] - shared, 1)
+        j, i = np.nonzero((shared > 0) & (near >= least))
+        if len(i):
+            near, j = near[j, i], j + lo
+            found.append((i, j, q_name[i] == c_name[j], near, np.minimum(q_lines[i], c_lines[j]) / np.maximum(q_lines[i], c_lines[j])))
+        if sum(len(f[0]) for f in found) > CELLS:
+            found = [best()]
+        lo, done = hi, int(work[hi - 1])
+    i, j, same, near, size = best() if found else (np.zeros(0, np.int64),) * 5
+    known = [pa.array(same.astype(bool)), pa.array(near.astype(np.float64)), pa.array(size.astype(np.float64), from_pandas=True)]
+    return pa.table([q.column("id").take(pa.array(i)), *(c.column(k).take(pa.array(j)) for k in ("id", "source", "place")), *known], ["q_id", "c_id", "source", "place", "same", "near", "size"])
+
+
 def targeted_recall(queries: DataFrame, functions: DataFrame, chosen: DataFrame, least: float = 0.25, keep: int = 80) -> DataFrame:
-    """q_id, c_id, rank: in the sources chosen for a query's module, functions of its language that share its name, or parts
-    of it from least on; the best keep of each source.
+    """q_id, c_id, source, place, rank: in the sources chosen for a query's module, functions of its language that share
+    parts of its name from least on (as equal names do); the best keep of each source: equal names, then the most shared
+    parts, the most alike numbers of lines, the smallest c_id.
 
     queries: q_id, name, lang, module, n_lines; functions: c_id, source, name, lang, module, n_lines; chosen: module, source,
-    place. Sides meet on name parts, so a function is compared with the queries it shares one with.
+    place. The queries of a module and language and the functions of a source there meet in blocks of bounded size, of which
+    only each query's best go on: names are compared with all others in a task, but no pair of them is shuffled.
     """
-    q = queries.select("q_id", "module", "lang", F.col("name").alias("q_name"), F.col("n_lines").alias("q_lines"), name_tokens(F.col("name")).alias("q_parts"))
-    c = functions.select("c_id", "source", "module", "lang", F.col("name").alias("c_name"), F.col("n_lines").alias("c_lines"), name_tokens(F.col("name")).alias("c_parts"))
-    c = sized_join(c, stored(chosen.select("module", "source", "place"), "chosen"), ["module", "source"], "inner")
-    met = q.withColumn("part", F.explode("q_parts")).join(c.withColumn("part", F.explode("c_parts")), ["part", "module", "lang"]).drop("part").dropDuplicates(["q_id", "c_id"])
-    near = jaccard(F.col("q_parts"), F.col("c_parts"))
-    exact = F.col("q_name") == F.col("c_name")
-    order = W.partitionBy("q_id", "source").orderBy(F.when(exact, 0).otherwise(1), F.desc(near), F.desc(F.least("q_lines", "c_lines") / F.greatest("q_lines", "c_lines")), "c_id")
-    return met.filter(exact | (near >= least)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("q_id", "c_id", "source", "place", "rank")
+    parts = lambda rows, key, *more: rows.select(F.col(key).cast("long").alias("id"), "module", "lang", *more, F.xxhash64("name").alias("name"), "n_lines", F.explode(F.array(F.transform(name_tokens(F.col("name")), lambda x: F.xxhash64(x)))).alias("parts")).filter(F.size("parts") > 0)
+    q = stored(parts(queries, "q_id").filter("module is not null and lang is not null"), "asked_names")
+    picked = stored(chosen.select("module", "source", F.col("place").cast("int").alias("place")).dropDuplicates(["module", "source"]), "chosen")
+    c = stored(sized_join(parts(functions, "c_id", "source").filter("lang is not null"), picked, ["module", "source"], "inner"), "names")
+    blocks = lambda rows, n, *by: rows.groupBy(*by).agg(F.ceil(F.count("*") / NAMES_BLOCK).cast("int").alias(n))
+    sizes = stored(blocks(c, "c_blocks", "module", "lang", "source").join(blocks(q, "q_blocks", "module", "lang"), ["module", "lang"]), "blocks")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["module", "lang", "source", "q_block", "c_block"]
+    left = sized_join(q, sizes, ["module", "lang"], "inner").withColumn("q_block", own("q_blocks")).withColumn("c_block", every("c_blocks"))
+    right = sized_join(c, sizes, ["module", "lang", "source"], "inner").withColumn("c_block", own("c_blocks")).withColumn("q_block", every("q_blocks"))
+    fields = "q_id long, c_id long, source string, place int, same boolean, near double, size double"
+    met = left.select(*key, "id", "name", "n_lines", "parts").groupBy(*key).cogroup(right.select(*key, "id", "name", "n_lines", "parts", "place").groupBy(*key)).applyInArrow(lambda a, b: best_names(a, b, least, keep), fields)
+    order = W.partitionBy("q_id", "source").orderBy(F.desc("same"), F.desc("near"), F.desc("size"), "c_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep).select("q_id", "c_id", "source", "place", "rank")
 
 
 #: The line forms of a test log, and terminal control sequences.

@@ -1,5 +1,8 @@
 """Citations, verdict rules, catalogs, provenance by path and test logs."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +171,33 @@ def test_targeted_recall(spark):
     chosen = spark.createDataFrame([("mm", "s1", 0), ("mm", "s2", 1)], "module string, source string, place int")
     assert pairs(catalog.targeted_recall(q, c, chosen), "c_id", "rank") == [(10, 1), (11, 2), (13, 1)]
     assert pairs(catalog.targeted_recall(q, c, chosen, keep=1), "c_id") == [(10,), (13,)]
+
+
+def test_targeted_recall_over_blocks(spark, monkeypatch):
+    """Names in many blocks give what all pairs give, and no pair of names is shuffled: only each query's best of a block."""
+    rng = random.Random(5)
+    some = [f"w{k}" for k in range(30)]
+    named = lambda: "_".join(rng.sample(some, rng.randint(1, 4))) if rng.random() < 0.9 else rng.choice(["", "__", None])
+    rows = [(k, f"s{rng.randint(0, 3)}", named(), rng.choice(["c", "rust"]), "mm", rng.choice([None, 1, 2, 3, 7])) for k in range(400)]
+    c = spark.createDataFrame(rows, "c_id long, source string, name string, lang string, module string, n_lines int")
+    q = c.filter("c_id % 7 = 0").select(F.col("c_id").alias("q_id"), "name", "lang", "module", "n_lines")
+    chosen = spark.createDataFrame([("mm", "s1", 0), ("mm", "s2", 1), ("aa", "s3", 2)], "module string, source string, place int")
+    parts = lambda n: set((n or "").split("_")) - {""}
+    want = []
+    for i, _, name, lang, _, n in (r for r in rows if r[0] % 7 == 0):
+        for source, place in (("s1", 0), ("s2", 1)):
+            met = []
+            for j, s, other, its, _, m in rows:
+                if s == source and its == lang and parts(name) & parts(other):
+                    near = len(parts(name) & parts(other)) / len(parts(name) | parts(other))
+                    if near >= 0.25:
+                        met.append((name != other, -near, -(min(n, m) / max(n, m)) if n and m else 1, j))
+            want += [(i, x[-1], source, place, k + 1) for k, x in enumerate(sorted(met)[:9])]
+    for block in (4096, 16):
+        monkeypatch.setattr(catalog, "NAMES_BLOCK", block)
+        got = catalog.targeted_recall(q, c, chosen, keep=9)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    few = [pa.table([pa.array(range(9), pa.int64()), pa.array([1] * 9, pa.int64()), pa.array([1] * 9, pa.int32()), pa.array([[1, 2]] * 9, pa.list_(pa.int64()))], ["id", "name", "n_lines", "parts"]) for _ in range(2)]
+    few[1] = few[1].append_column("source", pa.array(["s1"] * 9)).append_column("place", pa.array([0] * 9, pa.int32()))
+    monkeypatch.setattr(catalog, "CELLS", 8)
+    assert catalog.best_names(*few, 0.25, 2).select(["q_id", "c_id"]).to_pylist() == [{"q_id": i, "c_id": j} for i in range(9) for j in range(2)]
