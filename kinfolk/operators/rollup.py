@@ -27,7 +27,9 @@ def source_metrics(pairs: DataFrame) -> DataFrame:
 
     pairs: q_id, c_source, module, hits, line_sim.
     """
-    best = pairs.groupBy("q_id", "c_source").agg(F.max(F.struct("line_sim", "hits", "module")).alias("b"))
+    # equal numbers become one before the maximum of a struct, which Spark finds by sorting
+    kinds = pairs.groupBy("q_id", "c_source", "module", "line_sim").agg(F.max("hits").alias("hits"))
+    best = stored(kinds.groupBy("q_id", "c_source").agg(F.max(F.struct("line_sim", "hits", "module")).alias("b")), "best_of_sources")
     shared = best.groupBy("q_id").agg((F.count("*") > 1).alias("shared"))
     rows = best.join(shared, "q_id")
     return rows.groupBy("c_source").agg(F.count("*").alias("functions"), F.sum("b.hits").alias("lines"), F.count_distinct("b.module").alias("modules"), F.count_if("shared").alias("shared_functions"))
