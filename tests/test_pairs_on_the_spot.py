@@ -63,3 +63,8 @@ def test_links_in_blocks(spark, folder, monkeypatch):
 def test_source_metrics_reduce_pairs_first(spark, folder, kept):
     assert queries.source_metrics_rank(spark, folder).count() == 3
     assert reduced_first(kept["best_of_sources"])
+
+
+def test_closest_source_reduces_pairs_first(spark, folder, kept):
+    assert queries.closest_source(spark, folder).count() == 1
+    assert reduced_first(kept["best_of_sources"])
