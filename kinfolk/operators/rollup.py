@@ -45,7 +45,9 @@ def exclusion_totals(rows: DataFrame, reasons: list[str], included: DataFrame) -
     """reason and functions: each excluded function counts once, for its first reason in order; functions with any included
     pair do not count. rows: q_id, reason."""
     order = F.create_map(*(F.lit(x) for pair in ((r, k) for k, r in enumerate(reasons)) for x in pair))
-    first = rows.join(included.select("q_id").distinct(), "q_id", "left_anti").groupBy("q_id").agg(F.min_by("reason", order[F.col("reason")]).alias("reason"))
+    # a row per function on both sides before they meet
+    first = stored(rows.groupBy("q_id").agg(F.min(order[F.col("reason")]).alias("k")), "first_reasons").join(stored(included.select("q_id").distinct(), "included"), "q_id", "left_anti")
+    first = first.select(F.get(F.array(*map(F.lit, reasons)), F.col("k")).alias("reason"))
     return first.groupBy("reason").agg(F.count("*").alias("functions"))
 
 

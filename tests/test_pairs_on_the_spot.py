@@ -68,3 +68,8 @@ def test_source_metrics_reduce_pairs_first(spark, folder, kept):
 def test_closest_source_reduces_pairs_first(spark, folder, kept):
     assert queries.closest_source(spark, folder).count() == 1
     assert reduced_first(kept["best_of_sources"])
+
+
+def test_exclusions_reduce_pairs_first(spark, folder, kept):
+    queries.exclusive_exclusions(spark, folder).collect()
+    assert reduced_first(kept["kinds"]) and [k for k in kept if k in ("first_reasons", "included")] == ["first_reasons", "included"]
