@@ -73,3 +73,7 @@ def test_closest_source_reduces_pairs_first(spark, folder, kept):
 def test_exclusions_reduce_pairs_first(spark, folder, kept):
     queries.exclusive_exclusions(spark, folder).collect()
     assert reduced_first(kept["kinds"]) and [k for k in kept if k in ("first_reasons", "included")] == ["first_reasons", "included"]
+
+
+def test_segment_selection_shuffles_no_pairs(spark, folder, kept):
+    assert not pairs_are_shuffled(queries.segment_selection(spark, folder)) and reduced_first(kept["content_ranks"])
