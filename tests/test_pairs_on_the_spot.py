@@ -77,3 +77,7 @@ def test_exclusions_reduce_pairs_first(spark, folder, kept):
 
 def test_segment_selection_shuffles_no_pairs(spark, folder, kept):
     assert not pairs_are_shuffled(queries.segment_selection(spark, folder)) and reduced_first(kept["content_ranks"])
+
+
+def test_dominated_suppression_shuffles_no_pairs(spark, folder, kept):
+    assert not pairs_are_shuffled(queries.dominated_suppression(spark, folder)) and reduced_first(kept["best"])
