@@ -81,3 +81,8 @@ def test_segment_selection_shuffles_no_pairs(spark, folder, kept):
 
 def test_dominated_suppression_shuffles_no_pairs(spark, folder, kept):
     assert not pairs_are_shuffled(queries.dominated_suppression(spark, folder)) and reduced_first(kept["best"])
+
+
+def test_baseline_propagation_shuffles_no_pairs(spark, folder, kept):
+    out = queries.baseline_propagation(spark, folder)
+    assert not pairs_are_shuffled(out) and reduced_first(kept["baseline_flags"]) and out.filter("baseline").count() == out.count()
