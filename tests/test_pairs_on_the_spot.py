@@ -86,3 +86,7 @@ def test_dominated_suppression_shuffles_no_pairs(spark, folder, kept):
 def test_baseline_propagation_shuffles_no_pairs(spark, folder, kept):
     out = queries.baseline_propagation(spark, folder)
     assert not pairs_are_shuffled(out) and reduced_first(kept["baseline_flags"]) and out.filter("baseline").count() == out.count()
+
+
+def test_known_contents_shuffle_no_pairs(spark, folder):
+    assert not pairs_are_shuffled(verdict_queries.known_contents(spark, folder))
