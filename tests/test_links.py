@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from kinfolk.functions import text as X
 from kinfolk.operators import align, lines
 
 
@@ -82,3 +85,38 @@ def test_renamed_copies_are_found_and_aligned(spark):
     assert (e, r, s) == (2, 3, 1.0) and [x["kind"] for x in spans] == ["exact", "renamed"]
     moved = spark.createDataFrame([(spans,)], f"s {align.SPANS}").select(align.remapped(F.col("s"), F.lit(10), F.lit(20)).alias("m")).first().m
     assert (moved[0].a_start, moved[0].a_end, moved[0].b_start) == (10, 11, 20)
+
+
+def test_masked_lines_are_those_of_the_columns(spark):
+    odd = ["x = 'a b' + \"c\" + 'open", "  été\tnaïve_1 0x1F 3.14.a  _a ' \" ", "\x1c é", "a\u00a0b 12", "if (a) return b; for c", "'' \"\" '\"' \"'\"", "日本 x1 😀 9z", "\x0b\x0c tab\x0bfeed"]
+    docs = spark.createDataFrame([(k, x, "s", "en") for k, x in enumerate([*odd, "\n".join(odd), "short", None])], "doc_id long, text string, source string, lang string")
+    for keep in ((), ("if", "for", "_a")):
+        lines_ = X.line_array(F.col("text"))
+        want = docs.select("doc_id", lines_.alias("l"), F.transform(lines_, lambda x: X.mask_line(x, keep)).alias("m")).collect()
+        assert all([align.masked_line(a, frozenset(keep)) for a in r.l] == r.m for r in want)
+        got = {r.doc_id: r for r in align.masked_lines(docs, keep).collect()}
+        assert set(got) == {r.doc_id for r in want if any(len(a) >= 8 for a in r.l)}
+        numbers = {r.doc_id: ([align._number(a) for a in r.l], [align._number(a) for a in r.m], {align._number(b) for a, b in zip(r.l, r.m) if len(a) >= 8}) for r in want}
+        assert all((r.seq, r.masked, set(r.hs)) == numbers[k] for k, r in got.items())
+
+
+def test_patterns_of_lines_are_aligned_once(spark, monkeypatch):
+    rng = random.Random(7)
+    one = lambda: [rng.randint(0, 5) for _ in range(rng.randint(0, 7))]
+    rows = [(one(), one()) for _ in range(3000)] + [([1] * 40, [1] * 40)]
+    sides = [pa.array(x, pa.list_(pa.int64())) for x in ([a for a, _ in rows], [b for _, b in rows], [[v // 2 for v in a] for a, _ in rows], [[v // 2 for v in b] for _, b in rows])]
+    want = [align.aligned(*(np.array(x, np.int64) for x in (a, b, [v // 2 for v in a], [v // 2 for v in b])))[:3] for a, b in rows]
+    calls, plain = [], align.aligned
+    monkeypatch.setattr(align, "aligned", lambda *x: calls.append(1) or plain(*x))
+    assert list(zip(*(x.tolist() for x in align.aligned_counts(sides, {})))) == want and len(calls) < len(rows)
+    same = [pa.array([[k, -1] for k in range(2000)], pa.list_(pa.int64())), pa.array([[-2 - k, -1] for k in range(2000)], pa.list_(pa.int64()))] * 2
+    calls.clear()
+    exact, renamed, share = align.aligned_counts(same, {})
+    assert len(calls) == 1 and set(exact) == {1} and set(share) == {0.5}
+
+
+def test_aligned_pairs_are_not_shuffled(spark):
+    docs, _ = docs_of(spark)
+    text = align.verified_pairs(docs, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("q_block")]
+    assert "MapInArrow" in above and "Exchange" not in above
