@@ -90,3 +90,9 @@ def test_baseline_propagation_shuffles_no_pairs(spark, folder, kept):
 
 def test_known_contents_shuffle_no_pairs(spark, folder):
     assert not pairs_are_shuffled(verdict_queries.known_contents(spark, folder))
+
+
+def test_review_admission_shuffles_no_pairs(spark, folder, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(verdict_queries, "stored", lambda df, label: (kept.setdefault(label, df), lines.stored(df, label))[1])
+    assert not pairs_are_shuffled(verdict_queries.review_admission(spark, folder)) and reduced_first(kept["states"])
