@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinfolk.operators import lines, rollup
-from kinfolk.plans import queries, verdict_queries
+from kinfolk.operators import lines, rollup, segment_verification
+from kinfolk.plans import evidence_queries, queries, verdict_queries
 
 
 def plan(df):
@@ -96,3 +96,19 @@ def test_review_admission_shuffles_no_pairs(spark, folder, monkeypatch):
     kept = {}
     monkeypatch.setattr(verdict_queries, "stored", lambda df, label: (kept.setdefault(label, df), lines.stored(df, label))[1])
     assert not pairs_are_shuffled(verdict_queries.review_admission(spark, folder)) and reduced_first(kept["states"])
+
+
+def general(spark, folder):
+    """The same pairs through the operator for any pairs."""
+    none = F.lit(None).cast("double")
+    pairs = queries.pairs_of(spark, folder).select("q_id", "c_id", "tier", (F.col("line_sim") == 1).alias("fingerprint"), "line_sim", F.col("hits").alias("matched"), none.alias("identity"), none.alias("vector_sim"))
+    sources = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit("text").alias("lang"), F.col("text").alias("code"))
+    return segment_verification.verify_segments(pairs, sources)
+
+
+def test_segment_verification_shuffles_no_pairs(spark, folder):
+    out = evidence_queries.segment_verification_rows(spark, folder)
+    assert not pairs_are_shuffled(out)
+    columns = ["q_id", "c_id", "state", "seg_hits", "q_total", "c_total", "tier_before", "tier", F.round("score", 4).alias("score")]
+    got, want = (sorted(map(str, df.select(*columns).collect())) for df in (out, general(spark, folder)))
+    assert got == want and len(got) > 3000
