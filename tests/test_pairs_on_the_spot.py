@@ -112,3 +112,9 @@ def test_segment_verification_shuffles_no_pairs(spark, folder):
     columns = ["q_id", "c_id", "state", "seg_hits", "q_total", "c_total", "tier_before", "tier", F.round("score", 4).alias("score")]
     got, want = (sorted(map(str, df.select(*columns).collect())) for df in (out, general(spark, folder)))
     assert got == want and len(got) > 3000
+
+
+def test_segment_totals_shuffle_no_pairs(spark, folder):
+    out = evidence_queries.segment_totals(spark, folder)
+    want = segment_verification.summary(general(spark, folder)).select("eligible", "verified", "deferred")
+    assert reduced_first(out) and out.collect() == want.collect()
