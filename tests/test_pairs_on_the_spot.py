@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinfolk.operators import lines, rollup, segment_verification
+from kinfolk.operators import baseline, lines, rollup, segment_verification
 from kinfolk.plans import evidence_queries, queries, verdict_queries
 
 
@@ -118,3 +118,30 @@ def test_segment_totals_shuffle_no_pairs(spark, folder):
     out = evidence_queries.segment_totals(spark, folder)
     want = segment_verification.summary(general(spark, folder)).select("eligible", "verified", "deferred")
     assert reduced_first(out) and out.collect() == want.collect()
+
+
+def with_baselines(spark, folder):
+    """The folder's documents and texts of twelve words that a baseline has whole, linked or not."""
+    long = " ".join(f"word{k}" for k in range(14))
+    rows = [(100, f"a line that all have\n{long}", "src1"), (101, f"a line that all have\n{long}", "src2"), (102, long, "src0"), (103, f"{long} and more", "src1"), (104, long, "src4"), (105, f"own start\n{long}", "src1"), (106, f"{long}\n{long}", "src5")]
+    more = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(9).cast("long"))
+    spark.read.parquet(f"{folder}/documents.parquet").unionByName(more).write.parquet(f"{folder}/more/documents.parquet")
+    return f"{folder}/more"
+
+
+def subtracted_pairs(spark, folder):
+    """The same pairs through the operators for any pairs."""
+    docs, base = spark.read.parquet(f"{folder}/documents.parquet"), F.col("source").isin("src0", "src1")
+    covers = baseline.covered_queries(docs.filter(~base).select(F.col("doc_id").alias("q_id"), "text"), docs.filter(base).select(F.col("doc_id").alias("c_id"), "text"))
+    p = queries.pairs_of(spark, folder).filter("q_source not in ('src0', 'src1')")
+    p = p.select("q_id", "c_id", "tier", "line_sim", F.col("hits").alias("matched"), (F.col("line_sim") == 1).alias("fingerprint"), F.col("c_source").isin("src0", "src1").alias("is_baseline"))
+    p = p.join(covers.withColumn("covers", F.lit(True)), ["q_id", "c_id"], "full_outer").fillna(False, ["covers"]).fillna(True, ["is_baseline"])
+    return baseline.subtract_baselines(p)
+
+
+def test_baseline_subtraction_shuffles_no_pairs(spark, folder):
+    folder = with_baselines(spark, folder)
+    out, want = evidence_queries.baseline_subtraction(spark, folder), subtracted_pairs(spark, folder)
+    assert not pairs_are_shuffled(out)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.select(*out.columns).collect()))
+    assert {r.baseline_state for r in out.select("baseline_state").distinct().collect()} >= {"explains", "touches", "excluded", "none"}
