@@ -145,3 +145,11 @@ def test_baseline_subtraction_shuffles_no_pairs(spark, folder):
     assert not pairs_are_shuffled(out)
     assert sorted(map(str, out.collect())) == sorted(map(str, want.select(*out.columns).collect()))
     assert {r.baseline_state for r in out.select("baseline_state").distinct().collect()} >= {"explains", "touches", "excluded", "none"}
+
+
+def test_baseline_recheck_shuffles_no_pairs(spark, folder):
+    folder = with_baselines(spark, folder)
+    out, gone = evidence_queries.baseline_recheck(spark, folder), spark.read.parquet(f"{folder}/documents.parquet").filter("source = 'src1'").select(F.col("doc_id").alias("c_id"), F.lit(True).alias("gone"))
+    rows = subtracted_pairs(spark, folder).join(gone, "c_id", "left").withColumn("covers", F.col("covers") & F.col("gone").isNull())
+    assert not pairs_are_shuffled(out)
+    assert sorted(map(str, out.collect())) == sorted(map(str, baseline.restore_unproven(rows).select(*out.columns).collect()))
